@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage, by name."""
 
 from quire.llm.simhash import op1_simhash
+from quire.llm.tokens import op2_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_counts": op2_token_counts}
 ORACLES: dict[str, str] = {}
