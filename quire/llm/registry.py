@@ -1,7 +1,9 @@
 """Queries and SQL of this subpackage, by name."""
 
+from quire.llm.packing import op8_packing
+from quire.llm.sharding import op9_sharding
 from quire.llm.simhash import op1_simhash
 from quire.llm.tokens import op2_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_counts": op2_token_counts}
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_counts": op2_token_counts, "op8_packing": op8_packing, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
