@@ -50,3 +50,8 @@ def utf8(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized_broadcast(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Broadcast a written table only if it has few rows; else Spark plans an ordinary join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

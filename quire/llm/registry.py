@@ -1,9 +1,18 @@
 """Queries and SQL of this subpackage, by name."""
 
+from quire.llm.classifier import op3_quality_classifier
 from quire.llm.packing import op8_packing
+from quire.llm.quality_rules import OP7_SQL, op7_quality_rules
 from quire.llm.sharding import op9_sharding
 from quire.llm.simhash import op1_simhash
 from quire.llm.tokens import op2_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_counts": op2_token_counts, "op8_packing": op8_packing, "op9_sharding": op9_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
+    "op9_sharding": op9_sharding,
+}
+ORACLES = {"op7_quality_rules": OP7_SQL}
