@@ -15,6 +15,7 @@ empty result, and without labels only the base rule holds.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize, sized_broadcast, table
@@ -77,7 +78,7 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> Da
     share = risk / len(RULES)
     tests = [(r, c) for r, (_, _, _, grid, _) in RULES.items() for c in grid]
     counts = labelled.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(_rejects(r, F.lit(c))).alias(f"{r}_{c}") for r, c in tests))
-    counts = counts.crossJoin(counts.agg(F.count("*").alias("strata")))
+    counts = counts.withColumn("strata", F.count("*").over(W.partitionBy(F.lit(0))))  # one row per stratum
     rows = counts.select("stratum", "n", "strata", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r, c in tests))).alias("t")).select("stratum", "n", "strata", "t.*")
     # log of the binomial terms by recurrence; beyond the mean the tail is about a half or more, and cannot pass
     tail = f"""aggregate(sequence(0, cast(k as int)), struct(cast(0 as double) as p, n * ln(1 - {share}) as t),
