@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,20 @@ from quire.llm.common import materialize, small_batches, table, utf8
 
 WINDOW, END_ID = 4096, 2
 OPEN_WINDOWS, FAN_IN = 8, 64
-MAX_WORDS, BLOCK = 500_000, 1 << 22
+MAX_WORDS, BLOCK = 1_200_000, 1 << 22
 #: Sequence ids of the merging pass start here.
 MERGED = 1 << 62
+_MARKS = re.compile(rb"[\xCC-\xF4]")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def lowered(data: bytes) -> bytes:
+    """A-Z in lower case, which the vocabulary's normaliser would do too; not where combining marks may follow a letter,
+    as there the order of composing and lowering counts."""
+    return data if not data.isascii() and _MARKS.search(data) else data.lower()
+
+
 class WordIds:
     """Ids of texts by words; the library encodes the words that are not known yet."""
 
@@ -43,6 +51,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab(False).items() if t.endswith("</w>")]] = True
+        self.marks = [self.library.encode(x, add_special_tokens=False).ids[0] for x in ".,"]
         self._clear()
 
     def _clear(self) -> None:
@@ -50,34 +61,64 @@ class WordIds:
         self.begin, self.size, self.store, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4000):
-            some = [w.decode() for w in words[at : at + 4000]]
-            sizes = np.array([len(w) + 1 for w in some])
-            starts = np.cumsum(sizes) - sizes
-            e = self.library.encode(" ".join(some), add_special_tokens=False)
+        """Words of Latin letters only are one piece each, so their ids end where an end-of-word id stands; one full stop or
+        comma after them is one more; the others' ids are told apart by the offsets."""
+        plain, other, marked = {}, [], []
+        for w in words:
+            t = w.decode()
+            if t.isalpha() and max(t) < "\u0100":
+                plain[w] = t
+            elif t[-1] in ".," and (u := t[:-1]).isalpha() and max(u) < "\u0100":
+                marked.append((w, t))  # the mark is a piece of its own
+                if (w := w[:-1]) not in self.known:
+                    plain[w] = u
+            else:
+                other.append((w, t))
+        plain = [*plain.items()]
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            e = self.library.encode_batch_fast([" ".join([t for _, t in some])], add_special_tokens=False)[0]
             ids = np.array(e.ids, np.uint32)
-            of = np.searchsorted(starts, np.array([x for x, _ in e.offsets], np.int64).reshape(-1), side="right") - 1
-            first = len(self.known)
-            while first + len(some) > len(self.begin):
-                self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
-            while self.used + len(ids) > len(self.store):
-                self.store = np.concatenate((self.store, np.zeros_like(self.store)))
-            self.store[self.used : self.used + len(ids)] = ids
-            n = np.bincount(of, minlength=len(some))
-            self.size[first : first + len(some)] = n
-            self.begin[first : first + len(some)] = self.used + np.cumsum(n) - n
-            self.used += len(ids)
-            self.known.update(zip(words[at : at + 4000], range(first, first + len(some))))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._keep(some, ids, np.diff(ends, prepend=0))
+            else:
+                other += some
+        for at in range(0, len(other), 4000):
+            some = other[at : at + 4000]
+            sizes = np.array([len(t) + 1 for _, t in some])
+            e = self.library.encode(" ".join([t for _, t in some]), add_special_tokens=False)
+            of = np.searchsorted(np.cumsum(sizes) - sizes, np.array([x for x, _ in e.offsets], np.int64), side="right") - 1
+            self._keep(some, np.array(e.ids, np.uint32), np.bincount(of, minlength=len(some)))
+        if marked:
+            at = np.array([self.known[w[:-1]] for w, _ in marked], np.int64)
+            n = self.size[at] + 1
+            ends = np.cumsum(n)
+            ids = self.store[np.minimum(np.repeat(self.begin[at] - ends + n, n) + np.arange(ends[-1]), len(self.store) - 1)]
+            ids[ends - 1] = np.where([w[-1:] == b"." for w, _ in marked], *self.marks)
+            self._keep(marked, ids, n)
+
+    def _keep(self, words: list[tuple[bytes, str]], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.known)
+        while first + len(words) > len(self.begin):
+            self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
+        self.store[self.used : self.used + len(ids)] = ids
+        self.size[first : first + len(words)] = sizes
+        self.begin[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip([w for w, _ in words], range(first, first + len(words))))
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each word has."""
         if len(self.known) > MAX_WORDS:
             self._clear()
-        at = [*map(self.known.get, words)]
-        if None in at:
-            self._learn([*dict.fromkeys(w for w, i in zip(words, at) if i is None)])
-            at = [*map(self.known.__getitem__, words)]
-        at = np.array(at, np.int64)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            new = new.tolist()
+            self._learn([*dict.fromkeys([words[i] for i in new])])
+            at[new] = [self.known[words[i]] for i in new]
         n = self.size[at]
         ends = np.cumsum(n)
         return self.store[np.repeat(self.begin[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
@@ -86,7 +127,7 @@ class WordIds:
         parts, at = [], 0
         while at < len(data):
             cut = len(data) if at + BLOCK >= len(data) else (m.start() if (m := _SPACE.search(data, at + BLOCK)) else len(data))
-            parts.append(self._ids(data[at:cut].split())[0])
+            parts.append(self._ids(lowered(data[at:cut]).split())[0])
             at = cut
         return np.concatenate(parts)
 
@@ -99,7 +140,7 @@ class WordIds:
                 continue
             words, counts, size = [], [], 0
             while at < len(texts) and size < BLOCK and len(texts[at]) <= BLOCK:
-                more = texts[at].split()
+                more = lowered(texts[at]).split()
                 words += more
                 counts.append(len(more))
                 size += len(texts[at])
