@@ -255,9 +255,13 @@ def masked(text: Column) -> Column:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """The same rows with identifiers masked in text, and n_chars counted anew; a null text stays null."""
+    """The same rows with identifiers masked in text, and n_chars, if there is such a column, counted anew; a null text stays
+    null."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("text", masked(F.col("text"))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    out = docs.withColumn("text", masked(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
