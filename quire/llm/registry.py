@@ -2,6 +2,7 @@
 
 from quire.llm.classifier import op3_quality_classifier
 from quire.llm.line_dedup import OP5_SQL, op5_line_dedup
+from quire.llm.media import op10_media
 from quire.llm.mixing import OP4_SQL, op4_mixing
 from quire.llm.packing import op8_packing
 from quire.llm.pii import op6_pii
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
+    "op10_media": op10_media,
 }
 ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL}
