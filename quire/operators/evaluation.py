@@ -40,7 +40,7 @@ def latency(rows: DataFrame, seconds: str, *by: str) -> DataFrame:
 
 def makespan(jobs: DataFrame) -> DataFrame:
     """Seconds from the first creation to the last end."""
-    return jobs.agg((F.max("finished_at").cast("double") - F.min("created_at").cast("double")).alias("makespan"))
+    return jobs.agg((F.max("finished_at").cast("timestamp").cast("double") - F.min("created_at").cast("timestamp").cast("double")).alias("makespan"))
 
 
 def in_progress(jobs: DataFrame) -> DataFrame:

@@ -100,8 +100,8 @@ def searchable(units: DataFrame, published: DataFrame | None = None, documents:
 def with_similarity(hits: DataFrame, questions: DataFrame, units: DataFrame) -> DataFrame:
     """Hits with the exact cosine of question and unit; a hit without a stored vector fails."""
     q = questions.select("question_id", F.col("dense").alias("_q"))
-    u = units.select("unit_id", F.col("dense").alias("_u"))
-    joined = hits.join(q, "question_id").join(u, "unit_id", "left")
+    u = units.select(F.col("unit_id").alias("_unit"), F.col("dense").alias("_u"))
+    joined = hits.join(q, "question_id").join(u, F.col("unit_id") == F.col("_unit"), "left").drop("_unit")
     known = F.coalesce(F.col("_u"), F.raise_error(F.lit("a hit has no vector")).cast("array<float>"))
     return joined.withColumn("similarity", V.cosine(F.col("_q"), known)).drop("_q", "_u")
 

@@ -1,5 +1,6 @@
 """Imports every module that registers queries."""
 
+from quire.plans import layouts, library, searches, texts
 from quire.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "layouts", "library", "searches", "texts"]

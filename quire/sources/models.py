@@ -130,7 +130,11 @@ FUNCTION_WORDS = {
 def identify_language(text: Column, candidates: tuple[str, ...] = ("en", "es")) -> Column:
     """The candidate whose function words a text has most of; the first candidate where none leads. Built-in functions."""
     words = F.split(F.lower(text), r"[\s,.;:!?]+")
-    score = {c: F.size(F.filter(words, lambda w, c=c: w.isin(*FUNCTION_WORDS[c].split()))) for c in candidates}
+
+    def hits(language: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS[language].split())))
+
+    score = {c: hits(c) for c in candidates}
     best = F.greatest(*score.values(), F.lit(0))
     found = F.lit(candidates[0])
     for c in reversed(candidates):
