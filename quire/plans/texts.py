@@ -88,12 +88,12 @@ def base_names(spark, d):
 
 @query(
     "web_elements",
-    r"""with m as (select page_id, regexp_replace(html, '(?is)<nav\b.*?</nav\s*>', '<footer>nav</footer>', 'g') as h from pages),
-    b as (select page_id, unnest(regexp_extract_all(h, '(?is)<(?:h[1-6]|p|li|td|th|figcaption|footer)\b[^>]*>.*?</(?:h[1-6]|p|li|td|th|figcaption|footer)\s*>')) as b, generate_subscripts(regexp_extract_all(h, '(?is)<(?:h[1-6]|p|li|td|th|figcaption|footer)\b[^>]*>.*?</(?:h[1-6]|p|li|td|th|figcaption|footer)\s*>'), 1) - 1 as n from m),
-    t as (select page_id, n, lower(regexp_extract(b, '^<([A-Za-z0-9]+)', 1)) as tag, regexp_replace(regexp_replace(b, '^<[^>]*>', ''), '<[^>]*>$', '') as body from b)
-    select page_id::varchar as document_id, n::int as reading_order, case when tag ~ '^h[1-6]$' then 'heading' when tag = 'li' then 'list_item' when tag = 'figcaption' then 'caption' when tag = 'footer' then 'page_furniture' else 'paragraph' end as kind,
-    case when tag ~ '^h[1-6]$' then substr(tag, 2, 1)::int end as heading_level,
-    trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as text from t""",
+    r"""with m as (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '(?is)<nav\b.*?</nav\s*>', '<footer>nav</footer>', 'g') as h from pages),
+    b as (select page_id, list_filter(string_split(regexp_replace(h, '{tag}', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '(?i)^<(?:{kinds})\b')) as bs from m),
+    t as (select page_id, unnest(bs) as b, generate_subscripts(bs, 1) as i from b),
+    u as (select page_id, i, lower(regexp_extract(b, '^<([A-Za-z0-9]+)', 1)) as tag, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as text from t)
+    select page_id::varchar as document_id, (row_number() over (partition by page_id order by i) - 1)::int as reading_order, case when tag ~ '^h[1-6]$' then 'heading' when tag = 'li' then 'list_item' when tag = 'figcaption' then 'caption' when tag = 'footer' then 'page_furniture' else 'paragraph' end as kind,
+    case when tag ~ '^h[1-6]$' then substr(tag, 2, 1)::int end as heading_level, text from u where text <> ''""".replace("{tag}", L.BLOCK_TAG).replace("{kinds}", L.KINDS),
 )
 def web_elements(spark, d):
     return L.web_elements(table(spark, d, "pages"))

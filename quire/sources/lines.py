@@ -64,8 +64,10 @@ def no_links(elements: DataFrame) -> DataFrame:
 
 # Web pages --------------------------------------------------------------------------------------------------------------
 
-#: Block elements of a page, with their tag and content.
-BLOCK = r"(?is)<(h[1-6]|p|li|td|th|figcaption|footer)\b[^>]*>(.*?)</\1\s*>"
+KINDS = "h[1-6]|p|li|td|th|figcaption|footer"
+#: A tag of any block element ends the block before it, so unclosed ones end where the next begins.
+BLOCK_TAG = f"(?i)(</?(?:{KINDS}|nav|article|section|header|main|aside|div|ul|ol|table|tr|body|html)\\b[^>]*>)"
+IGNORED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 
 
 def unescape(text: Column) -> Column:
@@ -81,13 +83,14 @@ def plain(html: Column) -> Column:
 
 def web_elements(pages: DataFrame) -> DataFrame:
     """pages(page_id, html) -> document_id, reading_order, kind, heading_level, text: blocks in document order; what stands in
-    nav or footer is furniture."""
-    html = F.coalesce("html", F.lit(""))
+    nav or footer is furniture, scripts, styles and comments are dropped, unclosed blocks end at the next one."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), IGNORED, "")
     # navigation is marked first, so that its list items are told apart
-    marked = F.regexp_replace(html, r"(?is)<nav\b.*?</nav\s*>", "<footer>nav</footer>")
-    tags, bodies = F.regexp_extract_all(marked, F.lit(BLOCK), 1), F.regexp_extract_all(marked, F.lit(BLOCK), 2)
-    rows = pages.select(F.col("page_id").cast("string").alias("document_id"), F.posexplode(F.arrays_zip(tags.alias("tag"), bodies.alias("body"))).alias("reading_order", "b"))
-    tag = F.lower("b.tag")
+    html = F.regexp_replace(html, r"(?is)<nav\b.*?</nav\s*>", "<footer>nav</footer>")
+    blocks = F.split(F.regexp_replace(html, BLOCK_TAG, "\u0001$1"), "\u0001")
+    parts = F.transform(F.filter(blocks, lambda b: b.rlike(f"(?i)^<(?:{KINDS})\\b")), lambda b: F.struct(F.lower(F.regexp_extract(b, "^<([A-Za-z0-9]+)", 1)).alias("tag"), plain(b).alias("text")))
+    rows = pages.select(F.col("page_id").cast("string").alias("document_id"), F.posexplode(F.filter(parts, lambda p: p["text"] != "")).alias("reading_order", "b"))
+    tag = F.col("b.tag")
     kind = F.when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "list_item").when(tag == "figcaption", "caption").when(tag == "footer", "page_furniture").otherwise("paragraph")
     level = F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int"))
-    return rows.select("document_id", "reading_order", kind.alias("kind"), level.alias("heading_level"), plain(F.col("b.body")).alias("text"))
+    return rows.select("document_id", "reading_order", kind.alias("kind"), level.alias("heading_level"), F.col("b.text").alias("text"))
