@@ -20,7 +20,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -28,12 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, table, utf8
+from quire.llm.common import small_batches, table, utf8, worker_cache
 
 BUCKETS, DIMENSIONS, SAMPLE, STEPS, RATE, SEED = 1 << 17, 16, 4000, 24_000, 0.5, 17
 CUTOFF = 0.3
 AGAIN = crc32(b" again") % BUCKETS
-MAX_WORDS, BLOCK = 400_000, 1 << 20
+MAX_WORDS, BLOCK = 300_000, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -172,9 +171,8 @@ class Scorer:
         return self.model.score(total, n)
 
 
-@cache
 def _scorer(margin: bytes, bias: float) -> Scorer:
-    return Scorer(Model(np.frombuffer(margin, np.float32), bias))
+    return worker_cache(("scorer", crc32(margin), bias), lambda: Scorer(Model(np.frombuffer(margin, np.float32), bias)))
 
 
 def score(text: Column, model: Model) -> Column:

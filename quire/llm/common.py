@@ -16,6 +16,18 @@ BATCH_ROWS = 512
 _serial = itertools.count()
 
 
+_held: dict = {}
+
+
+def worker_cache(key: tuple, make):
+    """What a Python worker keeps between tasks: the tables of one operator at a time. Workers are reused, so the tables of
+    an earlier stage would else stay in memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

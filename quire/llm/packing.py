@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -26,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, small_batches, table, utf8
+from quire.llm.common import materialize, small_batches, table, utf8, worker_cache
 
 WINDOW, END_ID = 4096, 2
 OPEN_WINDOWS, FAN_IN = 8, 64
-MAX_WORDS, BLOCK = 1_200_000, 1 << 22
+MAX_WORDS, BLOCK = 700_000, 1 << 22
 #: Sequence ids of the merging pass start here.
 MERGED = 1 << 62
 _MARKS = re.compile(rb"[\xCC-\xF4]")
@@ -151,9 +150,8 @@ class WordIds:
         return out
 
 
-@cache
 def word_ids(tokenizer: str) -> WordIds:
-    return WordIds(tokenizer)
+    return worker_cache(("words", tokenizer), lambda: WordIds(tokenizer))
 
 
 class Packer:

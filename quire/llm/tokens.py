@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, table
+from quire.llm.common import small_batches, table, worker_cache
 
 TOKEN_LIMIT = 1024
 LANE, BLOCK = 512, 1 << 21
@@ -274,9 +274,8 @@ class Merge:
         return out
 
 
-@cache
 def merge_machine(tokenizer: str) -> Merge:
-    return Merge(tokenizer)
+    return worker_cache(("merge", tokenizer), lambda: Merge(tokenizer))
 
 
 class Counter:
