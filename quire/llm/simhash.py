@@ -322,9 +322,11 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     all stay, as no rank orders them."""
     found = similar_documents(docs, **how)
     low = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "low")
-    once = docs.join(low.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    more = docs.join(low.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    # the same join at every size: texts are dealt by id, never the ids broadcast
+    kept = docs.join(low.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    if not (again := low.where("n > 1").select("doc_id")).isEmpty():
+        kept = kept.unionByName(docs.join(again.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
