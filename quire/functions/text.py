@@ -266,7 +266,7 @@ def _resolve(text: pd.Series, sources: pd.Series) -> pd.DataFrame:
             rows.append((t, []))
             continue
         rows.append(resolved(t, [(x["unit_id"], x["document_id"], tuple(int(p) for p in x["pages"])) for x in s]))
-    return pd.DataFrame(rows, columns=["text", "citations"])
+    return pd.DataFrame(rows, columns=["text", "citations"]).astype(object)
 
 
 def statements_of(text: str) -> list[dict]:

@@ -92,7 +92,7 @@ def generate(prompt: Column, model: Callable[[str], dict] = first_sentence, retr
         replies = [retry.call(model, p) for p in prompts]
         if any(set(r) != {"answer", "not_covered"} for r in replies):
             raise ValueError("the model's reply has other fields")
-        return pd.DataFrame(replies, columns=["answer", "not_covered"])
+        return pd.DataFrame(replies, columns=["answer", "not_covered"]).astype(object)
 
     return F.pandas_udf(run, "answer string, not_covered string")(prompt)
 
