@@ -79,7 +79,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if text is not None and at < len(text):
                 kept.append((at, len(text)))
             out.append((text and "".join(text[a:b] for a, b in kept), [{"start": a, "end": b} for a, b in kept]))
-        return pd.DataFrame(out, columns=["text", "kept_spans"])
+        return pd.DataFrame(out, columns=["text", "kept_spans"]).astype(object)
 
     small_batches(docs.sparkSession)
     joined = docs.join(cuts, "doc_id", "left").withColumn("_cut", cut("text", "_cuts"))
