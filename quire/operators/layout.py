@@ -120,7 +120,7 @@ def caption_links(elements: DataFrame, links: DataFrame, most: float = NEAR_POIN
                     continue
             used.add(target["id"])
             out.append((c["document_id"], c["id"], target["id"], "caption_of" if target["kind"] == "image" else "title_of", None))
-        return pd.DataFrame(out, columns=["document_id", "source_id", "target_id", "kind", "score"])
+        return pd.DataFrame(out, columns=["document_id", "source_id", "target_id", "kind", "score"], dtype=object)
 
     return rows.groupBy("document_id").applyInPandas(run, "document_id string, source_id string, target_id string, kind string, score double")
 
@@ -314,7 +314,7 @@ def build_units(elements: DataFrame, links: DataFrame, max_tokens: int = MAX_TOK
                 for n, piece in enumerate(_pieces([*m.sentences], lambda t: fits(t, m.heading_path))):
                     emit("text", f"text:{m.id}:{n}", piece, [m], m.heading_path)
         flush()
-        return pd.DataFrame(units, columns=[x.split(" ")[0] for x in UNIT.replace("struct<page:int,left:double,top:double,right:double,bottom:double>", "struct").split(", ")])
+        return pd.DataFrame(units, columns=[x.split(" ")[0] for x in UNIT.replace("struct<page:int,left:double,top:double,right:double,bottom:double>", "struct").split(", ")], dtype=object)
 
     return rows.groupBy("document_id").applyInPandas(run, UNIT)
 

@@ -65,7 +65,7 @@ def dense_top(questions: DataFrame, units: DataFrame, k: int, parts: int | None
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"question_id": [], "unit_id": [], "similarity": []})
+            return pd.DataFrame({"question_id": [], "unit_id": [], "similarity": []}, dtype=object)
         a, b = (np.array(x["dense"].tolist(), np.float64) for x in (left, right))
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         s = np.divide(a @ b.T, na[:, None] * nb, out=np.zeros((len(a), len(b))), where=(na[:, None] * nb) > 0)
@@ -73,7 +73,7 @@ def dense_top(questions: DataFrame, units: DataFrame, k: int, parts: int | None
         ids = right["unit_id"].to_numpy()
         order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :n]
         at = np.arange(len(a))[:, None]
-        return pd.DataFrame({"question_id": np.repeat(left["question_id"].to_numpy(), n), "unit_id": ids[order].ravel(), "similarity": s[at, order].ravel()})
+        return pd.DataFrame({"question_id": np.repeat(left["question_id"].to_numpy(), n), "unit_id": ids[order].ravel(), "similarity": s[at, order].ravel()}, dtype=object)
 
     kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, unit_id {units.schema['unit_id'].dataType.simpleString()}, similarity double"
     found = q.groupBy("b", "p").cogroup(u.groupBy("b", "p")).applyInPandas(product, kinds)
