@@ -215,7 +215,14 @@ def joined(spans: list[Span]) -> str:
 
 
 def mask(text: str) -> str:
-    """Every span (overlapping ones together) becomes the upper-case name of its first kind in brackets."""
+    """Every span (overlapping ones together) becomes the upper-case name of its first kind in brackets; again until none is
+    left, as a span may stand free once its neighbour is masked."""
+    while (masked := _mask_once(text)) != text:
+        text = masked
+    return text
+
+
+def _mask_once(text: str) -> str:
     out, at = [], 0
     _, spans = find(text)
     i = 0
