@@ -4,10 +4,13 @@ once per document in Arrow batches."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions import geometry as G
 from quire.functions import ids as I
@@ -30,6 +33,21 @@ def is_(kind: str) -> Column:
     return F.col("kind") == kind
 
 
+def per_document(rows: DataFrame, order: str, run: Callable[[str, list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """A sequential step over the ordered rows of each document: rows are grouped into one array per document and handed on in
+    Arrow batches, many documents a batch."""
+    fields = [order, *(c for c in rows.columns if c not in (order, "document_id"))]
+    lists = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)).alias("rows"))
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def batches(parts):
+        for b in parts:
+            out = [t for doc, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in run(doc, members)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * len(arrow), arrow)], schema=arrow)
+
+    return lists.mapInArrow(batches, schema)
+
+
 # Headings -------------------------------------------------------------------------------------------------------------
 
 
@@ -47,23 +65,23 @@ def outline_levels(outline: DataFrame) -> DataFrame:
     """outline(document_id, position, depth, title, page) -> document_id, position, key, page, level. A title that repeats
     its parent's adds no level; a single root is a wrapper; levels end at six. Sequential per document: a stack."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
+    def run(document: str, rows: list[dict]):
         above: list[tuple[int, str, int]] = []
         depths = []
-        for depth, key in zip(rows["depth"], rows["key"]):
-            above = [x for x in above if x[0] < depth]
-            real = 0 if not above else above[-1][2] + (above[-1][1] != key)
-            above.append((depth, key, real))
+        for r in rows:
+            above = [x for x in above if x[0] < r["depth"]]
+            real = 0 if not above else above[-1][2] + (above[-1][1] != r["key"])
+            above.append((r["depth"], r["key"], real))
             depths.append(real)
         top = min(depths)
         if len(depths) > 1 and depths.count(top) == 1:
             top += 1
-        rows["level"] = [min(d - top + 1, T.MAX_HEADING_LEVEL) if d >= top else None for d in depths]
-        return rows[["document_id", "position", "key", "page", "level"]].astype({"level": "Int32", "page": "Int32"})
+        for r, d in zip(rows, depths):
+            if d >= top:
+                yield document, r["position"], r["key"], r["page"], min(d - top + 1, T.MAX_HEADING_LEVEL)
 
     keyed = outline.withColumn("key", T.title_key(F.col("title"))).select("document_id", "position", "depth", "key", "page")
-    return keyed.groupBy("document_id").applyInPandas(run, "document_id string, position int, key string, page int, level int").where("level is not null")
+    return per_document(keyed, "position", run, "document_id string, position int, key string, page int, level int")
 
 
 def heading_levels(headings: DataFrame, outline: DataFrame) -> DataFrame:
@@ -90,39 +108,35 @@ def caption_links(elements: DataFrame, links: DataFrame, most: float = NEAR_POIN
     depends on those before it, so it runs once per document."""
 
     known = links.where(F.col("kind").isin("caption_of", "title_of"))
-    taken = known.groupBy("document_id").agg(F.collect_set("source_id").alias("sources"), F.collect_set("target_id").alias("targets"))
-    rows = elements.where(F.col("kind") != "page_furniture").select("document_id", "id", "kind", "page", "reading_order", *(f"bbox_{s}" for s in ("left", "top", "right", "bottom")))
-    rows = rows.join(taken, "document_id", "left")
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("reading_order").reset_index(drop=True)
-        first = d.iloc[0]
-        used = set(first["targets"]) if first["targets"] is not None else set()
-        linked = set(first["sources"]) if first["sources"] is not None else set()
-        things = d[d["kind"].isin(["image", "table"])]
-        out = []
-        for at in d.index[d["kind"] == "caption"]:
-            c = d.loc[at]
-            if c["id"] in linked:
-                continue
-            near = things[(things["page"] == c["page"]) & ~things["id"].isin(used)]
-            near = near[near[["bbox_right"]].min(axis=1).clip(upper=c["bbox_right"]) > near["bbox_left"].clip(lower=c["bbox_left"])]
-            gap = (near["bbox_top"].clip(lower=c["bbox_top"]) - near["bbox_bottom"].clip(upper=c["bbox_bottom"])).clip(lower=0)
-            near = near.assign(gap=gap)[gap <= most].sort_values(["gap", "reading_order"])
-            if len(near):
-                target = near.iloc[0]
-            else:
-                before = d.loc[: at - 1] if at else d.iloc[:0]
-                if not len(before) or (before["page"] == c["page"]).any():
-                    continue
-                target = before.iloc[-1]
-                if target["page"] != c["page"] - 1 or target["kind"] not in ("image", "table") or target["id"] in used:
-                    continue
-            used.add(target["id"])
-            out.append((c["document_id"], c["id"], target["id"], "caption_of" if target["kind"] == "image" else "title_of", None))
-        return pd.DataFrame(out, columns=["document_id", "source_id", "target_id", "kind", "score"], dtype=object)
-
-    return rows.groupBy("document_id").applyInPandas(run, "document_id string, source_id string, target_id string, kind string, score double")
+    sources = known.select("document_id", F.col("source_id").alias("id"), F.lit(True).alias("linked")).distinct()
+    targets = known.select("document_id", F.col("target_id").alias("id"), F.lit(True).alias("captioned")).distinct()
+    rows = elements.where(F.col("kind") != "page_furniture").select("document_id", "id", "kind", "page", "reading_order", *(F.col(f"bbox_{s}").alias(s) for s in ("left", "top", "right", "bottom")))
+    rows = rows.join(sources, ["document_id", "id"], "left").join(targets, ["document_id", "id"], "left")
+    names = {"image": "caption_of", "table": "title_of"}
+
+    def run(document: str, rows: list[dict]):
+        used = {r["id"] for r in rows if r["captioned"]}
+        on_page: dict[int, list[dict]] = {}
+        for r in rows:
+            if r["kind"] in names:
+                on_page.setdefault(r["page"], []).append(r)
+        before = None
+        for r in rows:
+            if r["kind"] == "caption" and not r["linked"]:
+                near = []
+                for t in on_page.get(r["page"], []):
+                    gap = max(0.0, max(r["top"], t["top"]) - min(r["bottom"], t["bottom"]))
+                    if t["id"] not in used and gap <= most and min(r["right"], t["right"]) > max(r["left"], t["left"]):
+                        near.append((gap, t["reading_order"], t))
+                target = min(near, key=lambda x: x[:2])[2] if near else None
+                if target is None and before is not None and before["page"] == r["page"] - 1 and before["kind"] in names and before["id"] not in used:
+                    target = before
+                if target is not None:
+                    used.add(target["id"])
+                    yield document, r["id"], target["id"], names[target["kind"]], None
+            before = r
+
+    return per_document(rows, "reading_order", run, "document_id string, source_id string, target_id string, kind string, score double")
 
 
 def near_links(elements: DataFrame, links: DataFrame, most: float = NEAR_POINTS) -> DataFrame:
@@ -262,61 +276,61 @@ def build_units(elements: DataFrame, links: DataFrame, max_tokens: int = MAX_TOK
     box = F.struct("page", *(F.col(f"bbox_{s}").alias(s) for s in ("left", "top", "right", "bottom")))
     rows = e.select("document_id", "id", "kind", "page", "reading_order", F.coalesce(shown, F.lit("")).alias("text"), "labels", "description", "image_key", F.coalesce("is_decorative", F.lit(False)).alias("is_decorative"), "heading_path", "captioned", "is_caption", "near_figures", "head_id", "place", box.alias("box"), T.split_sentences(F.coalesce("text", F.lit(""))).alias("sentences"))
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("reading_order")
-        members = [*d.itertuples(index=False)]
+    def run(document: str, members: list[dict]):
         by_target: dict[str, list] = {}
         parts: dict[str, list] = {}
         for m in members:
-            if m.is_caption:
-                by_target.setdefault(m.captioned, []).append(m)
-            if m.kind == "table":
-                parts.setdefault(m.head_id, []).append(m)
+            if m["is_caption"]:
+                by_target.setdefault(m["captioned"], []).append(m)
+            if m["kind"] == "table":
+                parts.setdefault(m["head_id"], []).append(m)
         units, pending = [], []
+        in_order = lambda of: sorted(of, key=lambda x: x["reading_order"])
 
         def emit(kind, key, text, of, path, image_key=None):
-            near = [*dict.fromkeys(f for m in of if m.near_figures is not None for f in m.near_figures)]
-            units.append((of[0].document_id, kind, key, text, [*path], sorted({int(m.page) for m in of}), [m.id for m in of], [m.box for m in of], near, image_key))
+            near = [*dict.fromkeys(f for m in of for f in m["near_figures"] or ())]
+            units.append((document, kind, key, text, path, sorted({m["page"] for m in of}), [m["id"] for m in of], [m["box"] for m in of], near, image_key))
 
         def flush():
             if pending:
-                emit("text", f"text:{pending[0].id}", "\n".join(m.text for m in pending), pending, pending[0].heading_path)
+                emit("text", f"text:{pending[0]['id']}", "\n".join(m["text"] for m in pending), [*pending], pending[0]["heading_path"])
                 pending.clear()
 
         def fits(text, path):
             return count("\n".join([*path, text])) <= max_tokens
 
         for m in members:
-            if m.kind == "heading":
+            path = m["heading_path"]
+            if m["kind"] == "heading":
                 flush()
-            elif m.kind == "table":
+            elif m["kind"] == "table":
                 flush()
-                if m.place == 0:
-                    chain = parts[m.id]
-                    titles = [c for p in chain for c in by_target.get(p.id, [])]
-                    emit("table", f"table:{m.id}", "\n".join(x.text for x in [*titles, *chain]), sorted([*titles, *chain], key=lambda x: x.reading_order), m.heading_path)
-            elif m.kind == "image":
-                if m.is_decorative:
+                if m["place"] == 0:
+                    chain = parts[m["id"]]
+                    titles = [c for p in chain for c in by_target.get(p["id"], [])]
+                    emit("table", f"table:{m['id']}", "\n".join(x["text"] for x in [*titles, *chain]), in_order([*titles, *chain]), path)
+            elif m["kind"] == "image":
+                if m["is_decorative"]:
                     continue
                 flush()
-                texts = [c.text for c in by_target.get(m.id, [])]
-                texts += [" ".join(m.labels) if m.labels is not None else "", m.description or ""]
+                captions = by_target.get(m["id"], [])
+                texts = [*(c["text"] for c in captions), " ".join(m["labels"] or ()), m["description"] or ""]
                 if text := "\n".join(t for t in texts if t):
-                    emit("figure", f"figure:{m.id}", text, sorted([m, *by_target.get(m.id, [])], key=lambda x: x.reading_order), m.heading_path, m.image_key)
-            elif m.kind in FLOWING_KINDS and not m.is_caption and m.text:
-                if fits("\n".join([*(p.text for p in pending), m.text]), m.heading_path):
+                    emit("figure", f"figure:{m['id']}", text, in_order([m, *captions]), path, m["image_key"])
+            elif m["kind"] in FLOWING_KINDS and not m["is_caption"] and m["text"]:
+                if fits("\n".join([*(p["text"] for p in pending), m["text"]]), path):
                     pending.append(m)
                     continue
                 flush()
-                if fits(m.text, m.heading_path):
+                if fits(m["text"], path):
                     pending.append(m)
                     continue
-                for n, piece in enumerate(_pieces([*m.sentences], lambda t: fits(t, m.heading_path))):
-                    emit("text", f"text:{m.id}:{n}", piece, [m], m.heading_path)
+                for n, piece in enumerate(_pieces(m["sentences"], lambda t: fits(t, path))):
+                    emit("text", f"text:{m['id']}:{n}", piece, [m], path)
         flush()
-        return pd.DataFrame(units, columns=[x.split(" ")[0] for x in UNIT.replace("struct<page:int,left:double,top:double,right:double,bottom:double>", "struct").split(", ")], dtype=object)
+        return units
 
-    return rows.groupBy("document_id").applyInPandas(run, UNIT)
+    return per_document(rows, "reading_order", run, UNIT)
 
 
 def identified(units: DataFrame, documents: DataFrame) -> DataFrame:
