@@ -27,7 +27,8 @@ def postings(units: DataFrame, id: str = "unit_id", text: str = "text", keep: Da
     exploded = words.select("unit_id", "length", F.explode("words").alias("term"))
     if keep is not None:
         exploded = exploded.join(keep.select("term").distinct(), "term", "left_semi")
-    return exploded.groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # dealt by unit, so that neither this grouping nor one by (question, unit) behind a broadcast join needs another exchange
+    return exploded.repartition("unit_id").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25_scores(questions: DataFrame, units: DataFrame, question: str = "question_id", id: str = "unit_id") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -43,12 +44,16 @@ class Retry:
                 time.sleep(pause)
 
 
+@lru_cache(maxsize=50_000)
+def _word_vector(word: str, dimensions: int) -> np.ndarray:
+    return np.random.default_rng(int.from_bytes(sha256(word.encode()).digest()[:8], "big")).normal(size=dimensions)
+
+
 def hash_vector(text: str, dimensions: int = DIMENSIONS) -> list[float]:
     """A unit vector seeded by the words of a text: texts that share words are near each other."""
     out = np.zeros(dimensions)
     for word in T.folded(text).split():
-        rng = np.random.default_rng(int.from_bytes(sha256(word.encode()).digest()[:8], "big"))
-        out += rng.normal(size=dimensions)
+        out += _word_vector(word, dimensions)
     n = np.linalg.norm(out)
     return (out / n if n else out).astype(np.float32).tolist()
 
