@@ -193,3 +193,8 @@ def ordered_distinct(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def newest(rows: DataFrame, key: str, value, *order: str) -> DataFrame:
+    """The newest row of one key, or none."""
+    return rows.where(F.col(key) == value).orderBy(*(F.col(c).desc() for c in order)).limit(1)

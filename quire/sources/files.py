@@ -94,3 +94,34 @@ class Blobs:
         self._fs(path).delete(path, True)
 
     delete_tree = delete
+
+
+# Blob tables ------------------------------------------------------------------------------------------------------------
+
+BLOB_BUCKETS = 64
+
+
+def save_blobs(blobs: DataFrame, path: str, buckets: int = BLOB_BUCKETS) -> None:
+    """blobs(key, content): many blobs at once, written by the executors as rows (page images, figure crops), with their
+    SHA-256. A key that is no safe relative path fails the write; of a key that is saved again the newest row counts."""
+    safe = F.when(I.is_safe_key(F.col("key")), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("unsafe key: "), F.coalesce("key", F.lit("null")))).cast("string"))
+    rows = blobs.select(safe.alias("key"), "content", I.fingerprint(F.col("content")).alias("sha256"), F.current_timestamp().alias("saved_at"))
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    placed.repartition("bucket").sortWithinPartitions("key").write.partitionBy("bucket").mode("append").parquet(path)
+
+
+def load_blobs(spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = BLOB_BUCKETS) -> DataFrame:
+    """key, content, sha256 of these keys (which prunes to their buckets and row groups), or of all."""
+    from quire.operators.relational import latest_per_key
+
+    rows = spark.read.parquet(path)
+    if keys is not None:
+        at = [r.b for r in spark.createDataFrame([(k,) for k in keys], "k string").select(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b")).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(at) & F.col("key").isin(keys))
+    return latest_per_key(rows, "key", "saved_at").select("key", "content", "sha256")
+
+
+def pages_without_image(pages: DataFrame, blobs: DataFrame) -> DataFrame:
+    """pages(document_id, page) whose image was not stored: their documents fail."""
+    keyed = pages.withColumn("key", I.page_blob_key(F.col("document_id"), F.col("page")))
+    return keyed.join(blobs.select("key"), "key", "left_anti")

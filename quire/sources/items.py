@@ -3,6 +3,8 @@ spans): one row per extracted item, parent naming the item that it lies in."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,3 +65,48 @@ def caption_links(elements: DataFrame) -> DataFrame:
     source = elements.where("caption_of is not null").select("document_id", "caption_of", F.col("id").alias("source_id"))
     kind = F.when(F.col("_kind") == "image", "caption_of").otherwise("title_of").alias("kind")
     return source.join(target, ["document_id", "caption_of"]).select("document_id", "source_id", "target_id", kind, F.lit(None).cast("double").alias("score"))
+
+
+# Extraction -------------------------------------------------------------------------------------------------------------
+
+BOX = "struct<left:double,top:double,right:double,bottom:double>"
+ITEM = f"item string, parent string, label string, text string, page int, box {BOX}, position int, caption_of string, spans array<struct<page:int,box:{BOX},start:int,end:int>>"
+
+
+def extract(files: DataFrame, extractor: Callable[[bytes], Iterator[tuple]], batch: int = 64) -> DataFrame:
+    """files(document_id, content) -> items of each document and, where the extractor fails in any way, one row with the
+    error: a partial conversion counts as a corrupt document. extractor: bytes -> rows of ITEM; it runs once per file in
+    Arrow batches, so a file's items stream out and no other file waits for them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = f"document_id string, {ITEM}, error string"
+    arrow = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
+    width = len(arrow) - 2
+
+    def run(batches):
+        for b in batches:
+            for document, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    rows = [(document, *r, None) for r in extractor(content)]
+                except Exception as e:  # whatever a parser raises makes the document corrupt
+                    rows = [(document, *[None] * width, f"{type(e).__name__}: {e}")]
+                for at in range(0, len(rows), 1000):
+                    part = rows[at : at + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    return files.select("document_id", "content").mapInArrow(run, schema)
+
+
+def failures(extracted: DataFrame) -> DataFrame:
+    """Documents that failed: corrupt ones, and those without any text."""
+    has_text = F.coalesce(F.bool_or(F.col("text").rlike(r"(?U)\S") & ~F.coalesce(F.col("label").isin("picture", "page_header", "page_footer"), F.lit(False))), F.lit(False))
+    per = extracted.groupBy("document_id").agg(F.max("error").alias("reason"), has_text.alias("_text"))
+    code = F.when(F.col("reason").isNotNull(), "corrupt_document").when(~F.col("_text"), "no_extractable_text")
+    return per.select("document_id", code.alias("failure_code"), "reason").where("failure_code is not null")
+
+
+def succeeded(extracted: DataFrame) -> DataFrame:
+    """Items of the documents that did not fail."""
+    return extracted.join(failures(extracted).select("document_id"), "document_id", "left_anti").drop("error")

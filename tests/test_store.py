@@ -168,3 +168,28 @@ def test_slots():
 
 def test_deadline(spark):
     assert J.within(spark, 60, lambda: spark.range(5).count()) == 5
+
+
+def test_blob_tables(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    Fi.save_blobs(spark.createDataFrame([("pages/d/1.png", bytearray(b"a")), ("pages/d/2.png", bytearray(b"b"))], "key string, content binary"), path, buckets=4)
+    Fi.save_blobs(spark.createDataFrame([("pages/d/1.png", bytearray(b"c"))], "key string, content binary"), path, buckets=4)
+    assert {r.key: bytes(r.content) for r in Fi.load_blobs(spark, path, ["pages/d/1.png", "none"], buckets=4).collect()} == {"pages/d/1.png": b"c"}
+    pages = spark.createDataFrame([("d", 1), ("d", 3)], "document_id string, page int")
+    assert [r.page for r in Fi.pages_without_image(pages, Fi.load_blobs(spark, path)).collect()] == [3]
+    with pytest.raises(Exception, match="unsafe key"):
+        Fi.save_blobs(spark.createDataFrame([("../x", bytearray(b"a"))], "key string, content binary"), path)
+
+
+def test_extraction(spark):
+    def lines(content):
+        if content.startswith(b"!"):
+            raise ValueError("partial")
+        for i, line in enumerate(content.decode().split("\n")):
+            yield f"i{i}", None, "text", line, 1, {"left": 0.0, "top": 0.0, "right": 1.0, "bottom": 1.0}, i, None, None
+
+    files = spark.createDataFrame([("a", bytearray(b"x\ny")), ("b", bytearray(b"!")), ("c", bytearray(b" \n"))], "document_id string, content binary")
+    got = It.extract(files, lines)
+    assert {r.document_id: r.failure_code for r in It.failures(got).collect()} == {"b": "corrupt_document", "c": "no_extractable_text"}
+    kept = It.numbered(It.fragments(It.kinds(It.succeeded(got))))
+    assert [(r.text, r.reading_order) for r in kept.orderBy("reading_order").collect()] == [("x", 0), ("y", 1)]
