@@ -36,8 +36,9 @@ def bm25_scores(questions: DataFrame, units: DataFrame, question: str = "questio
     asked = questions.select(F.col(question).alias("question_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     found = postings(units, id, keep=asked)
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    whole = units.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("average"))
-    weight = frequency.join(F.broadcast(whole)).select("term", "average", V.idf(F.col("n"), F.col("df")).alias("idf"))  # `whole` is one row
+    # two numbers of the whole collection, taken first: a plain aggregation, no join
+    n, average = units.agg(F.count("*"), F.avg(F.size(terms(F.col("text"))))).first()
+    weight = frequency.select("term", F.lit(average or 1.0).alias("average"), V.idf(F.lit(float(n)), F.col("df")).alias("idf"))
     weighed = asked.join(weight, "term")
     scored = found.join(weighed, "term").withColumn("s", V.bm25(F.col("tf"), F.col("length"), F.col("average"), F.col("idf")))
     return scored.groupBy("question_id", "unit_id").agg(F.sum("s").alias("score"))
