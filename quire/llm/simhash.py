@@ -22,6 +22,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize, shuffle_partitions, small_batches, table, utf8
@@ -32,9 +33,8 @@ WORDS, SEED, RADIUS = 4, 42, 4
 BLOCK = 1 << 20
 BUCKET_ROWS = 6000
 LEAF, SMALL = 16, 48
-# The wide fingerprints of similar_documents().
-WIDE_WORDS, LANES, BLOCKS, BLOCK_BITS, PROBES, WIDE_RADIUS = 5, 4, 12, 20, 3, 44
-WIDE = [f"fp{i}" for i in range(LANES)]
+# similar_texts(): words of a shingle, MinHash bands and minima of each, least Jaccard similarity as a fraction.
+SHINGLE_WORDS, BANDS, BAND_ROWS, SIMILARITY, GROUP_ROWS = 5, 32, 5, (4, 5), 1500
 #: Ids of classes without any doc_id start here.
 NO_ID = 1 << 62
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -268,65 +268,162 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     return _classes(prints, ["fp"], lambda nodes: filed_by_blocks(nodes, radius), radius, bucket_rows)
 
 
-def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp0..fp3, weak): 256 bits, and for each key block its bits with the closest votes."""
+def shingles(data: bytes, words: int = SHINGLE_WORDS, block: int = BLOCK) -> np.ndarray:
+    """The set of a text's shingles as sorted 64-bit hashes; a text of fewer words is one shingle, one of no words has none."""
+    from xxhash import xxh64_intdigest
+
+    found, kept = [], []
+    for more in _blocks(data, block):
+        kept += more
+        if len(kept) >= words:
+            found.append(np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(islice(kept, i, None) for i in range(words)))), np.uint64, len(kept) - words + 1)))
+            kept = kept[len(kept) - words + 1 :] if words > 1 else []
+    if not found and kept:
+        found.append(np.array([xxh64_intdigest(b" ".join(kept), SEED)], np.uint64))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
+
+
+_TIMES, _PLUS = _multipliers()
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """MinHash keys of a set of shingles, one of each band: two sets of Jaccard similarity s share a given one with
+    probability s to the power BAND_ROWS."""
+    least = np.full(BANDS * BAND_ROWS, (1 << 32) - 1, np.uint32)
+    low = (found >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(low), 2048):
+        np.minimum(least, (low[i : i + 2048, None] * (_TIMES | np.uint32(1)) + _PLUS).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T.astype(np.uint64):
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """docs(text_key, text) -> (text_key, node, n, keys): node stands for the set of shingles, n is its size."""
+    from xxhash import xxh64_intdigest
+
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps, weak = np.zeros((b.num_rows, LANES), np.uint64), []
-            for i, x in enumerate(b.column(1).to_pylist()):
-                total, n = votes(x, words, LANES)
-                fps[i] = np.packbits(total * 2 > n, bitorder="little").view(np.uint64)
-                margin = np.abs(total * 2 - n)[: BLOCKS * BLOCK_BITS].reshape(BLOCKS, BLOCK_BITS)
-                weak.append(np.argsort(margin, axis=1, kind="stable")[:, :PROBES].astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k].view(np.int64)) for k in range(LANES)), pa.array(weak, pa.binary())], ["doc_id", *WIDE, "weak"])
+            nodes, sizes, keys = [], [], []
+            for x in b.column(1).to_pylist():
+                found = shingles(x)
+                nodes.append(xxh64_intdigest(found.tobytes(), SEED) >> 1)
+                sizes.append(len(found))
+                keys.append(band_keys(found))
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["text_key", "node", "n", "keys"])
+
+    return docs.select("text_key", utf8(F.col("text")).alias("text")).mapInArrow(run, "text_key long, node long, n int, keys array<long>")
+
+
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (id, id) that connect just what all pairs of the Jaccard similarity connect: a pair shares a shingle among the
+    rarest ones of both, as many as either may lack, and one more; pairs of one class are not compared again."""
+    over, under = similarity
+    every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(every), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(every))
+    ranked = np.split(rank[place], np.cumsum([len(x) for x in sets])[:-1])
+    label, holders, links = list(range(len(sets))), {}, []
+
+    def root(i):
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        size, seen = len(sets[x]), set()
+        prefix = np.sort(ranked[x])[: size - -(-size * over // under) + 1].tolist()
+        for t in prefix:
+            for of, members in holders.get(t, {}).items():
+                if root(of) == root(x):
+                    continue
+                for y in members:
+                    if y in seen or len(sets[y]) * under < size * over:
+                        continue
+                    seen.add(y)
+                    same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if same * under >= (size + len(sets[y]) - same) * over:
+                        links.append((int(ids[x]), int(ids[y])))
+                        label[root(x)] = root(of)
+                        break
+        for t in prefix:
+            holders.setdefault(t, {}).setdefault(root(x), []).append(x)
+    return links
+
+
+def confirmed(grouped: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """grouped(root, node, text) -> (a, b): the exact links within each group. A group of more than group_rows is cut into
+    chunks and each pair of chunks is one group of its own, as in bucket_links()."""
+    spark = grouped.sparkSession
+    sizes = grouped.groupBy("root").count().where(F.col("count") > group_rows)
+    hot = materialize(sizes.select(F.col("root").alias("_root"), F.ceil(F.col("count") / group_rows).cast("int").alias("m")), "hot-groups")
+    cut = grouped.join(hot, F.col("root") == F.col("_root"), "left").withColumn("c", F.pmod(F.xxhash64("node"), F.coalesce("m", F.lit(1))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda o: o != F.col("c"))
+    cut = cut.withColumn("o", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    rows = cut.select("root", F.least("o", "c").alias("i"), F.greatest("o", "c").alias("j"), "node", "text")
 
-    fields = ", ".join(f"{c} long" for c in WIDE)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(run, f"doc_id long, {fields}, weak binary")
+    def run(batches):
+        last, ids, sets = None, [], []
+        for b in batches:
+            for *key, node, text in zip(*(c.to_pylist() for c in b.columns)):
+                if key != last:
+                    yield from found(ids, sets)
+                    last, ids, sets = key, [], []
+                ids.append(node)
+                sets.append(shingles(text))
+        yield from found(ids, sets)
+
+    def found(ids, sets):
+        if len(ids) > 1 and (links := exact_links(ids, sets)):
+            a, b = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    small_batches(spark, 128)
+    dealt = rows.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    out = materialize(dealt.mapInArrow(run, "a long, b long"), "confirmed")
+    small_batches(spark)
+    return out
 
-def filed_by_probes(nodes: DataFrame) -> DataFrame:
-    """nodes(fp0..fp3, weak, id) -> (t, k, fp0..fp3, id): under each block's bits, and under those with one weak bit turned."""
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n, per = b.num_rows, BLOCKS * (PROBES + 1)
-            fp = np.stack([b.column(c).to_numpy() for c in WIDE], axis=1)
-            bits = np.unpackbits(fp.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : BLOCKS * BLOCK_BITS]
-            key = bits.reshape(n, BLOCKS, BLOCK_BITS).astype(np.int64) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))
-            weak = np.frombuffer(b"".join(b.column("weak").to_pylist()), np.uint8).reshape(n, BLOCKS, PROBES).astype(np.int64)
-            keys = np.concatenate((key[:, :, None], key[:, :, None] ^ (1 << weak)), axis=2).reshape(-1)
-            block = np.tile(np.repeat(np.arange(BLOCKS), PROBES + 1), n)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(keys, pa.int64()), *(pa.array(np.repeat(fp[:, k], per)) for k in range(LANES)), pa.array(np.repeat(b.column("id").to_numpy(), per))], ["t", "k", *WIDE, "id"])
-
-    fields = ", ".join(f"{c} long" for c in WIDE)
-    return nodes.select(*WIDE, "weak", "id").mapInArrow(run, f"t int, k long, {fields}, id long")
-
-
-def similar_documents(docs: DataFrame, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp0..fp3, component_id): classes at a similarity of about 0.8 or more.
-
-    64 bits within 4 stand for a similarity of about 0.95. At 0.8 (of sets of five-word shingles) a bit differs with
-    probability 0.15, 39 of 256; documents link within `radius` (44) bits. No 256-bit blocks are sure to agree then, so each
-    fingerprint is filed under 12 blocks of 20 bits and under each with one of its three closest-voted bits turned; the
-    buckets are searched like those of 64 bits. Measured on the test tables: README."""
-    prints = materialize(wide_fingerprints(docs, words), "prints")
-    return _classes(prints, WIDE, filed_by_probes, radius, bucket_rows)
-
-
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class stays: the one with the least doc_id; of rows that repeat that id, one. Rows without an id
-    all stay, as no rank orders them."""
-    found = similar_documents(docs, **how)
-    low = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "low")
+def similar_texts(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """docs(text_key, text) -> (text_key, root): classes of texts that links of Jaccard similarity 0.8 or more connect.
+
+    Texts are compared as sets of five-word shingles; equal sets are one node. Candidates share one of BANDS MinHash keys of
+    BAND_ROWS minima each: a pair of 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6. Nodes that candidates connect
+    form a group, and each group is searched for all links by exact similarity."""
+    found = materialize(shingled(docs.dropDuplicates(["text_key"])), "shingled")
+    nodes = found.groupBy("node").agg(F.min(F.struct("text_key", "n", "keys")).alias("x")).select("node", "x.text_key", "x.n", "x.keys")
+    filed = materialize(nodes.where("n > 0").select("node", "text_key", F.explode("keys").alias("k")), "filed")
+    least = filed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("k", "a")
+    shared = materialize(filed.join(materialize(least, "least").hint("merge"), "k").select("node", "text_key", "a"), "shared")
+    groups = components(shared.select("a", F.col("node").alias("b")))
+    wanted = shared.select("node", "text_key").distinct().join(groups, "node", "left").select("text_key", "node", F.coalesce("root", "node").alias("root"))
+    texts = docs.dropDuplicates(["text_key"]).join(materialize(wanted, "wanted").hint("merge"), "text_key")
+    roots = components(confirmed(materialize(texts.select("root", "node", utf8(F.col("text")).alias("text")), "texts"), group_rows))
+    return found.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each class stays: the one with the least doc_id. Rows without an id all stay, as no rank orders them."""
+    keyed = docs.withColumn("text_key", F.xxhash64(utf8(F.col("text"))))
+    roots = materialize(similar_texts(keyed.select("text_key", "text")), "roots")
+    ids = keyed.where("doc_id is not null").select(F.col("doc_id"), "text_key").join(roots, "text_key")
+    low = ids.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    low = materialize(low.select("x.doc_id", "x.text_key").withColumn("_kept", F.lit(True)), "low")
     # the same join at every size: texts are dealt by id, never the ids broadcast
-    kept = docs.join(low.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not (again := low.where("n > 1").select("doc_id")).isEmpty():
-        kept = kept.unionByName(docs.join(again.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    kept = keyed.join(low.hint("merge"), ["doc_id", "text_key"]).withColumn("_at", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))
+    return kept.where("_at = 1").select(docs.columns).unionByName(docs.where("doc_id is null").select(docs.columns))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,39 @@ def test_near_copies_go_and_others_stay(spark, odd, none):
     ids = [r.doc_id for r in out.collect()]
     assert ids.count(3) == 1 and 4 not in ids and ids.count(None) == 2
     assert S.drop_near_duplicates(none).count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    """Pairs on both sides of 0.8, among them exactly 0.8, against brute force: none is missed and none is false."""
+    rng = random.Random(8)
+    texts = []
+    for d in range(300):
+        words = [f"w{d}x{i}" for i in range(304)]  # 300 shingles
+        same = 267 if d < 100 else rng.randrange(240, 290)  # of 300 shingles, so the similarity is same / (600 - same)
+        texts += [" ".join(words), " ".join(words[: same + 4] + [f"v{d}x{i}" for i in range(300 - same)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in S.drop_near_duplicates(docs).collect()}
+    near = [jaccard(texts[2 * d], texts[2 * d + 1]) >= 0.8 for d in range(300)]
+    assert 100 < sum(near) < 250
+    assert [2 * d + 1 not in kept for d in range(300)] == near and all(2 * d in kept for d in range(300))
+
+
+def test_one_least_node_does_not_hide_a_link(spark):
+    """The node of least id is no near copy of the others, which are near copies of each other."""
+    rng = random.Random(9)
+    rows, want = [], []
+    for d in range(30):
+        base = [f"w{d}x{i}" for i in range(304)]
+        far = base[:210] + [f"f{d}x{i}" for i in range(94)]
+        near = base[:-1] + ["end"]
+        three = [" ".join(x) for x in (far, base, near)]
+        rng.shuffle(three)
+        rows += [(3 * d + i, t) for i, t in enumerate(three)]
+        want += sorted([3 * d + three.index(" ".join(far)), 3 * d + min(three.index(" ".join(base)), three.index(" ".join(near)))])
+    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == want
