@@ -422,7 +422,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     low = ids.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
     low = materialize(low.select("x.doc_id", "x.text_key").withColumn("_kept", F.lit(True)), "low")
     # the same join at every size: texts are dealt by id, never the ids broadcast
-    kept = keyed.join(low.hint("merge"), ["doc_id", "text_key"]).withColumn("_at", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))
+    kept = keyed.join(low.hint("merge"), ["doc_id", "text_key"]).withColumn("_at", F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy("doc_id")))
     return kept.where("_at = 1").select(docs.columns).unionByName(docs.where("doc_id is null").select(docs.columns))
 
 

@@ -145,3 +145,12 @@ def test_one_least_node_does_not_hide_a_link(spark):
         want += sorted([3 * d + three.index(" ".join(far)), 3 * d + min(three.index(" ".join(base)), three.index(" ".join(near)))])
     kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == want
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    """Two texts that share a doc_id are no copies of each other, and each has a near copy of its own that goes."""
+    one, two = ([f"{w}{i}" for i in range(304)] for w in "pq")
+    near = lambda words: " ".join([*words[:-1], "end"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (None, near(two))]
+    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, " ".join(one)), (1, " ".join(two)), (0, near(two))])
