@@ -101,22 +101,23 @@ _TOKENS = re.compile(
     re.I | re.X,
 )
 _RUN_PARTS = re.compile(rf"(?P<plus>{PLUS_WORDS}|\+)|(?P<word>{_NUMBER})|[0-9]+", re.I)
-_ANY_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER})[\s,-]+(?:(?:{_NUMBER}|[0-9]+)[\s,-]+){{2,}}(?:{_NUMBER}|[0-9]+)(?!\w)", re.I)
-_PLAIN_AT = re.compile(rf" at {_LABEL}(?:\.{_LABEL})*\.{_TOP}")
+# The same patterns without what only delimits them: each matches wherever the one of _TOKENS does.
+_BOXED = re.compile(rf"[(\[{{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[)\]}}>]", re.I)
+_AT = re.compile(rf"\s(?:{AT_WORDS})\s+(?={_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}{_TOP})", re.I)
+_DOTS = re.compile(rf"\s(?:{DOT_WORDS})\s+(?=(?:{_LABEL}{_DOT})*?{_TOP}|[0-9]{{1,3}}\b)", re.I)
+_WORD = re.compile(rf"(?<!\w)(?:{_NUMBER})(?!\w)", re.I)
+_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER}|[0-9]+)(?:[\s,-]+(?:{_NUMBER}|[0-9]+)){{6,}}(?!\w)", re.I)
 _ODD = re.compile(f"[{''.join(ALIKE)}{INVISIBLE}٠-٩۰-۹०-९！-～]")
-_BOXED = ("(at", "[at", "{at", "<at", "(@", "[@", "{@", "<@", "( at", "[ at", "(dot", "[dot", "{dot", "<dot", "( dot", "[ dot", "(.", "[.", "{.", "arroba", "arobase", "punto", "punkt", "point")
-_DOT_WORD = re.compile(r"\bdot\b")
 
 
 def suspicious(text: str) -> bool:
-    """Whether any disguise may be present: a cheap test that lets most texts skip the transducers."""
-    low = text.lower()
+    """Whether a transducer has anything to change: lets most texts skip them, and never one they would change."""
     return (
-        any(x in low for x in _BOXED)
-        or ("dot" in low and _DOT_WORD.search(low) is not None)
-        or (not text.isascii() and _ODD.search(text) is not None)
-        or _PLAIN_AT.search(low) is not None
-        or _ANY_RUN.search(low) is not None
+        (not text.isascii() and _ODD.search(text) is not None)
+        or _BOXED.search(text) is not None
+        or _AT.search(text) is not None
+        or _DOTS.search(text) is not None
+        or any(_WORD.search(m[0]) for m in _RUN.finditer(text))
     )
 
 

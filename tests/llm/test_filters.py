@@ -149,6 +149,33 @@ def test_plain_prose_is_left_alone(text):
     assert P.find(text) == ([], [])
 
 
+def test_gate_skips_no_disguise():
+    """find() gives what the transducers give without the gate, whatever brackets, blanks and words a disguise uses."""
+    rng = random.Random(11)
+    blank = lambda least: "".join(rng.choice(" \t\n") for _ in range(rng.randrange(least, 3)))
+    pick = lambda words: rng.choice([w.upper() if rng.random() < 0.2 else w for w in words.split("|")])
+
+    def sign(words, plain):
+        if rng.random() < 0.3:
+            return blank(1) + pick(words) + blank(1)
+        return blank(0) + rng.choice("([{<") + blank(0) + rng.choice([plain, pick(words)]) + blank(0) + rng.choice(")]}>") + blank(0)
+
+    fixed = ["jane { at } example.com", "jane < at > example.com", "jane ( @ ) example.com", "jane (  at ) example.com", "10 [ . ] 0 [ . ] 0 [ . ] 1", "john.doe at\nexample.com", "john.doe at  example.com", "plus 4 1 5 5 5 5 0 1 two three"]
+    texts, n = list(fixed), 0
+    for _ in range(3000):
+        dot = lambda: rng.choice([".", sign(P.DOT_WORDS, ".")])
+        mail = "john.doe" + sign(P.AT_WORDS, "@") + "example" + dot() + rng.choice(P.DOMAINS)
+        ip = "10" + sign(P.DOT_WORDS, ".") + "0" + dot() + "0" + dot() + "1"
+        digits = [rng.choice(list(P._DIGIT_OF)) if rng.random() < 0.2 else str(rng.randrange(10)) for _ in range(rng.randrange(5, 14))]
+        texts.append("see " + rng.choice([mail, ip, rng.choice(["+", "plus ", "más "]) + rng.choice([" ", ", ", "-"]).join(digits)]) + " ok")
+    for text in texts:
+        base = P.plain_spans(text)
+        more = P.disguised_spans(text, base)
+        n += len(more) > 0
+        assert P.find(text) == (base, sorted(base + more)), text
+    assert n > 1000 and all(P.disguised_spans(t, []) for t in fixed)
+
+
 def test_pii_odd_rows(odd, none):
     rows = odd.collect()
     got = P.find_pii(odd).collect()
