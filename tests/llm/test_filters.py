@@ -220,26 +220,87 @@ def test_mixing_odd_rows(odd, none):
 # Line dedup
 
 
+def plain_units(text, least=40, spread=4, most=32):
+    """Units by their definition, word by word."""
+    m = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x[0]).encode() for x in m]
+    n = len(w)
+    line = [i == n - 1 or "\n" in text[m[i].end() : m[i + 1].start()] for i in range(n)]
+    low = lambda i, k: i < n - 1 and all(w[i] < y for y in w[i + 1 : i + k + 1]) and all(w[i] <= y for y in w[max(0, i - k) : i])
+    ends = [line[i] or m[i][0][-1] in ".!?" or low(i, 1) for i in range(n)]
+    out, held = [], 0
+    for i in range(n):
+        if i == 0 or line[i - 1] or low(i - 1, spread):
+            held = i
+        if i + least < n and (i - held) % most == 0 or i + least == n:
+            b = next((j + 1 for j in range(i + least - 1, min(n, i + least + most)) if ends[j]), i + least + most)
+            out.append((m[i].start(), m[b - 1].end(), i, b - i, " ".join(x.decode() for x in w[i:b])))
+    return out
+
+
+def test_units_are_as_defined(odd_rows):
+    rng = random.Random(11)
+    words = ["Der", "die", "ünd", "a.", "b!", "zoo", "x", "Über", "q?", "mm"]
+    texts = ["".join(rng.choice(words[: rng.randrange(1, 11)]) + rng.choice([" ", "  ", "\n", " \n ", "\t"]) for _ in range(rng.randrange(300))) for _ in range(150)]
+    texts += [r[1] or "" for r in odd_rows] + ["one " * 500, "\n\n" + "a b " * 100]
+    for t in texts:
+        got, want = D.text_units(t.encode()), plain_units(t)
+        assert [g[:4] for g in got] == [x[:4] for x in want]
+        assert [g[4] for g in got] == [D.md5(x[4].encode()).digest() for x in want]
+
+
 def test_line_dedup(odd, none):
     rows = odd.collect()
-    seen, want = {}, []
-    units = sorted(((r.doc_id is None, r.doc_id or 0, s, e, d, r.doc_id) for r in rows for s, e, _, d in D.text_units(r.text or "")), key=lambda x: x[:4])
-    for nul, _, s, e, d, doc in units:
+    seen, again = {}, {}
+    units = sorted(((r.doc_id is None, r.doc_id or 0, s, e, d, r.doc_id, a, a + n, r.text) for r in rows for s, e, a, n, d in plain_units(r.text or "")), key=lambda x: x[:4])
+    for _, _, s, e, d, doc, a, b, text in units:
         first = seen.setdefault(d, (doc, s, e))
-        if first != (doc, s, e):
-            want.append((doc, s, e, first[0]))
-    got = [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in D.repeats(odd).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+        if first[:2] != (doc, s):
+            again.setdefault((doc, text), []).append((a, b, s, e, first))
+    want = set()
+    for (doc, _), found in again.items():
+        found.sort()
+        while found:
+            run = [found.pop(0)]
+            while found and found[0][0] <= max(x[1] for x in run):
+                run.append(found.pop(0))
+            want.add((doc, run[0][2], max(x[3] for x in run), max(x[1] for x in run) - run[0][0], *run[0][4]))
+    got = [tuple(r) for r in D.repeats(odd).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
     cut = D.drop_repeats(odd).collect()
     texts = {r.doc_id: r.text for r in rows}
     assert len(cut) == len(rows)
     for r in cut:
         if r.doc_id is not None and r.text is not None:
             assert r.text == "".join(texts[r.doc_id][s.start : s.end] for s in r.kept_spans)
-    assert {r.doc_id: r.text for r in cut}[12].strip() == "The quick brown fox jumps over it."
+    left = {r.doc_id: r.text for r in cut}
+    assert texts[3] == texts[4]
+    assert left[3] == texts[3] and left[4] == "" and len(left[11]) < len(texts[11])
+    clash = odd.withColumns({"kept_spans": F.lit(1), "cuts": F.lit(2), "row": F.lit(3), "key": F.lit(4), "cut": F.lit(5)})
+    assert sorted((str(r.doc_id), str(r.text)) for r in D.drop_repeats(clash).collect()) == sorted((str(r.doc_id), str(r.text)) for r in cut)
     assert D.repeats(none).count() == 0 and D.drop_repeats(none).count() == 0
 
 
+def test_passages_inside_lines_are_found_and_chance_is_not(spark):
+    """Passages of 51 to 90 words, put anywhere into prose without regard to lines: found whatever stands around them."""
+    rng = random.Random(4)
+    prose = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") + rng.choice("rstlmn") + rng.choice(["", "", "", "", "."]) for _ in range(n)]
+    rows, planted = [], set()
+    for i in range(200):
+        passage = prose(rng.randrange(51, 91))
+        for k in (0, 1):
+            words = prose(rng.randrange(100, 200))
+            at = rng.randrange(len(words))
+            rows.append((2 * i + k, " ".join(words[:at] + passage + words[at:])))
+            if k:
+                planted.add((2 * i + 1, len(passage)))
+        rows.append((1000 + i, " ".join(prose(300))))
+    got = {r.doc_id: r for r in D.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= {i for i, _ in planted}
+    assert len(got) / len(planted) > 0.97
+    assert all(got[i].kept_doc_id == i - 1 and got[i].n_words <= n + 2 for i, n in planted if i in got)
+
+
 # Sharding
 
 
