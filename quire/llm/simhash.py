@@ -1,12 +1,11 @@
 """SimHash near-duplicate classes by a Gray-order hierarchical index.
 
-Fingerprints: 64 bits over 4-word shingles. Links: at most `radius` (4) differing bits. Every pair within 4 bits agrees on
-at least two of six bit blocks, so each distinct fingerprint is filed under its 15 block pairs; a bucket (one block pair,
-one value) is sorted by Gray rank, the fingerprints are the leaves of a tree whose upper nodes hold the bits that all
-fingerprints below share (mask and pattern), and pairs of nodes are descended together, dropping a pair of whole groups
-once the shared patterns alone differ in more than `radius` bits, or once both groups are known to be one class. A bucket
-of more than `bucket_rows` fingerprints is cut into chunks and each pair of chunks is one group of its own: exact, with
-bounded groups. Buckets give spanning links only (never all pairs); components() joins them.
+Fingerprints: 64 bits over 4-word shingles. Links: at most `radius` (4) differing bits. Two fingerprints within 4 bits agree
+on one of five blocks at least, so there are five tables, each one global order of all distinct fingerprints by the Gray rank
+that they have with that block in front. A table is cut into parts, the upper nodes of the index; within a part, and between
+parts that may hold a link, a tree of shared masked bit patterns is descended from the root, with the differences
+accumulated on the way down, and whole groups are dropped once these exceed the radius. The tree gives spanning links only
+(never all pairs); components() joins them.
 
 Nulls and odd input: a null or blank text has fingerprint zero and is linked like any other; repeated rows each keep their
 row; a null doc_id counts as larger than every other and component_id is null where a class has no other id; doc_id must
@@ -31,8 +30,10 @@ from quire.llm.components import components
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Bytes of a text that are split into words at once, and shingles that are hashed at once.
 BLOCK = 1 << 20
-BUCKET_ROWS = 6000
-LEAF, SMALL = 16, 48
+#: Rows of one part of the index; children of a tree node, and pairs of nodes that are descended at once.
+PART_ROWS, LEAF, NODE_PAIRS = 200_000, 16, 4096
+#: Bits of a leading block by which parts look each other up.
+CELL_BITS = 10
 # similar_texts(): words of a shingle, MinHash bands and minima of each, least Jaccard similarity as a fraction.
 SHINGLE_WORDS, BANDS, BAND_ROWS, SIMILARITY, GROUP_ROWS = 5, 32, 5, (4, 5), 1500
 #: Ids of classes without any doc_id start here.
@@ -40,7 +41,7 @@ NO_ID = 1 << 62
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _blocks(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
+def _word_runs(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
     """The lower-cased words of a text, a bounded number at a time."""
     at = 0
     while at < len(data):
@@ -67,7 +68,7 @@ def votes(data: bytes, words: int = WORDS, lanes: int = 1, block: int = BLOCK) -
             for i in range(0, len(h), 1 << 15):
                 total[64 * lane : 64 * lane + 64] += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
-    for more in _blocks(data, block):
+    for more in _word_runs(data, block):
         kept += more
         if len(kept) < words:
             continue
@@ -98,18 +99,13 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def gray_rank(fp: Column) -> Column:
-    """Place of a bit pattern in Gray order: each bit is the parity of those from it upwards."""
-    for k in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, k))
-    return fp
+Block = tuple[int, int, int]  # word of the fingerprint, lowest bit, bits
 
 
-def block_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """Masks of two blocks each of radius + 2 blocks: with `radius` differences at least two blocks agree."""
-    edge = [bits * i // (radius + 2) for i in range(radius + 3)]
-    one = [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:])]
-    return [x | y for x, y in combinations(one, 2)]
+def blocks(radius: int = RADIUS, bits: int = 64) -> list[Block]:
+    """radius + 1 blocks of one word: fingerprints that differ in at most `radius` bits agree on one of them at least."""
+    edge = [bits * i // (radius + 1) for i in range(radius + 2)]
+    return [(0, a, b - a) for a, b in zip(edge, edge[1:])]
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -128,133 +124,150 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = No
 
 def differing(bits: np.ndarray) -> np.ndarray:
     """Set bits of each row."""
-    return np.bitwise_count(bits).sum(axis=1)
+    return np.bitwise_count(bits).sum(axis=1, dtype=np.int16)
+
 
+def tree_labels(fp: np.ndarray, lead: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seen: dict | None = None) -> np.ndarray:
+    """Class of each fingerprint (row of 64-bit words) of one Gray-sorted run.
 
-def tree_labels(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.ndarray:
-    """Class of each fingerprint (row of 64-bit words) of one Gray-sorted group: a descent of pairs of nodes."""
+    The fingerprints are the leaves of a tree; an upper node holds the bits that all below it share (mask and pattern) and the
+    range of their leading block. Pairs of nodes are descended together from the root. A pair carries the differences found
+    so far and adds those in the bits that its two nodes share and their parents did not; it is dropped, with all that lies
+    below, once these exceed `radius`, once the leading blocks can't be equal, or once all below are one class. seen counts
+    pairs of nodes met and dropped above the leaves."""
     n = len(fp)
     near = np.flatnonzero(differing(fp[1:] ^ fp[:-1]) <= radius)
     label = spanning(n, near, near + 1)
-    ands, ors, sizes = [fp], [fp], [n]
+    ands, ors, low, high, sizes = [fp], [fp], [lead], [lead], [n]
     while sizes[-1] > 1:
         at = np.arange(0, sizes[-1], leaf)
-        ands.append(np.bitwise_and.reduceat(ands[-1], at))
-        ors.append(np.bitwise_or.reduceat(ors[-1], at))
+        for levels, merge in ((ands, np.bitwise_and), (ors, np.bitwise_or), (low, np.minimum), (high, np.maximum)):
+            levels.append(merge.reduceat(levels[-1], at))
         sizes.append(len(at))
     masks = [~(x ^ y) for x, y in zip(ands, ors)]
 
     def only(label):
         """Per level: the class of a node whose fingerprints all have one, else -1."""
-        low, high, out = label, label, [label]
+        least, most, out = label, label, [label]
         for size in sizes[:-1]:
             at = np.arange(0, size, leaf)
-            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            out.append(np.where(low == high, low, -1))
+            least, most = np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            out.append(np.where(least == most, least, -1))
         return out
 
     one = only(label)
-    stack = [(len(sizes) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(len(sizes) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int16))]
     i, j = (x.ravel() for x in np.divmod(np.arange(leaf * leaf), leaf))
     while stack:
-        level, p, q = stack.pop()
-        if len(p) > 4096:
-            stack += [(level, p[4096:], q[4096:]), (level, p[:4096], q[:4096])]
+        level, p, q, differ = stack.pop()
+        if len(p) > NODE_PAIRS:
+            stack += [(level, p[NODE_PAIRS:], q[NODE_PAIRS:], differ[NODE_PAIRS:]), (level, p[:NODE_PAIRS], q[:NODE_PAIRS], differ[:NODE_PAIRS])]
             continue
-        apart = (one[level][p] != one[level][q]) | (one[level][p] < 0)
-        p, q = p[apart], q[apart]
-        near = differing((ands[level][p] ^ ands[level][q]) & masks[level][p] & masks[level][q]) <= radius
-        p, q = p[near], q[near]
-        if not len(p):
+        open_ = (one[level][p] != one[level][q]) | (one[level][p] < 0)
+        p, q, differ = p[open_], q[open_], differ[open_]
+        if not level:
+            if len(p):
+                label = spanning(n, p, q, label)
+                one = only(label)
             continue
-        if level:
-            a, b = (p[:, None] * leaf + i).ravel(), (q[:, None] * leaf + j).ravel()
-            ok = (a <= b if level > 1 else a < b) & (b < sizes[level - 1]) & (a < sizes[level - 1])
-            stack.append((level - 1, a[ok], b[ok]))
-        else:
-            label = spanning(n, p, q, label)
-            one = only(label)
+        a, b = (p[:, None] * leaf + i).ravel(), (q[:, None] * leaf + j).ravel()
+        above = np.repeat(np.arange(len(p)), leaf * leaf)
+        met = (a <= b if level > 1 else a < b) & (b < sizes[level - 1])
+        a, b, above = a[met], b[met], above[met]
+        kept = (low[level - 1][a] <= high[level - 1][b]) & (low[level - 1][b] <= high[level - 1][a])
+        a, b, above = a[kept], b[kept], above[kept]
+        fresh = masks[level - 1][a] & masks[level - 1][b] & ~(masks[level][p] & masks[level][q])[above]
+        differ = differ[above] + differing((ands[level - 1][a] ^ ands[level - 1][b]) & fresh)
+        kept = differ <= radius
+        if seen is not None and level > 1:
+            seen["met"] = seen.get("met", 0) + int(met.sum())
+            seen["dropped"] = seen.get("dropped", 0) + int(met.sum() - kept.sum())
+        if kept.any():
+            stack.append((level - 1, a[kept], b[kept], differ[kept]))
     return label
 
 
-def group_links(starts: np.ndarray, fp: np.ndarray, ids: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (id, id of the class's first row) of Gray-sorted groups; starts: their first rows."""
-    n = len(fp)
-    ends = np.append(starts[1:], n)
-    sizes = ends - starts
-    label, end = np.arange(n), np.repeat(ends, sizes)
-    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
-    a, b = [], []
-    for k in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
-        small = small[small + k < end[small]]
-        hit = small[differing(fp[small] ^ fp[small + k]) <= radius]
-        a.append(hit)
-        b.append(hit + k)
-    if a:
-        label = spanning(n, np.concatenate(a), np.concatenate(b), label)
-    for g in np.flatnonzero(sizes > SMALL):
-        s, e = starts[g], ends[g]
-        label[s:e] = tree_labels(fp[s:e], radius) + s
-    moved = np.flatnonzero(label != np.arange(n))
-    return ids[moved], ids[label[moved]]
-
-
-def filed_by_blocks(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """nodes(fp, id) -> (t, k, fp, id): under every pair of radius + 2 blocks."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(radius)]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)])
-    return nodes.select("fp", "id", F.explode(keys).alias("x")).select("x.t", "x.k", "fp", "id")
-
-
-def bucket_links(filed: DataFrame, fps: list[str], radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """filed(t, k, *fps, id) -> (a, b): links within buckets that connect just what links of at most radius bits connect."""
-    spark = filed.sparkSession
-    filed = materialize(filed, "filed")
-    hot = materialize(filed.groupBy("t", "k").count().where(F.col("count") > bucket_rows).select("t", "k", F.ceil(F.col("count") / bucket_rows).cast("int").alias("m")), "hot")
-    rows = filed.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    if not hot.isEmpty():
-        cut = filed.join(hot, ["t", "k"], "left").withColumn("c", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64(*fps), F.col("m")).cast("int")))
-        cold = cut.where("m is null").select(*filed.columns, F.lit(0).alias("i"), F.lit(0).alias("j"))
-        # every chunk meets every other one; the rows of a chunk meet each other in each of these groups
-        pairs = cut.where("m is not null").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("o <> c").select(*filed.columns, F.least("o", "c").alias("i"), F.greatest("o", "c").alias("j"))
-        rows = cold.unionByName(pairs)
+def filed(nodes: DataFrame, fps: list[str], tables: list[Block]) -> DataFrame:
+    """nodes(*fps, id) -> (t, lead, *places, *fps, id), one row in each table: in table t the fingerprint is turned until block
+    t leads; lead is the block's Gray rank and places are the Gray ranks of the words, as signed longs in unsigned order."""
+
+    def turned(t: int, block: Block) -> Column:
+        word, shift, width = block
+        up, first = shift + width, F.col(fps[word])
+        words = [F.shiftleft(first, 64 - up).bitwiseOR(F.shiftrightunsigned(first, up)) if up < 64 else first]
+        words += [F.col(c) for k, c in enumerate(fps) if k != word]
+        return F.struct(F.lit(t).alias("t"), F.lit(64 - width).alias("rest"), *(w.alias(f"place{k}") for k, w in enumerate(words)))
+
+    out = nodes.select(*fps, "id", F.explode(F.array(*(turned(t, x) for t, x in enumerate(tables)))).alias("x")).select("x.*", *fps, "id")
+    places = [f"place{k}" for k in range(len(fps))]
+    # place in Gray order: each bit becomes the parity of those from it upwards, a column for each step
+    for k in (1, 2, 4, 8, 16, 32):
+        out = out.withColumns({c: F.col(c).bitwiseXOR(F.shiftrightunsigned(F.col(c), k)) for c in places})
+    lead = F.expr("shiftrightunsigned(place0, rest)").alias("lead")
+    return out.select("t", lead, *(F.col(c).bitwiseXOR(F.lit(-(1 << 63))).alias(c) for c in places), *fps, "id")
+
+
+def index_links(nodes: DataFrame, fps: list[str], tables: list[Block], radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
+    """nodes(*fps, id), a written table of distinct fingerprints -> (a, b): links that connect just what links of at most
+    `radius` differing bits connect.
+
+    Each table is one global Gray order, cut by range into parts of about part_rows, however many share a block: no bucket is
+    too large for a task and none is cut into all pairs of pieces. The parts are the index's upper nodes, with mask, pattern
+    and range of the leading block. Pairs of parts that can hold a link meet, and of a part only those rows that the other's
+    node does not rule out; each part, and each such pair, is searched by tree_labels()."""
+    spark = nodes.sparkSession
+    places = [f"place{k}" for k in range(len(fps))]
+    order = ["t", "lead", *places]
+    parts = max(2 * shuffle_partitions(spark), -(-nodes.count() * len(tables) // part_rows))
+    dealt = materialize(filed(nodes, fps, tables).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "gray-order")
+    ends = [F.min("lead").alias("lo"), F.max("lead").alias("hi")]
+    upper = materialize(dealt.groupBy("t", "part").agg(*ends, *(F.bit_and(c).alias(f"and_{c}") for c in fps), *(F.bit_or(c).alias(f"or_{c}") for c in fps)), "upper-nodes")
+    # parts meet where their leading blocks do, looked up in cells of the block's range
+    cell = [F.shiftrightunsigned(F.col(c), max(0, max(w for _, _, w in tables) - CELL_BITS)) for c in ("lo", "hi")]
+    celled = upper.withColumn("cell", F.explode(F.sequence(*cell)))
+    mine, other = celled, celled.select("t", "cell", *(F.col(c).alias(f"o_{c}") for c in upper.columns if c != "t"))
+    mask = lambda c, side="": F.bitwise_not(F.col(f"{side}and_{c}").bitwiseXOR(F.col(f"{side}or_{c}")))
+    shared = sum((F.bit_count(F.col(f"and_{c}").bitwiseXOR(F.col(f"o_and_{c}")).bitwiseAND(mask(c)).bitwiseAND(mask(c, "o_"))) for c in fps), F.lit(0))
+    pairs = mine.join(other, ["t", "cell"]).where((F.col("lo") <= F.col("o_hi")) & (F.col("o_lo") <= F.col("hi")) & (shared <= radius)).drop("cell", "lo", "hi", *(f"{x}_{c}" for x in ("and", "or") for c in fps)).distinct()
+    pairs = materialize(pairs, "part-pairs").withColumns({"i": F.least("part", "o_part"), "j": F.greatest("part", "o_part")})
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_and_{c}")).bitwiseAND(mask(c, "o_"))) for c in fps), F.lit(0))
+    meets = (F.col("i") == F.col("j")) | (F.col("lead").between(F.col("o_lo"), F.col("o_hi")) & (apart <= radius))
+    rows = dealt.join(pairs, ["t", "part"]).where(meets).select("t", "i", "j", "lead", *places, *fps, "id")
 
     def run(batches):
         kept = None
         for b in batches:
             t = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
             new = np.zeros(len(t), bool)
-            for c in ("t", "k", "i", "j"):
+            for c in ("t", "i", "j"):
                 c = t.column(c).to_numpy()
                 new[1:] |= c[1:] != c[:-1]
-            new[:1] = True
-            starts = np.flatnonzero(new)
-            last = int(starts[-1]) if len(starts) else 0
-            kept = t.slice(last)
-            yield from found(t.slice(0, last), starts[:-1])
+            starts = np.append(0, np.flatnonzero(new))
+            for a, e in zip(starts[:-1], starts[1:]):
+                yield from found(t.slice(a, e - a))
+            kept = t.slice(int(starts[-1]))
         if kept is not None:
-            yield from found(kept, np.zeros(1, np.int64))
+            yield from found(kept)
 
-    def found(t, starts):
+    def found(t):
         if len(t) > 1:
             fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in fps], axis=1)
-            a, b = group_links(starts, fp, t.column("id").to_numpy(), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            label, ids = tree_labels(fp, t.column("lead").to_numpy(), radius), t.column("id").to_numpy()
+            moved = np.flatnonzero(label != np.arange(len(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[label[moved]], pa.int64())], ["a", "b"])
 
     small_batches(spark, 20_000)
-    rank = gray_rank(F.col(fps[0]))
-    dealt = rows.withColumns({"low": rank < 0, "rank": rank}).repartition(shuffle_partitions(spark), "t", "k", "i", "j")
-    out = dealt.sortWithinPartitions("t", "k", "i", "j", "low", "rank").select("t", "k", "i", "j", *fps, "id").mapInArrow(run, "a long, b long")
-    out = materialize(out, "links")
+    dealt_pairs = rows.repartition(shuffle_partitions(spark), "t", "i", "j").sortWithinPartitions("t", "i", "j", "lead", *places)
+    out = materialize(dealt_pairs.select("t", "i", "j", "lead", *fps, "id").mapInArrow(run, "a long, b long"), "links")
     small_batches(spark)
     return out
 
 
-def _classes(prints: DataFrame, fps: list[str], filed, radius: int, bucket_rows: int) -> DataFrame:
-    """prints(doc_id, *fps) -> (doc_id, *fps, component_id); filed: from distinct nodes to rows under keys."""
+def _classes(prints: DataFrame, fps: list[str], tables: list[Block], radius: int, part_rows: int) -> DataFrame:
+    """prints(doc_id, *fps) -> (doc_id, *fps, component_id)."""
     own = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.shiftrightunsigned(F.col(fps[0]), 2))
     nodes = materialize(prints.groupBy(*fps).agg(own.alias("id"), *(F.first(c).alias(c) for c in prints.columns if c not in (*fps, "doc_id"))), "nodes")
-    roots = components(bucket_links(filed(nodes), fps, radius, bucket_rows))
+    roots = components(index_links(nodes, fps, tables, radius, part_rows))
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select(*(nodes[c].alias(f"_{c}") for c in fps), F.coalesce("root", "id").alias("root"))
     named = materialize(named, "named")
     same = [prints[c] == named[f"_{c}"] for c in fps]
@@ -262,10 +275,10 @@ def _classes(prints: DataFrame, fps: list[str], filed, radius: int, bucket_rows:
     return prints.join(named, same).select("doc_id", *fps, root.alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp, component_id), one row per row of docs: classes of 64-bit fingerprints."""
     prints = materialize(fingerprints(docs, words), "prints")
-    return _classes(prints, ["fp"], lambda nodes: filed_by_blocks(nodes, radius), radius, bucket_rows)
+    return _classes(prints, ["fp"], blocks(radius), radius, part_rows)
 
 
 def shingles(data: bytes, words: int = SHINGLE_WORDS, block: int = BLOCK) -> np.ndarray:
@@ -273,7 +286,7 @@ def shingles(data: bytes, words: int = SHINGLE_WORDS, block: int = BLOCK) -> np.
     from xxhash import xxh64_intdigest
 
     found, kept = [], []
-    for more in _blocks(data, block):
+    for more in _word_runs(data, block):
         kept += more
         if len(kept) >= words:
             found.append(np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(islice(kept, i, None) for i in range(words)))), np.uint64, len(kept) - words + 1)))

@@ -55,37 +55,66 @@ def test_odd_rows_and_brute_force(odd, none):
     assert S.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("bucket_rows", [3, 40, 6000])
-def test_links_of_random_fingerprints(spark, bucket_rows):
-    """Clusters and noise, with buckets so small that hot ones are cut into pairs of chunks."""
-    rng = random.Random(bucket_rows)
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+@pytest.mark.parametrize("part_rows", [20, 100, 200_000])
+def test_links_of_random_fingerprints(spark, part_rows):
+    """Clusters and noise, with parts so small that most links lie between parts; many share a leading block."""
+    rng = random.Random(part_rows)
     centre = rng.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in rng.sample(range(20), rng.randrange(7))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)}
+    far = [rng.getrandbits(64) for _ in range(60)]
+    fps |= {f ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 3, 4, 5]))) for f in far for _ in (0, 1)}
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, id long")
-    roots = {r.node: r.root for r in C.components(S.bucket_links(S.filed_by_blocks(nodes), ["fp"], 4, bucket_rows)).collect()}
+    nodes = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, id long")
+    roots = {r.node: r.root for r in C.components(S.index_links(nodes, ["fp"], S.blocks(), 4, part_rows)).collect()}
     want = classes(list(range(len(fps))), fps, lambda a, b: (a ^ b).bit_count() <= 4)
     assert [roots.get(i, i) for i in range(len(fps))] == want
 
 
-def test_tree_equals_all_pairs():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    fp = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 12, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(30, 40, 150).astype(np.uint64)) for b in base]))
+def gray_sorted(fp):
     g = fp.copy()
     for k in (1, 2, 4, 8, 16, 32):
         g ^= g >> np.uint64(k)
-    fp = fp[np.argsort(g)][:, None]
-    a, b = np.nonzero(np.bitwise_count(fp ^ fp.T) <= 4)
-    assert np.array_equal(S.tree_labels(fp), S.spanning(len(fp), a, b))
+    order = np.argsort(g)
+    return fp[order], (g[order] >> np.uint64(64 - 12)).astype(np.int64)
+
+
+def test_tree_equals_all_pairs_and_drops_groups():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    near = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 12, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(30, 40, 150).astype(np.uint64)) for b in base])
+    for fp in (np.unique(near), np.unique(np.concatenate([near, rng.integers(0, 1 << 63, 3000, dtype=np.uint64)]))):
+        fp, lead = gray_sorted(fp)
+        a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 4, 1))
+        want = S.spanning(len(fp), a, b)
+        seen = {}
+        assert np.array_equal(S.tree_labels(fp[:, None], np.zeros(len(fp), np.int64), seen=seen), want)
+        # with leading blocks, links of fingerprints that agree on theirs
+        same = (lead[a] == lead[b]) | (b == a + 1)
+        led = {}
+        got = S.tree_labels(fp[:, None], lead, seen=led)
+        assert np.array_equal(got, S.spanning(len(fp), a[same], b[same]))
+    assert seen["dropped"] > 0 and led["dropped"] > 0.3 * led["met"]
+
+
+def test_index_reaches_the_tree_for_every_part(spark, monkeypatch):
+    """No group is searched in another way, however small."""
+    rng = random.Random(5)
+    nodes = spark.createDataFrame([(signed(rng.getrandbits(64)), i) for i in range(40)], "fp long, id long")
+    monkeypatch.setattr(S, "tree_labels", lambda fp, lead, radius: np.zeros(len(fp), int))
+    links = S.index_links(nodes, ["fp"], S.blocks(), 4, 200_000)
+    assert C.components(links).count() == 39
 
 
-def test_block_pairs_catch_four_differences():
+def test_one_block_agrees_within_four_differences():
     rng = random.Random(1)
     for _ in range(300):
         x = rng.getrandbits(64)
         y = x ^ sum(1 << b for b in rng.sample(range(64), 4))
-        assert any(x & m == y & m for m in S.block_masks())
+        assert any((x ^ y) >> shift & (1 << width) - 1 == 0 for _, shift, width in S.blocks())
 
 
 def test_components_of_a_long_path(spark):
