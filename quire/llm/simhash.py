@@ -318,25 +318,35 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def majority(found: np.ndarray) -> int:
+    """The fingerprint of a set of hashed shingles."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 15):
+        total += np.unpackbits(found[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(found), bitorder="little").view(np.int64)[0])
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """docs(text_key, text) -> (text_key, node, n, keys): node stands for the set of shingles, n is its size."""
+    """docs(text_key, text) -> (text_key, node, n, fp, keys): node stands for the set of shingles, n is its size, fp its
+    fingerprint."""
     from xxhash import xxh64_intdigest
 
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for x in b.column(1).to_pylist():
                 found = shingles(x)
                 nodes.append(xxh64_intdigest(found.tobytes(), SEED) >> 1)
                 sizes.append(len(found))
+                fps.append(majority(found))
                 keys.append(band_keys(found))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["text_key", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), lists], ["text_key", "node", "n", "fp", "keys"])
 
-    return docs.select("text_key", utf8(F.col("text")).alias("text")).mapInArrow(run, "text_key long, node long, n int, keys array<long>")
+    return docs.select("text_key", utf8(F.col("text")).alias("text")).mapInArrow(run, "text_key long, node long, n int, fp long, keys array<long>")
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
@@ -409,19 +419,36 @@ def confirmed(grouped: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return out
 
 
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
+    """nodes(node, fp), several of which may share a fingerprint -> (a, b): links that connect just what links of at most
+    `radius` differing bits connect, by the Gray-order index."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("id")), "firsts")
+    equal = nodes.join(firsts.hint("merge"), "fp").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return index_links(firsts, ["fp"], blocks(radius), radius, part_rows).unionByName(equal)
+
+
+def minhash_links(nodes: DataFrame) -> DataFrame:
+    """nodes(node, keys) -> (a, b): every node with the least node of each MinHash key that it has."""
+    rows = materialize(nodes.select("node", F.explode("keys").alias("k")), "filed")
+    least = rows.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("k", "a")
+    return rows.join(materialize(least, "least").hint("merge"), "k").where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def similar_texts(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """docs(text_key, text) -> (text_key, root): classes of texts that links of Jaccard similarity 0.8 or more connect.
 
-    Texts are compared as sets of five-word shingles; equal sets are one node. Candidates share one of BANDS MinHash keys of
-    BAND_ROWS minima each: a pair of 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6. Nodes that candidates connect
+    Texts are compared as sets of five-word shingles; equal sets are one node. Candidates come from two sides: fingerprints
+    within RADIUS bits, by the Gray-order index, which is certain to give the closest copies; and MinHash, as a pair of just
+    0.8 differs in 10 of 64 bits on average, beyond any radius that an index can prune: candidates share one of BANDS keys of
+    BAND_ROWS minima each, and such a pair is missed with probability (1 - 0.8**5)**32 = 3e-6. Nodes that candidates connect
     form a group, and each group is searched for all links by exact similarity."""
     found = materialize(shingled(docs.dropDuplicates(["text_key"])), "shingled")
-    nodes = found.groupBy("node").agg(F.min(F.struct("text_key", "n", "keys")).alias("x")).select("node", "x.text_key", "x.n", "x.keys")
-    filed = materialize(nodes.where("n > 0").select("node", "text_key", F.explode("keys").alias("k")), "filed")
-    least = filed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("k", "a")
-    shared = materialize(filed.join(materialize(least, "least").hint("merge"), "k").select("node", "text_key", "a"), "shared")
-    groups = components(shared.select("a", F.col("node").alias("b")))
-    wanted = shared.select("node", "text_key").distinct().join(groups, "node", "left").select("text_key", "node", F.coalesce("root", "node").alias("root"))
+    nodes = found.where("n > 0").groupBy("node").agg(F.min(F.struct("text_key", "n", "fp", "keys")).alias("x")).select("node", "x.text_key", "x.fp", "x.keys")
+    nodes = materialize(nodes, "nodes")
+    edges = fingerprint_links(nodes.select("node", "fp")).unionByName(minhash_links(nodes.select("node", "keys")))
+    groups = components(edges.distinct())
+    members = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    wanted = nodes.select("node", "text_key").join(materialize(members, "members").hint("merge"), "node").select("text_key", "node", "root")
     texts = docs.dropDuplicates(["text_key"]).join(materialize(wanted, "wanted").hint("merge"), "text_key")
     roots = components(confirmed(materialize(texts.select("root", "node", utf8(F.col("text")).alias("text")), "texts"), group_rows))
     return found.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))

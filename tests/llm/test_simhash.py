@@ -183,3 +183,18 @@ def test_texts_of_one_id_stay_apart(spark):
     rows = [(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (None, near(two))]
     kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, " ".join(one)), (1, " ".join(two)), (0, near(two))])
+
+
+def test_close_copies_come_from_the_index(spark):
+    """Texts within the radius are candidates without MinHash; nodes that share a fingerprint too."""
+    rng = random.Random(2)
+    fps = [rng.getrandbits(63) for _ in range(50)]
+    rows = [(i, f) for i, f in enumerate(fps)] + [(100 + i, f ^ 0b1001) for i, f in enumerate(fps[:20])] + [(200 + i, f) for i, f in enumerate(fps[:5])]
+    nodes = spark.createDataFrame(rows, "node long, fp long")
+    got = {r.node: r.root for r in C.components(S.fingerprint_links(nodes)).collect()}
+    assert got == {100 + i: i for i in range(20)} | {200 + i: i for i in range(5)}
+
+
+def test_majority_is_the_fingerprint_of_distinct_shingles():
+    text = " ".join(f"w{i}" for i in range(70000)).encode()
+    assert S.majority(S.shingles(text)) % (1 << 64) == S.fingerprint(text, 5)
