@@ -1,13 +1,16 @@
 """Personal data: plain identifiers, and disguised ones found through offset-preserving transducers.
 
 Plain (base) spans are the leftmost non-overlapping matches per kind of the fixed patterns below that pass their checks.
-Disguised ones: one transducer maps characters (look-alike letters and digits of other scripts and widths; invisible
-characters to nothing), a second maps tokens (bracketed or spelled "at" and "dot", runs of spelled digits, a spelled plus).
-Both keep for each piece of output the source characters it came from; identifiers found in the output that cover a
-changed piece are mapped back and added, unless they overlap a base span without containing it. Base spans always stay.
+Disguised ones: a first transducer maps characters (compatibility forms and digits of any script by their Unicode
+decomposition, look-alike letters and signs by a table, format characters to nothing); a second reads signs and number words
+and what lies on either side of them (state and class give the output: bracketed or spelled "at" and "dot", runs of spelled
+digits, a spelled plus). Both write a tape that keeps for each piece of output the source characters it came from;
+identifiers found in the output that cover a changed piece are mapped back and added, unless they overlap a base span
+without containing it, or only lengthen a base number. Base spans always stay. Both run over every text, in time linear in
+its length.
 
-A spelled "at" or "dot" without brackets counts only inside a complete address: a host that ends in a known top-level
-domain, and, where its dots are plain, a name with a dot, a digit or an underscore. Spelled digits count only in runs of seven or more.
+A spelled "at" or "dot" without brackets counts only in an address that ends in a known top-level domain; where only the "at"
+is spelled so, the name must hold a dot, a digit or an underscore ("meet us at example.com" is prose).
 
 Nulls and odd input: a null or empty text has no spans; a null doc_id stays null; repeated rows are searched each; extra
 columns are ignored; an empty table gives an empty result. Positions are code points, the end exclusive.
@@ -19,6 +22,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
 
 import pandas as pd
@@ -75,9 +79,15 @@ def plain_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-# Letters of other scripts that look like Latin ones, top-level domains, digits and signs in words.
-ALIKE = dict(zip("АВЕКМНОРСТХУІЈЅавекмнорстхуіјѕԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοιρνυκ", "ABEKMHOPCTXYIJSaBekmhopctxyijsdqwhABEZHIKMNOPTYXaoipvuk"))
-INVISIBLE = "­​‌‍⁠﻿"
+# Characters that look like ASCII ones and have no such decomposition, top-level domains, digits and signs in
+# words, brackets.
+ALIKE = dict(
+    zip(
+        "АВЕКМНОРСТХУІЈЅавекмнорстхуіјѕԁԛԝһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοιρνυκϲօսհցⲟɑɡıʟᴏᴄᴜᴠᴡᴢꜱ‐‑‒–—−⁃·•∙。ⓐ",
+        "ABEKMHOPCTXYIJSaBekmhopctxyijsdqwhlABEZHIKMNOPTYXaoipvukcouhgoagilocuvwzs-------....@",
+        strict=True,
+    )
+)
 DOMAINS = "com org net edu gov io info biz int mil dev app co me us uk de fr es eu it nl ch at be pl ca au br mx ru in jp cn example test".split()
 DIGIT_WORDS = (
     "zero one two three four five six seven eight nine",
@@ -86,120 +96,190 @@ DIGIT_WORDS = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
 AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|arroba|arobase", "dot|punto|punkt|point", "plus|más"
+OPEN, CLOSE = "([{<", ")]}>"
 
 _DIGIT_OF = {w: str(i) for words in DIGIT_WORDS for i, w in enumerate(words.split())} | {"oh": "0"}
 _NUMBER = "|".join(sorted(map(re.escape, _DIGIT_OF), key=len, reverse=True))
-_LABEL = "[A-Za-z0-9-]+"
-_DOT = rf"(?:\.|\s+(?:{DOT_WORDS})\s+|\s*[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*)"
-_TOP = rf"(?:{'|'.join(DOMAINS)})\b"
-_TOKENS = re.compile(
-    rf"""(?P<boxed_at>\s*[(\[{{<]\s*(?:{AT_WORDS}|@)\s*[)\]}}>]\s*)(?={_LABEL})
-    |(?P<boxed_dot>\s*[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*)(?=[A-Za-z0-9])
-    |(?P<at>\s+(?:{AT_WORDS})\s+)(?={_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}{_TOP})
-    |(?<=[A-Za-z0-9])(?P<dot>\s+(?:{DOT_WORDS})\s+)(?=(?:{_LABEL}{_DOT})*?{_TOP}|[0-9]{{1,3}}\b)
-    |(?<!\w)(?P<run>(?:(?:{PLUS_WORDS})\s+|\+\s*)?(?:{_NUMBER}|[0-9]+)(?:[\s,-]+(?:{_NUMBER}|[0-9]+)){{6,}})(?!\w)""",
-    re.I | re.X,
-)
-_RUN_PARTS = re.compile(rf"(?P<plus>{PLUS_WORDS}|\+)|(?P<word>{_NUMBER})|[0-9]+", re.I)
-# The same patterns without what only delimits them: each matches wherever the one of _TOKENS does.
-_BOXED = re.compile(rf"[(\[{{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[)\]}}>]", re.I)
-_AT = re.compile(rf"\s(?:{AT_WORDS})\s+(?={_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}{_TOP})", re.I)
-_DOTS = re.compile(rf"\s(?:{DOT_WORDS})\s+(?=(?:{_LABEL}{_DOT})*?{_TOP}|[0-9]{{1,3}}\b)", re.I)
-_WORD = re.compile(rf"(?<!\w)(?:{_NUMBER})(?!\w)", re.I)
-_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER}|[0-9]+)(?:[\s,-]+(?:{_NUMBER}|[0-9]+)){{6,}}(?!\w)", re.I)
-_ODD = re.compile(f"[{''.join(ALIKE)}{INVISIBLE}٠-٩۰-۹०-९！-～]")
-
-
-def suspicious(text: str) -> bool:
-    """Whether a transducer has anything to change: lets most texts skip them, and never one they would change."""
-    return (
-        (not text.isascii() and _ODD.search(text) is not None)
-        or _BOXED.search(text) is not None
-        or _AT.search(text) is not None
-        or _DOTS.search(text) is not None
-        or any(_WORD.search(m[0]) for m in _RUN.finditer(text))
-    )
+_SIGN = re.compile(rf"\b(?:(?P<at>{AT_WORDS})|(?P<dot>{DOT_WORDS})|(?P<plus>{PLUS_WORDS}))\b|[(\[{{<]\s*+(?P<sign>[.@a])\s*+[)\]}}>]")
+_RUN = re.compile(rf"\b(?:(?:{_NUMBER})\b|[0-9]++\b)(?:[\s,-]++(?:(?:{_NUMBER})\b|[0-9]++\b))*+")
+_PART = re.compile(rf"(?P<word>{_NUMBER})|[0-9]+")
+_HOST_BEGIN = re.compile(rf"[A-Za-z0-9-]++(?:\.[A-Za-z0-9]|\s++(?:{DOT_WORDS})\b|\s*+[(\[{{<]\s*+(?:{DOT_WORDS}|\.))", re.I)
+_AFTER = re.compile(r"\s*+")
+#: The second transducer: (what is on the left, the token's class, what is on the right) -> (output, whether it is loose).
+SIGNS = {
+    ("space", "at", "space"): ("@", True),
+    ("space", "dot", "space"): (".", True),
+    ("open", "at", "close"): ("@", False),
+    ("open", "dot", "close"): (".", False),
+    ("open", "@", "close"): ("@", False),
+    ("open", "a", "close"): ("@", False),
+    ("open", ".", "close"): (".", False),
+}
+
+Edit = tuple[int, int, str, bool]  # start, end, output, loose
 
 
 class Tape:
-    """Output of a transducer with the source of each piece: begin(s) of output, begins and ends of source, changed or not."""
-
-    def __init__(self, text: str):
-        self.parts, self.out, self.source, self.end, self.changed, self.length = [], [0], [0], [len(text)], [False], len(text)
-        self.text = text
+    """Output of a transducer with the source of each piece: begins of output, begins and ends of source, changed or not."""
 
-    @classmethod
-    def of(cls, text: str, edits: list[tuple[int, int, str]]) -> Tape:
-        """edits: disjoint (start, end, replacement), by start."""
-        tape = cls(text)
-        tape.out, tape.source, tape.end, tape.changed = [], [], [], []
+    def __init__(self, text: str, edits: list[Edit]):
+        self.out, self.source, self.end, self.edit, parts = [], [], [], [], []
         at = n = 0
-        for start, end, new in [*edits, (len(text), len(text), "")]:
-            if start > at:
-                tape._piece(n, at, start, False, text[at:start])
-                n += start - at
-            if end > start:
-                tape._piece(n, start, end, True, new)
-                n += len(new)
-            at = end
-        tape.text, tape.length = "".join(tape.parts), n
-        return tape
-
-    def _piece(self, out: int, source: int, end: int, changed: bool, text: str) -> None:
-        for column, value in zip((self.out, self.source, self.end, self.changed, self.parts), (out, source, end, changed, text)):
-            column.append(value)
-
-    def back(self, start: int, end: int) -> tuple[int, int, bool]:
-        """Source span of an output span, and whether a changed piece is in it."""
-        i = bisect_right(self.out, start) - 1
-        j = bisect_right(self.out, end - 1) - 1
-        begin = self.source[i] + (0 if self.changed[i] else start - self.out[i])
-        stop = self.end[j] if self.changed[j] else self.source[j] + end - self.out[j]
-        return begin, stop, any(self.changed[i : j + 1])
-
-
-def _plain_char(c: str) -> str:
-    if c in INVISIBLE:
+        for edit in [*edits, (len(text), len(text), "", False)]:
+            for start, end, new, by in ((at, edit[0], text[at : edit[0]], None), (*edit[:3], edit)):
+                if end > start:
+                    for column, value in zip((self.out, self.source, self.end, self.edit, parts), (n, start, end, by, new)):
+                        column.append(value)
+                    n += len(new)
+            at = edit[1]
+        self.text = "".join(parts)
+
+    def back(self, start: int, end: int) -> tuple[int, int, list[Edit]]:
+        """Source span of an output span, and the edits in it."""
+        i, j = bisect_right(self.out, start) - 1, bisect_right(self.out, end - 1) - 1
+        begin = self.source[i] if self.edit[i] else self.source[i] + start - self.out[i]
+        stop = self.end[j] if self.edit[j] else self.source[j] + end - self.out[j]
+        return begin, stop, [e for e in self.edit[i : j + 1] if e]
+
+
+@cache
+def plain_char(c: str) -> str | None:
+    """What a character beyond ASCII stands for, null if for itself."""
+    if c in ALIKE:
+        return ALIKE[c]
+    kind = unicodedata.category(c)
+    if kind == "Cf" or "\ufe00" <= c <= "\ufe0f":
         return ""
-    if (known := ALIKE.get(c)) is not None:
-        return known
-    return chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else str(unicodedata.digit(c))
-
-
-def _run(text: str) -> str:
-    return "".join("+" if m["plus"] else _DIGIT_OF[m[0].lower()] if m["word"] else m[0] for m in _RUN_PARTS.finditer(text))
-
-
-def _token(m: re.Match) -> str | None:
-    if m["run"]:
-        return _run(m[0]) if re.search(_NUMBER, m[0], re.I) else None
-    if m["at"]:  # with plain dots after it ("see us at example.com") the word before must look like a user name
-        host = re.match(rf"{_LABEL}(?:{_DOT}{_LABEL})+", m.string[m.end() :], re.I)
-        name = re.search(r"\S*$", m.string[: m.start()])
-        return "@" if re.search(r"[\s(\[{<]", host[0]) or re.search("[._0-9]", name[0]) else None
-    return "@" if m["boxed_at"] else "."
+    if kind == "Nd":
+        return str(unicodedata.digit(c))
+    if unicodedata.decomposition(c).startswith("<"):
+        plain = "".join(ALIKE.get(x, x) for x in unicodedata.normalize("NFKC", c))
+        return plain if plain.isascii() else None
+    return None
+
+
+def char_edits(text: str) -> list[Edit]:
+    if text.isascii():
+        return []
+    odd = {c: plain for c in set(text) if c > "\x7f" and (plain := plain_char(c)) is not None}
+    return [(m.start(), m.end(), odd[m[0]], False) for m in re.finditer(f"[{''.join(odd)}]", text)] if odd else []
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def token_edits(text: str) -> list[Edit]:
+    low, n = _lower(text), len(text)
+    runs = {m.end(): m for m in _RUN.finditer(low)}
+    run_at = {m.start(): m for m in runs.values()}
+    signs: list[Edit] = []
+    plus: dict[int, int] = {}  # begin of what follows a spelled plus -> its own begin
+    free = 0  # no sign looks back beyond the one before
+
+    def left_of(at: int) -> int:
+        return free + len(text[free:at].rstrip())
+
+    for m in _SIGN.finditer(low):
+        kind, start, end = m.lastgroup, *m.span()
+        if kind == "plus":
+            plus[_AFTER.match(text, end).end()] = start
+            free = end
+            continue
+        if kind == "sign":
+            state = ("open", m["sign"], "close")
+        else:
+            a, b = left_of(start), _AFTER.match(text, end).end()
+            boxed = a > free and b < n and text[a - 1] in OPEN and text[b] in CLOSE
+            state = ("open" if boxed else "space" if a < start else "", kind, "close" if boxed else "space" if b > end else "")
+            start, end = (a - 1, b + 1) if boxed else (start, end)
+        output, loose = SIGNS.get(state, (None, False))
+        if output:
+            a, b = left_of(start), _AFTER.match(text, end).end()
+            before, behind = text[a - 1] if a > free else "", text[b] if b < n else ""
+            if output == "@":
+                fits = before and before in LOCAL and _HOST_BEGIN.match(text, b)
+            else:
+                fits = before.isascii() and before.isalnum() and behind.isascii() and behind.isalnum() or (a in runs and b in run_at)
+            if fits:
+                signs.append((a, b, output, loose))
+                end = b
+        free = end
+    address = "@" in text or any(e[2] == "@" for e in signs)
+    number = lambda a, b: (a in runs or text[a - 1 : a].isdigit()) and (b in run_at or text[b : b + 1].isdigit())
+    signs = [e for e in signs if e[2] == "@" or address or number(*e[:2])]
+    dots = {x for e in signs if e[2] == "." for x in e[:2]}
+    edits = list(signs)
+    for m in runs.values():
+        start, end = m.span()
+        parts = list(_PART.finditer(low, start, end))
+        spelled = any(p["word"] for p in parts)
+        a = plus.get(start)
+        if a is None and start and spelled:  # a plus sign before a run, with or without a blank
+            b = start - 1 if text[start - 1].isspace() else start
+            a = b - 1 if b and text[b - 1] == "+" else None
+        dotted = start in dots or end in dots or text[end : end + 1] == "." and number(end, end + 1) or text[start - 1 : start] == "." and number(start - 1, start)
+        if spelled and (len(parts) > 1 or a is not None or dotted):
+            digits = "".join(_DIGIT_OF[p[0]] if p["word"] else p[0] for p in parts)
+            edits.append((start if a is None else a, end, digits if a is None else f"+{digits}", False))
+        elif a is not None:
+            edits.append((a, start, "+", False))
+    edits.sort(key=lambda e: e[:2])
+    at, out = 0, []
+    for e in edits:
+        if e[0] >= at:
+            out.append(e)
+            at = e[1]
+    return out
+
+
+def _address(text: str, start: int, end: int, changed: list[Edit]) -> int | None:
+    """Where a disguised address ends: behind its last label that can be a domain; null if it is none."""
+    loose = {e[2] for e in changed if e[3]}
+    dots = any(e[2] == "." for e in changed)
+    known = DOMAINS if loose else None
+    name, host = text[start:end].split("@", 1)
+    if "@" in loose and not dots and not re.search("[._0-9]", name):
+        return None
+    labels = host.split(".")
+    while len(labels) > 1 and not (labels[-1].lower() in known if known else re.fullmatch("[A-Za-z]{2,}", labels[-1])):
+        end -= len(labels.pop()) + 1
+    return end if len(labels) > 1 else None
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    first = Tape.of(text, [(m.start(), m.end(), _plain_char(m[0])) for m in _ODD.finditer(text)])
-    second = Tape.of(first.text, [(m.start(), m.end(), t) for m in _TOKENS.finditer(first.text) if (t := _token(m)) is not None])
+    chars = char_edits(text)
+    first = Tape(text, chars)
+    tokens = token_edits(first.text)
+    if not chars and not tokens:
+        return []
+    second = Tape(first.text, tokens)
     found: list[Span] = []
+    of_kind = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # each in order and disjoint
+
+    def overlapping(a, b):
+        for k, spans in enumerate(of_kind):
+            i = bisect_right(spans, a, key=lambda x: x[1])
+            while i < len(spans) and spans[i][0] < b:
+                yield spans[i][0], k, spans[i][1]
+                i += 1
+
     for start, kind, end in plain_spans(second.text):
-        if kind == 0:  # the last label of a disguised address must look like a domain
-            host = second.text[start:end].rsplit(".", 1)
-            while len(host) == 2 and not re.fullmatch("[A-Za-z]{2,}", host[1]):
-                end -= len(host[1]) + 1
-                host = host[0].rsplit(".", 1)
-            if len(host) < 2 or "@" not in host[0]:
+        a, b, changed = second.back(start, end)
+        if kind == 0:
+            end = _address(second.text, start, end, changed)
+            if end is None:
                 continue
-        a, b, changed2 = second.back(start, end)
-        a, b, changed1 = first.back(a, b)
+            a, b, changed = second.back(start, end)
+        a, b, odd = first.back(a, b)
         while a < b and text[b - 1].isspace():
             b -= 1
         while a < b and text[a].isspace():
             a += 1
-        touched = [(s, e) for s, _, e in base if a < e and s < b]
-        if (changed1 or changed2) and a < b and all(a <= s and e <= b and (a, b) != (s, e) for s, e in touched):
+        # number words behind a plain number do not lengthen it
+        if (changed or odd) and a < b and all(a <= s and e <= b and (a, b) != (s, e) and (k != kind or not kind) for s, k, e in overlapping(a, b)):
             found.append((a, kind, b))
     return sorted(found)
 
@@ -207,7 +287,7 @@ def disguised_spans(text: str, base: list[Span]) -> list[Span]:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans)."""
     base = plain_spans(text)
-    more = disguised_spans(text, base) if text and suspicious(text) else []
+    more = disguised_spans(text, base) if text else []
     return base, sorted(base + more) if more else base
 
 
