@@ -75,22 +75,69 @@ def test_signals(odd, none):
     assert Q.signals(none).count() == 0
 
 
-def test_cutoffs_keep_the_risk(spark):
-    """4,000 good documents: the strictest cutoff is chosen whose exact binomial tail passes."""
-    n, rng = 4000, np.random.default_rng(0)
-    symbols = rng.choice([0, 3, 12, 30], n, p=[0.97, 0.0280, 0.0015, 0.0005])
-    rows = [(i, "en", 100, 500, int(s), 0, 0) for i, s in enumerate(symbols)]
-    good = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    share, level = Q.RISK / len(Q.RULES), Q.ERROR / sum(len(g) for _, _, _, g, _ in Q.RULES.values())
+SIGNALS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
+def plain_cutoffs(rows, strata):
+    """The procedure of the docstring, stratum by stratum."""
+    from hashlib import md5
+
+    def rejects(r, c, x):
+        signal, base, factor, _, low = Q.RULES[r]
+        a, b = x[signal] * factor, c * x[base]
+        return a < b if low else a > b
+
+    out = {}
+    for s in strata:
+        mine = [dict(zip([c.split()[0] for c in SIGNALS.split(", ")], x)) for x in rows if x[1] == s]
+        first = [x for x in mine if md5(str(x["doc_id"]).encode()).hexdigest()[0] in Q.PROPOSES]
+        rest = [x for x in mine if x not in first]
+        reach = {r: sum(sum(rejects(r, c, x) for x in first) <= Q.TARGET * len(first) for c in Q.RULES[r][3]) for r in Q.RULES}
+        for level in range(1, Q.LEVELS + 1):
+            cuts = {r: Q.RULES[r][3][(n - 1) * level // Q.LEVELS] for r, n in reach.items() if n}
+            n, k = len(rest), sum(any(rejects(r, c, x) for r, c in cuts.items()) for x in rest)
+            if sum(comb(n, i) * Q.RISK**i * (1 - Q.RISK) ** (n - i) for i in range(k + 1)) > Q.ERROR / len(strata):
+                break
+            out[s] = (level, n, k, *(cuts.get(r) for r in Q.RULES))
+    return out
 
-    def tail(k):
-        return sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1))
 
-    want = min(c for c in Q.RULES["symbols"][3] if tail(int((symbols * 1000 > c * 100).sum())) <= level)
-    got = Q.cutoffs(good).first()
-    assert got.cut_symbols == want and got.cut_repeats == 20
-    few = Q.cutoffs(good.limit(200)).first()
-    assert few.cut_symbols is None and few.cut_repeats is None
+def test_cutoffs_are_those_of_the_procedure(spark):
+    """Strata in which all steps are safe, the path ends early, the first step fails, and there are too few documents."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for s, n, share, rate in (("clean", 600, 0.001, 12), ("mixed", 900, 0.03, 30), ("violating", 900, 0.3, 3000), ("few", 60, 0.0, 0)):
+        for _ in range(n):
+            # what rejects too many in the part that decides, and few in the part that proposes
+            rows.append((len(rows), s, 1000, int(rng.integers(4200, 7900)), int(rate if rng.random() < share else 0), int(rng.random() < share / 4), 0))
+    strata = ["clean", "mixed", "violating", "few"]
+    got = {r.stratum: tuple(r)[1:] for r in Q.cutoffs(spark.createDataFrame(rows, SIGNALS)).collect()}
+    want = plain_cutoffs(rows, strata)
+    assert got == want and "clean" in want and "few" not in want
+
+
+def test_a_path_ends_at_the_first_step_that_is_not_safe(spark):
+    from hashlib import md5
+
+    rows = []
+    for i in range(900):
+        proposes = md5(str(i).encode()).hexdigest()[0] in Q.PROPOSES
+        rows.append((i, "s", 1000, 5000, 0 if proposes or i % 10 else 60, 0, 0))  # a tenth of the deciding part at 60 symbols
+    want = plain_cutoffs(rows, ["s"])
+    got = {r.stratum: tuple(r)[1:] for r in Q.cutoffs(spark.createDataFrame(rows, SIGNALS)).collect()}
+    assert got == want and 0 < want["s"][0] < Q.LEVELS and want["s"][3] > 60
+
+
+def test_false_rejections_keep_to_the_risk(spark):
+    """Many strata of random signals: rarely does one lose more than the risk of its whole population."""
+    rng = np.random.default_rng(3)
+    rows, share = [], {}
+    for s in range(40):
+        share[s] = rng.uniform(0.0, 0.12)  # of documents that only the strictest cutoff rejects
+        rows += [(len(rows) + i, str(s), 1000, 5000, 15 if rng.random() < share[s] else 0, 0, 0) for i in range(400)]
+    got = {int(r.stratum): r.cut_symbols for r in Q.cutoffs(spark.createDataFrame(rows, SIGNALS)).collect()}
+    assert not [s for s, c in got.items() if c is not None and c < 15 and share[s] > Q.RISK]
+    assert sum(c is not None and c < 15 for c in got.values()) > 0
 
 
 def test_rules_on_odd_rows(spark, odd, none):
@@ -101,7 +148,8 @@ def test_rules_on_odd_rows(spark, odd, none):
 
 
 def test_rules_run_without_python(spark, odd):
-    plan = Q.signals(odd)._jdf.queryExecution().toString() + H.shard_rows(odd)._jdf.queryExecution().toString()
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = Q.apply_rules(odd, labels)._jdf.queryExecution().toString() + Q.signals(odd)._jdf.queryExecution().toString() + H.shard_rows(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
