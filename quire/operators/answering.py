@@ -12,6 +12,7 @@ from quire.functions import vectors as V
 from quire.operators import relational as R
 from quire.operators import search as S
 from quire.sources import models as M
+from quire.sources.scratch import materialize
 
 ATTRIBUTION_MIN, LOW_CONFIDENCE = 0.5, 0.90
 
@@ -76,7 +77,7 @@ def images(cited: DataFrame, elements: DataFrame, links: DataFrame) -> DataFrame
     words = elements.select(F.col("id").alias("source_id"), "text", "reading_order")
     caption = links.where("kind = 'caption_of'").select("source_id", F.col("target_id").alias("figure_id")).join(words, "source_id").groupBy("figure_id").agg(F.max_by("text", "reading_order").alias("caption"))
     placed = first.join(caption, "figure_id", "left").withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy(*order)))
-    return placed.select("question_id", "position", (F.col("position") == 1).alias("is_primary"), F.col("figure_id").alias("element_id"), "document_id", "page", "box", "caption", "unit_id")
+    return placed.select("question_id", "position", (F.col("position") == 1).alias("is_primary"), F.col("figure_id").alias("element_id"), "document_id", "page", "box", "caption", "unit_id", "image_key")
 
 
 def attribute(answers: DataFrame, supplied: DataFrame, least: float = ATTRIBUTION_MIN, embed=M.embed) -> DataFrame:
@@ -155,34 +156,86 @@ def require_ready(documents: list[str], known: DataFrame, completed: DataFrame)
         raise InvalidQuestion(f"documents not ready: {waiting}")
 
 
-def answer_questions(questions: DataFrame, units: DataFrame, documents: list[str] | None = None, candidates: int = S.CANDIDATES, top_k: int = S.TOP_K, least: float = S.MIN_RELEVANCE, judge=M.judge, generate=M.generate, embed=M.embed) -> DataFrame:
+def _arranged(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """question_id and the other columns of its rows as an array of structs, in order."""
+    fields = [order, *(c for c in rows.columns if c not in ("question_id", order))]
+    return rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: (a[order] - b[order]).cast("int")).alias(name))
+
+
+class MissingCrop(RuntimeError):
+    """A figure that an answer shows has no stored crop."""
+
+
+def evidence(kept: DataFrame, cited: DataFrame, elements: DataFrame, links: DataFrame, names: DataFrame, crops: DataFrame | None = None) -> DataFrame:
+    """question_id, sources, images: what each answer was made from, cited or not, and the figures of what it cites, the
+    primary one first. With crops(image_key), a figure without a stored crop fails."""
+    numbered = materialize(kept.join(citation_numbers(cited), ["question_id", "unit_id"], "left"), "numbered")
+    shown = materialize(images(numbered.where("citation_number is not null"), elements, links), "shown")
+    if crops is not None and (lost := [r.image_key for r in missing_crops(shown, crops).select("image_key").limit(5).collect()]):
+        raise MissingCrop(", ".join(lost))
+    return _arranged(sources(numbered.drop("document_name"), elements, names), "rank", "sources").join(_arranged(shown, "position", "images"), "question_id", "full")
+
+
+def answer_questions(
+    questions: DataFrame,
+    units: DataFrame,
+    documents: list[str] | None = None,
+    candidates: int = S.CANDIDATES,
+    top_k: int = S.TOP_K,
+    least: float = S.MIN_RELEVANCE,
+    judge=M.judge,
+    generate=M.generate,
+    embed=M.embed,
+    embed_query=M.embed_query,
+    elements: DataFrame | None = None,
+    links: DataFrame | None = None,
+    names: DataFrame | None = None,
+    crops: DataFrame | None = None,
+) -> DataFrame:
     """The whole answer path for a batch of questions (question_id, text, language): search, distinct, judge, pinned top-k,
-    gate, prompt, generate, attribute, cite. One row per question: reason, message, text, citations, top_relevance.
-
-    units: the stored units (unit_id, document_id, document_name, text, heading_path, pages, dense, visible). The gate is a
-    filter below the generator, so no model is asked for questions that it stops; those join again at the end."""
-    q = questions.withColumn("dense", embed(F.col("text")))
+    gate, prompt, generate, attribute, cite. One row per question: reason, message, text, citations, top_relevance; with
+    elements, links and names(document_id, document_name) also its sources and images.
+
+    units: the stored units (unit_id, document_id, document_name, text, heading_path, pages, dense, visible), with their
+    vectors: these are made when units are stored, and here only questions and statements are embedded. What a model made is
+    written once, so no call is repeated for a later step. The gate is a filter below the generator, so no model is asked for
+    questions that it stops; those join again at the end."""
+    q = materialize(questions.withColumn("dense", embed_query(F.col("text"))), "questions")
     open_units = S.searchable(units, documents=documents)
-    hits = S.hybrid(q, open_units, candidates * S.OVER_FETCH)
-    body = open_units.withColumn("embedding_text", T.embedding_text(F.col("heading_path"), F.col("text"))).drop("dense")
-    hits = S.distinct_hits(hits.join(body, "unit_id"), candidates)
+    found = materialize(S.hybrid(q, open_units, candidates * S.OVER_FETCH), "found")
+    body = S.of_hits(found, open_units.drop("dense")).withColumn("embedding_text", T.embedding_text(F.col("heading_path"), F.col("text")))
+    hits = S.distinct_hits(found.join(body, "unit_id"), candidates)
     asked = hits.join(questions.select("question_id", F.col("text").alias("question")), "question_id")
     judged = asked.withColumn("relevance", judge(F.col("question"), F.col("embedding_text"))).withColumn("pinned", S.holds_identifier(T.fold(F.col("embedding_text")), T.fold(F.col("question"))))
-    kept = S.pinned_top(judged, top_k)
-    gates = S.gate(kept)
+    kept = materialize(S.pinned_top(materialize(judged, "judged"), top_k), "kept")
+    gates = S.gate(kept, least)
     passed = kept.join(gates.where("passes").select("question_id"), "question_id", "left_semi")
     blocks = passed.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", T.source_block(F.col("rank"), F.col("document_name"), F.col("pages"), F.col("heading_path"), F.col("text")).alias("block")))), lambda x: x["block"]).alias("blocks"), F.first("question").alias("question"))
     replies = blocks.withColumn("reply", generate(T.prompt(F.col("blocks"), F.col("question")))).select("question_id", F.col("reply.answer").alias("answer"), F.col("reply.not_covered").alias("not_covered"))
-    cited = cite(attribute(replies, passed, embed=embed).select("question_id", "answer"), passed)
+    replies = materialize(replies, "replies")
+    cited = materialize(cite(attribute(replies, passed, embed=embed).select("question_id", "answer"), passed), "cited")
     out = questions.join(gates, "question_id", "left").join(replies, "question_id", "left").join(cited.withColumnRenamed("text", "cited_text"), "question_id", "left")
-    reason = outcome(F.col("passes").isNotNull(), F.col("passes"), F.col("answer"), F.col("citations"))
-    out = out.withColumn("reason", reason)
-    return out.select(
+    out = out.withColumn("reason", outcome(F.col("passes").isNotNull(), F.col("passes"), F.col("answer"), F.col("citations")))
+    answered = F.col("reason").isNull()
+    columns = [
         "question_id",
-        F.when(F.col("reason").isNull(), "answered").otherwise("not_enough_information").alias("status"),
+        F.when(answered, "answered").otherwise("not_enough_information").alias("status"),
         "reason",
-        F.when(F.col("reason").isNotNull(), T.message(F.col("reason"), F.col("language"))).otherwise(F.col("cited_text")).alias("text"),
-        F.when(F.col("reason").isNull(), F.col("citations")).alias("citations"),
+        F.when(~answered, T.message(F.col("reason"), F.col("language"))).otherwise(F.col("cited_text")).alias("text"),
+        F.when(answered, F.col("citations")).alias("citations"),
         "top_relevance",
         "not_covered",
-    )
+    ]
+    if elements is not None:
+        out = out.join(evidence(passed, cited, elements, links, names, crops), "question_id", "left")
+        columns += [F.when(answered, F.col(c)).alias(c) for c in ("sources", "images")]
+    return out.select(*columns)
+
+
+def ask(spark, text: str, units: DataFrame, known: DataFrame, completed: DataFrame, documents: list[str] | None = None, candidates: tuple[str, ...] = ("en", "es"), **how) -> DataFrame:
+    """One question as a client asks it: validated, its documents ready, its language identified, answered."""
+    text, documents = validated(text, documents)
+    if documents is not None:
+        require_ready(documents, known, completed)
+    one = spark.createDataFrame([("q", text)], "question_id string, text string")
+    return answer_questions(one.withColumn("language", M.identify_language(F.col("text"), candidates)), units, documents, **how)

@@ -12,8 +12,9 @@ from quire.operators import search as S
 from quire.plans.library import table
 from quire.plans.registry import query
 from quire.plans.texts import FOLD
+from quire.sources.scratch import materialize
 
-_TERMS = f"regexp_extract_all({FOLD}, '[a-z0-9]+')"
+_TERMS = rf"regexp_extract_all({FOLD}, '[\p{{{{L}}}}\p{{{{N}}}}]+')"
 _BM25 = f"""
 u as (select doc_id as unit_id, {_TERMS.format('coalesce(text, chr(32))')} as w from documents),
 p as (select unit_id, len(w) as length, unnest(w) as term from u),
@@ -59,21 +60,20 @@ def dense_topk(spark, d):
 
 @query(
     "hybrid_rrf",
-    f"""with {_BM25}, vu as (select unit_id, embedding::double[] as x from u join embeddings on vec_id = unit_id), vq as (select item_id as question_id, embedding::double[] as x from benchmark join embeddings on vec_id = item_id),
-    uv as (select question_id, unit_id, list_cosine_similarity(vq.x, vu.x) as similarity from vq, vu),
-    a as (select question_id, unit_id, row_number() over (partition by question_id order by round(similarity, 9) desc, unit_id) as pos from uv qualify pos <= 32),
-    b as (select question_id, unit_id, row_number() over (partition by question_id order by round(score, 9) desc, unit_id) as pos from sc where unit_id in (select unit_id from vu) and question_id in (select question_id from vq) qualify pos <= 32),
+    f"""with {_BM25}, m as (select count(*) as m from embeddings), vu as (select unit_id, unit_id % m as vec_id from u, m), vq as (select item_id as question_id, item_id % m as vec_id from benchmark, m),
+    s as materialized (select a.vec_id as q, b.vec_id as v, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a, embeddings b where a.vec_id in (select vec_id from vq)),
+    a as (select question_id, unit_id, row_number() over (partition by question_id order by round(similarity, 9) desc, unit_id) as pos from vq join s on s.q = vq.vec_id join vu on vu.vec_id = s.v qualify pos <= 32),
+    b as (select question_id, unit_id, row_number() over (partition by question_id order by round(score, 9) desc, unit_id) as pos from sc qualify pos <= 32),
     f as (select question_id, unit_id, sum(1 / (60.0 + pos)) as score from (select * from a union all select * from b) group by all),
     t as (select *, row_number() over (partition by question_id order by round(score, 12) desc, unit_id)::int as search_pos from f qualify search_pos <= 16)
-    select question_id, unit_id, round(score, 9) as score, search_pos, round(similarity, 6) as similarity from t join uv using (question_id, unit_id)""".replace(
-        "u as (select doc_id as unit_id,", "u as (select doc_id as unit_id,", 1
-    ).replace("from documents)", "from documents where doc_id in (select vec_id from embeddings))", 1),
+    select question_id, unit_id, round(score, 9) as score, search_pos, round(similarity, 6) as similarity from t join vq using (question_id) join vu using (unit_id) join s on s.q = vq.vec_id and s.v = vu.vec_id""",
 )
 def hybrid_rrf(spark, d):
-    vectors = lambda key: table(spark, d, "embeddings").select(F.col("vec_id").alias(key), F.col("embedding").alias("dense"))
-    units = _units(spark, d).join(vectors("unit_id"), "unit_id")
-    questions = _questions(spark, d).join(vectors("question_id"), "question_id")
-    got = S.hybrid(questions, units, 16)
+    """All documents against all benchmark passages. The tables have fewer vectors than documents, so those are given in turn."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense"))
+    m = vectors.count()
+    given = lambda rows, key: rows.withColumn("vec_id", F.col(key) % m).join(vectors, "vec_id").drop("vec_id")
+    got = S.hybrid(given(_questions(spark, d), "question_id"), given(_units(spark, d), "unit_id"), 16)
     return got.select("question_id", "unit_id", F.round("score", 9).alias("score"), "search_pos", F.round("similarity", 6).alias("similarity"))
 
 
@@ -90,14 +90,13 @@ def distinct_hits(spark, d):
     return S.distinct_hits(hits, key=T.collapse(T.fold_latin(F.col("text")))).select("question_id", "unit_id", "search_pos")
 
 
-_JUDGED = "j as (select lang as question_id, doc_id as unit_id, row_number() over (partition by lang order by doc_id)::int as search_pos, (n_chars % 97) / 96.0 as relevance, coalesce(toxic = 1, false) as pinned from documents left join labels using (doc_id))"
+_JUDGED = "j as (select lang as question_id, doc_id as unit_id, doc_id as search_pos, (n_chars % 97) / 96.0 as relevance, coalesce(toxic = 1, false) as pinned from documents left join labels using (doc_id))"
 
 
 def _judged(spark, d):
-    from pyspark.sql import Window as W
-
+    """Every document as a hit of its language, in the order of the ids."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    return docs.select(F.col("lang").alias("question_id"), F.col("doc_id").alias("unit_id"), F.row_number().over(W.partitionBy("lang").orderBy("doc_id")).alias("search_pos"), ((F.col("n_chars") % 97) / F.lit(96.0)).alias("relevance"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("pinned"))
+    return docs.select(F.col("lang").alias("question_id"), F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("search_pos"), ((F.col("n_chars") % 97) / F.lit(96.0)).alias("relevance"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("pinned"))
 
 
 @query(
@@ -186,4 +185,5 @@ def answer_path(spark, d):
     lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("n", "text")).where("text <> ''")
     units = lines.select(F.concat_ws(":", "document_id", F.col("n").cast("string")).alias("unit_id"), "document_id", F.concat(F.lit("doc"), F.col("document_id")).alias("document_name"), "text", F.array().cast("array<string>").alias("heading_path"), F.array((F.col("n") + 1).cast("int")).alias("pages"), F.lit(True).alias("visible"))
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", F.lit("en").alias("language"))
-    return A.answer_questions(questions, units.withColumn("dense", M.embed(F.col("text"))))
+    # units get their vectors once, when they are stored
+    return A.answer_questions(questions, materialize(units.withColumn("dense", M.embed(F.col("text"))), "units"))

@@ -3,8 +3,13 @@ without any model. Numbers measured with them tell of the data flow, not of answ
 
 from __future__ import annotations
 
+import json
+import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
@@ -19,18 +24,39 @@ from quire.functions import text as T
 DIMENSIONS = 64
 
 
-class Unavailable(RuntimeError):
+class ProviderError(RuntimeError):
+    """A model call failed; code is stable for callers."""
+
+    code = "provider_error"
+
+
+class Unavailable(ProviderError):
     """A model can't be reached for now: worth another try."""
 
+    code = "provider_unavailable"
+
+
+class Rejected(ProviderError):
+    """A model refused the request: another try gives the same."""
+
+    code = "provider_rejected"
+
+
+class InvalidReply(ProviderError):
+    """A model's reply is not of the agreed form."""
+
+    code = "provider_invalid_reply"
+
 
 @dataclass(frozen=True)
 class Retry:
-    """Attempts with growing pauses inside a time budget."""
+    """Attempts with growing pauses inside a time budget; jitter spreads the pauses of many tasks by that share of them."""
 
     attempts: int = 4
     first: float = 0.5
     most: float = 10.0
     budget: float = 300.0
+    jitter: float = 0.25
 
     def call(self, f: Callable, *args):
         began = time.monotonic()
@@ -38,12 +64,34 @@ class Retry:
             try:
                 return f(*args)
             except Unavailable:
-                pause = min(self.most, self.first * 2**n)
+                pause = min(self.most, self.first * 2**n) * (1 + random.uniform(-self.jitter, self.jitter))
                 if n + 1 == self.attempts or time.monotonic() + pause - began > self.budget:
                     raise
                 time.sleep(pause)
 
 
+def post_json(url: str, body: dict, timeout: float = 60.0, most_bytes: int = 32 << 20, headers: dict | None = None) -> dict:
+    """A JSON request of a model server. Connection faults, 429 and 5xx are Unavailable, other refusals Rejected, and a body
+    that is too long or no JSON object is an InvalidReply."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **(headers or {})}, method="POST")
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            raw = reply.read(most_bytes + 1)
+    except urllib.error.HTTPError as e:
+        raise (Unavailable if e.code == 429 or e.code >= 500 else Rejected)(f"status {e.code}") from e
+    except OSError as e:
+        raise Unavailable(str(e)) from e
+    if len(raw) > most_bytes:
+        raise InvalidReply("the reply is too long")
+    try:
+        found = json.loads(raw)
+    except ValueError as e:
+        raise InvalidReply("the reply is no JSON") from e
+    if not isinstance(found, dict):
+        raise InvalidReply("the reply is no object")
+    return found
+
+
 @lru_cache(maxsize=50_000)
 def _word_vector(word: str, dimensions: int) -> np.ndarray:
     return np.random.default_rng(int.from_bytes(sha256(word.encode()).digest()[:8], "big")).normal(size=dimensions)
@@ -58,67 +106,105 @@ def hash_vector(text: str, dimensions: int = DIMENSIONS) -> list[float]:
     return (out / n if n else out).astype(np.float32).tolist()
 
 
-def embed(text: Column, model: Callable[[str], list[float]] = hash_vector, retry: Retry = Retry()) -> Column:
+def hash_vectors(texts: list[str]) -> list[list[float]]:
+    return [hash_vector(t) for t in texts]
+
+
+#: Texts of one call of a model that takes a batch.
+CALL = 64
+
+
+def _batched(rows: list, model: Callable, retry: Retry) -> list:
+    """The model's answers to the rows, a batch of CALL a call; rows that are null get null."""
+    known = [i for i, r in enumerate(rows) if r is not None]
+    out = [None] * len(rows)
+    for at in range(0, len(known), CALL):
+        part = known[at : at + CALL]
+        replies = retry.call(model, [rows[i] for i in part])
+        if len(replies) != len(part):
+            raise InvalidReply(f"{len(replies)} replies to {len(part)} texts")
+        for i, reply in zip(part, replies):
+            out[i] = reply
+    return out
+
+
+def embed(text: Column, model: Callable[[list[str]], list[list[float]]] = hash_vectors, retry: Retry = Retry()) -> Column:
+    """The vector of each text; the model takes a batch of texts."""
+
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in parts:
-            yield x.map(lambda t: retry.call(model, t), na_action="ignore")
+            yield pd.Series(_batched(x.tolist(), model, retry), dtype=object)
 
     return F.pandas_udf(run, "array<float>")(text)
 
 
-def embed_query(text: Column, instruction: str = "", **how) -> Column:
+INSTRUCTION = "Given a question, find the passages of technical documents that answer it"
+
+
+def embed_query(text: Column, instruction: str = INSTRUCTION, **how) -> Column:
+    """The vector of a question: models of this kind read it with an instruction in front, passages without."""
     return embed(F.concat(F.lit(f"Instruct: {instruction}\nQuery:"), text) if instruction else text, **how)
 
 
-def overlap_judge(question: str, passage: str) -> float:
-    """Share of the question's words that a passage holds."""
-    q, p = ({w for w in T.folded(x).split() if len(w) >= T.MIN_WORD} for x in (question, passage))
-    return len(q & p) / len(q) if q else 0.0
+def overlap_judge(pairs: list[tuple[str, str]]) -> list[float]:
+    """Share of each question's words that its passage holds."""
+    words = lambda x: {w for w in T.folded(x).split() if len(w) >= T.MIN_WORD}
+    sets = [(words(q), words(p)) for q, p in pairs]
+    return [len(q & p) / len(q) if q else 0.0 for q, p in sets]
 
 
-def judge(question: Column, passage: Column, model: Callable[[str, str], float] = overlap_judge, retry: Retry = Retry()) -> Column:
+def judge(question: Column, passage: Column, model: Callable[[list[tuple[str, str]]], list[float]] = overlap_judge, retry: Retry = Retry()) -> Column:
     def run(q: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([retry.call(model, a, b) for a, b in zip(q, p)], dtype="float64")
+        return pd.Series(_batched(list(zip(q, p)), model, retry), dtype="float64")
 
     return F.pandas_udf(run, "double")(question, passage)
 
 
-def first_sentence(prompt: str) -> dict:
+def first_sentence(rules: str, prompt: str) -> dict:
     """Answers with the first sentence of the first source."""
     body = prompt.split(">\n", 2)[-1].split("\n</source>")[0] if "<source " in prompt else ""
     sentence = next((s for s in body.replace("\n", " ").split(". ") if s.strip()), "")
     return {"answer": f"{sentence.strip().rstrip('.')} [1]." if sentence.strip() else "", "not_covered": ""}
 
 
-def generate(prompt: Column, model: Callable[[str], dict] = first_sentence, retry: Retry = Retry()) -> Column:
-    """struct<answer, not_covered>. A reply with other fields fails."""
+def generate(prompt: Column, rules: str = T.RULES, model: Callable[[str, str], dict] = first_sentence, retry: Retry = Retry()) -> Column:
+    """struct<answer, not_covered>: the model gets the rules as its system part and the prompt as the user's. A reply with
+    other fields fails."""
 
     def run(prompts: pd.Series) -> pd.DataFrame:
-        replies = [retry.call(model, p) for p in prompts]
+        replies = [retry.call(model, rules, p) for p in prompts]
         if any(set(r) != {"answer", "not_covered"} for r in replies):
-            raise ValueError("the model's reply has other fields")
+            raise InvalidReply("the model's reply has other fields")
         return pd.DataFrame(replies, columns=["answer", "not_covered"]).astype(object)
 
     return F.pandas_udf(run, "answer string, not_covered string")(prompt)
 
 
-def describe_figures(figures: DataFrame, model: Callable[[str, str, str], str]) -> DataFrame:
-    """figures(id, image_key, caption, context) -> id, description, description_status. After the first failure to reach the
-    model a task asks no more: the rest of its figures are not described."""
+def describe_figures(figures: DataFrame, model: Callable[[str, str, str], str], parallel: int = 2, retry: Retry = Retry(attempts=2)) -> DataFrame:
+    """figures(id, image_key, caption, context) -> id, description, description_status. A task has a few calls under way at
+    once; after the first failure to reach the model, retries included, it asks no more: the rest of its figures are not
+    described."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reachable = True
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                text = None
-                if reachable:
-                    try:
-                        text = model(row.image_key, row.caption, row.context)
-                    except Unavailable:
-                        reachable = False
-                out.append((row.id, text, "described" if text else "not_described"))
-            yield pd.DataFrame(out, columns=["id", "description", "description_status"])
+
+        def one(row):
+            nonlocal reachable
+            if not reachable:
+                return None
+            try:
+                return retry.call(model, row.image_key, row.caption, row.context)
+            except Unavailable:
+                reachable = False
+            except (Rejected, InvalidReply):  # of this figure alone
+                return None
+
+        with ThreadPoolExecutor(parallel) as pool:
+            for b in batches:
+                rows = list(b.itertuples(index=False))
+                texts = [t for at in range(0, len(rows), parallel) for t in pool.map(one, rows[at : at + parallel])]
+                out = [(r.id, t, "described" if t else "not_described") for r, t in zip(rows, texts)]
+                yield pd.DataFrame(out, columns=["id", "description", "description_status"])
 
     return figures.select("id", "image_key", "caption", "context").mapInPandas(run, "id string, description string, description_status string")
 

@@ -29,15 +29,43 @@ def test_distinct_hits_ignore_case_accents_and_spaces(spark):
     assert sorted(r.unit_id for r in S.distinct_hits(rows, 5).collect()) == ["a", "c"]
 
 
-def test_dense_top_equals_numpy(spark):
+@pytest.mark.parametrize("block,chunk", [(1024, 2048), (3, 7)])
+def test_dense_top_equals_numpy(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "CHUNK", chunk)
     rng = np.random.default_rng(1)
     u, q = rng.normal(size=(200, 8)).astype(np.float32), rng.normal(size=(7, 8)).astype(np.float32)
-    units = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(u)], "unit_id int, dense array<float>")
+    u[100:150] = u[:50]  # ties go by id
+    units = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(u)] + [(900, None)], "unit_id int, dense array<float>")
     asked = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(q)], "question_id int, dense array<float>")
-    got = {(r.question_id, r.pos): r.unit_id for r in S.dense_top(asked, units, 5, parts=3, block=2).collect()}
-    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (u / np.linalg.norm(u, axis=1, keepdims=True)).T
-    want = {(i, k + 1): int(j) for i in range(7) for k, j in enumerate(np.argsort(-s[i])[:5])}
+    got = {(r.question_id, r.pos): r.unit_id for r in S.dense_top(asked, units, 5).collect()}
+    s = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(float) @ (u / np.linalg.norm(u, axis=1, keepdims=True)).T
+    want = {(i, k + 1): int(j) for i in range(7) for k, j in enumerate(sorted(range(200), key=lambda j: (-round(float(s[i, j]), 6), j))[:5])}
     assert got == want
+    assert S.dense_top(asked.limit(0), units, 5).count() == 0 and S.dense_top(asked, units.limit(0), 5).count() == 0
+
+
+def test_dense_top_keeps_vectors_where_they_are(spark):
+    units = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "unit_id int, dense array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, dense array<float>")
+    plan = S.dense_top(asked, units, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "dense" not in plan[: plan.index("MapInArrow")] and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("block,chunk", [(1024, 2048), (2, 3)])
+def test_bm25_top_is_the_best_of_all_scores(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    words = "the the the pump valve oil насос клапан 油".split()
+    units = spark.createDataFrame([(i, " ".join(words[(i * k) % len(words)] for k in range(1, 2 + i % 6))) for i in range(60)] + [(90, ""), (91, " .")], "unit_id int, text string")
+    asked = spark.createDataFrame([(1, "the pump"), (2, "Насос, 油!"), (3, "absent"), (4, ""), (5, "oil oil the valve")], "question_id int, text string")
+    got = {(r.question_id, r.pos): (r.unit_id, round(r.score, 9)) for r in S.bm25_top(asked, units, 4).collect()}
+    every = S.bm25_scores(asked, units).collect()
+    want = {}
+    for q in {r.question_id for r in every}:
+        best = sorted((r for r in every if r.question_id == q), key=lambda r: (-round(r.score, 9), r.unit_id))[:4]
+        want |= {(q, n + 1): (r.unit_id, round(r.score, 9)) for n, r in enumerate(best)}
+    assert got == want and {q for q, _ in got} == {1, 2, 5}
 
 
 def test_dense_top_is_no_cross_join(spark):
@@ -103,6 +131,37 @@ def test_answer_path_outcomes(spark):
     assert none.reason == "no_searchable_documents"
 
 
+def test_answers_carry_sources_and_images(spark):
+    from quire.sources import schemas
+
+    e = spark.createDataFrame([element(1, text="The pump", kind="caption"), element(2, "image", image_key="k2", top=100, bottom=200), element(3, text="Change the oil filter every year.")], schemas.ELEMENTS)
+    links = spark.createDataFrame([("d", "e1", "e2", "caption_of", None)], schemas.EDGES)
+    names = spark.createDataFrame([("d", "a.pdf")], "document_id string, document_name string")
+    units = spark.createDataFrame(
+        [("u1", "d", "a.pdf", "Change the oil filter every year.", ["Care"], [1], True, "text", ["e3"], ["e2"], [(1, 72.0, 210.0, 540.0, 220.0)]), ("u2", "d", "a.pdf", "Nothing of note.", [], [1], True, "text", ["e3"], [], [])],
+        "unit_id string, document_id string, document_name string, text string, heading_path array<string>, pages array<int>, visible boolean, unit_type string, element_ids array<string>, figure_ids array<string>, boxes array<struct<page:int,left:double,top:double,right:double,bottom:double>>",
+    ).withColumn("dense", M.embed(F.col("text")))
+    crops = spark.createDataFrame([("k2",)], "image_key string")
+    known = spark.createDataFrame([("d",)], "id string")
+    how = {"elements": e, "links": links, "names": names}
+    got = A.ask(spark, " change the oil filter ", units, known, known, ["d"], crops=crops, **how).first()
+    assert got.status == "answered" and [s.unit_id for s in got.sources][0] == "u1" and got.sources[0].citation_number == 1
+    assert [(i.element_id, i.is_primary, i.caption) for i in got.images] == [("e2", True, "The pump")]
+    with pytest.raises(A.MissingCrop, match="k2"):
+        A.ask(spark, "change the oil filter", units, known, known, crops=crops.limit(0), **how).first()
+    with pytest.raises(A.InvalidQuestion):
+        A.ask(spark, "x", units, known, known.limit(0), ["d"])
+
+
+def test_failures_of_models():
+    assert {x.code for x in (M.Unavailable, M.Rejected, M.InvalidReply)} == {"provider_unavailable", "provider_rejected", "provider_invalid_reply"}
+    with pytest.raises(M.Unavailable):
+        M.post_json("http://127.0.0.1:1/none", {}, timeout=1)
+    with pytest.raises(M.InvalidReply):
+        M._batched(["a", "b"], lambda texts: [1], M.Retry())
+    assert M._batched(["a", None, "b"], lambda texts: [t.upper() for t in texts], M.Retry()) == ["A", None, "B"]
+
+
 def test_validation():
     assert A.validated("  x ", None) == ("x", None)
     for bad in ("", " ", "x" * 2001):
@@ -144,5 +203,5 @@ def test_figures_after_an_outage_are_not_described(spark):
         return f"about {key}"
 
     figures = spark.createDataFrame([("1", "k1", None, None), ("2", "k2", None, None), ("3", "k3", None, None)], "id string, image_key string, caption string, context string").coalesce(1)
-    got = {r.id: r.description_status for r in M.describe_figures(figures, model).collect()}
+    got = {r.id: r.description_status for r in M.describe_figures(figures, model, retry=M.Retry(attempts=2, first=0.0)).collect()}
     assert got == {"1": "described", "2": "not_described", "3": "not_described"}
