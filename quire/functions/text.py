@@ -149,9 +149,9 @@ def attribute_value(text: Column) -> Column:
 def source_block(number: Column, document: Column, pages: Column, path: Column, text: Column) -> Column:
     """One numbered source of a prompt."""
     section = F.when(F.size(path) > 0, F.array_join(path, " > ")).otherwise("none")
-    values = {"id": number.cast("string"), "document": document, "pages": F.array_join(pages.cast("array<string>"), ", "), "section": section}
-    head = F.concat_ws(" ", *(F.concat(F.lit(f'{k}="'), attribute_value(v), F.lit('"')) for k, v in values.items()))
-    return F.concat(F.lit("<source "), head, F.lit(">\n"), escaped(text), F.lit("\n</source>"))
+    listed = F.array_join(pages.cast("array<string>"), ", ")
+    tag = F.concat(F.lit('<source id="'), number.cast("string"), F.lit('" document="'), attribute_value(document), F.lit('" pages="'), listed, F.lit('" section="'), attribute_value(section), F.lit('">'))
+    return F.concat(tag, F.lit("\n"), escaped(text), F.lit("\n</source>"))
 
 
 #: The system part of a prompt.
@@ -174,8 +174,8 @@ def prompt(blocks: Column, question: Column, reminder: str = REMINDER) -> Column
 FALLBACK_LANGUAGE = "en"
 REASONS = ("no_searchable_documents", "no_relevant_content", "not_answered_by_sources", "no_valid_citations")
 MESSAGES = {
-    "en": ("Nothing can be searched yet. Add a document and wait until it is processed.", "The documents hold too little about this question.", "The passages that were found do not answer this question.", "The answer is not shown, as no citation supports it."),
-    "es": ("Todavía no se puede buscar nada. Añade un documento y espera a que se procese.", "Los documentos contienen muy poco sobre esta pregunta.", "Los pasajes encontrados no responden a esta pregunta.", "La respuesta no se muestra, porque ninguna cita la respalda."),
+    "en": ("The library is still empty: add documents first.", "None of the documents seems to treat this subject.", "What was found leaves this question open.", "An answer was written but held back: it names no source."),
+    "es": ("La biblioteca aún está vacía: añade documentos primero.", "Ninguno de los documentos parece tratar este tema.", "Lo encontrado deja abierta esta pregunta.", "Se redactó una respuesta, pero se retuvo: no nombra ninguna fuente."),
 }
 
 
@@ -217,46 +217,51 @@ def has_markers(text: Column) -> Column:
     return text.rlike(f"(?U){MARKER}|{VARIANT}")
 
 
-_FORMS = re.compile(r"\[\[(\d+)\]\]|【(\d+)】|\[(\d+(?:\s*[,\-–]\s*\d+)+)\]")
-_ONE = re.compile(r"([ \t]*)\[(\d+)\]")
+#: One group of source numbers with the blanks before it: doubled, wide or plain brackets, in the last a list of numbers and
+#: ranges.
+_GROUP = re.compile(r"(?P<blank>[ \t]*)(?:\[\[(?P<double>\d+)\]\]|【(?P<wide>\d+)】|\[(?P<list>\d+(?:\s*[,\-–]\s*\d+)*)\])")
+_RANGE = re.compile(r"\s*(\d+)\s*[-–]\s*(\d+)\s*")
 
 
-def plain_markers(text: str, sources: int) -> str:
-    """Every accepted form as separate [n] markers; a range ends at the number of sources at most."""
-
-    def spread(m: re.Match) -> str:
-        if m[3] is None:
-            return f"[{m[1] or m[2]}]"
-        out = []
-        for item in m[3].split(","):
-            ends = [int(x) for x in re.split(r"\s*[-–]\s*", item.strip())]
-            if len(ends) == 2:
-                out += range(ends[0], min(ends[1], sources) + 1)
+def marker_groups(text: str, sources: int) -> list[tuple[int, int, str, list[int]]]:
+    """One walk over a text: (start, end, blanks, numbers) of each group. A range ends at the number of sources at most."""
+    found = []
+    for m in _GROUP.finditer(text):
+        numbers: list[int] = []
+        for item in (m["double"] or m["wide"] or m["list"]).split(","):
+            if ends := _RANGE.fullmatch(item):
+                numbers.extend(range(int(ends[1]), min(int(ends[2]), sources) + 1))
             else:
-                out += ends[:1] if len(ends) == 1 else ends
-        return "".join(f"[{n}]" for n in out)
-
-    return _FORMS.sub(spread, text)
+                numbers.extend(map(int, re.findall(r"\d+", item)))
+        found.append((m.start(), m.end(), m["blank"], numbers))
+    return found
 
 
 def resolved(text: str, sources: list[tuple[str, str, tuple[int, ...]]]) -> tuple[str, list[dict]]:
     """sources: (unit, document, pages) in supplied order. The text with valid markers renumbered by first appearance, and
     the citations: sources with the same document and pages are one."""
-    order: dict[tuple, list[str]] = {}
-
-    def number(m: re.Match) -> str:
-        at = int(m[2])
-        if not 0 < at <= len(sources):
-            return ""
-        unit, *key = sources[at - 1]
-        units = order.setdefault(tuple(key), [])
-        if unit not in units:
-            units.append(unit)
-        return f"{m[1]}[{[*order].index(tuple(key)) + 1}]"
-
-    out = _ONE.sub(number, plain_markers(text, len(sources)))
-    out = re.sub(r"(\[\d+\])\1+", r"\1", out)
-    return out, [{"number": i, "document_id": doc, "pages": sorted(pages), "unit_ids": units} for i, ((doc, pages), units) in enumerate(order.items(), 1)]
+    groups = marker_groups(text, len(sources))
+    cited = pd.DataFrame([(g, n - 1, k == 0) for g, x in enumerate(groups) for k, n in enumerate(x[3]) if 0 < n <= len(sources)], columns=["group", "source", "leads"])
+    keys = [sources[i][1:] for i in cited["source"]]
+    cited["number"] = pd.factorize(pd.Series(keys, dtype=object))[0] + 1
+    shown, at, last = [], 0, None  # last: the number whose marker ends the text so far
+    by_group = {g: rows for g, rows in cited.groupby("group")}
+    for g, (start, end, blank, _) in enumerate(groups):
+        if start > at:
+            shown.append(text[at:start])
+            last = None
+        for row in by_group[g].itertuples() if g in by_group else ():
+            space = blank if row.leads else ""
+            if space or row.number != last:
+                shown.append(f"{space}[{row.number}]")
+            last = row.number
+        at = end
+    shown.append(text[at:])
+    citations = [
+        {"number": int(number), "document_id": sources[rows["source"].iloc[0]][1], "pages": sorted(sources[rows["source"].iloc[0]][2]), "unit_ids": list(dict.fromkeys(sources[i][0] for i in rows["source"]))}
+        for number, rows in cited.groupby("number")
+    ]
+    return "".join(shown), citations
 
 
 CITED = "text string, citations array<struct<number:int,document_id:string,pages:array<int>,unit_ids:array<string>>>"
@@ -277,18 +282,14 @@ def _resolve(text: pd.Series, sources: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "citations"]).astype(object)
 
 
+#: From a character that shows to the nearest sentence end, line end or end of the text.
+_STATEMENT = re.compile(r"\S[^\n]*?(?=(?<=[.!?])\s|\n|\Z)")
+
+
 def statements_of(text: str) -> list[dict]:
     """Sentences and lines of at least three words, with the offset where each ends."""
-    found = []
-    for line in re.finditer(r"[^\n]+", text):
-        cuts = [(m.start() + line.start(), m.end() + line.start()) for m in re.finditer(r"(?<=[.!?])\s+", line[0])]
-        begin = line.start()
-        for stop, following in [*cuts, (line.end(), line.end())]:
-            piece = text[begin:stop]
-            if len(re.findall(r"[\w-]+", piece)) >= MIN_STATEMENT_WORDS:
-                found.append({"text": piece.strip(), "end": begin + len(piece.rstrip())})
-            begin = following
-    return found
+    found = [(m.start(), m[0].rstrip()) for m in _STATEMENT.finditer(text)]
+    return [{"text": x, "end": start + len(x)} for start, x in found if len(re.findall(r"[\w-]+", x)) >= MIN_STATEMENT_WORDS]
 
 
 def _find_statements(text: pd.Series) -> pd.Series:
@@ -299,20 +300,9 @@ def find_statements(text: Column) -> Column:
     return F.pandas_udf(_find_statements, "array<struct<text:string,end:int>>")(text)
 
 
-def marked(text: str, markers: list[tuple[int, int]]) -> str:
-    """markers: (end of a statement, source number). Each goes before one final punctuation mark."""
-    out, at = [], 0
-    for end, n in sorted(markers):
-        put = end - 1 if text[end - 1] in ".!?:;" else end
-        out += [text[at:put], f" [{n}]"]
-        at = put
-    return "".join([*out, text[at:]])
-
-
 def insert_markers(text: Column, markers: Column) -> Column:
-    """markers: array<struct<end, number>>."""
-    return F.pandas_udf(_insert, "string")(text, markers)
-
-
-def _insert(text: pd.Series, markers: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or m is None else marked(t, [(int(x["end"]), int(x["number"])) for x in m]) for t, m in zip(text, markers)], dtype=object)
+    """markers: array<struct<end, number>>: end of a statement and its source. Each goes before one final punctuation mark;
+    the last goes in first, so that the other places stay true."""
+    before = lambda m: m["end"] - F.substring(text, m["end"], F.lit(1)).isin(".", "!", "?", ":", ";").cast("int")
+    put = lambda t, m: F.overlay(t, F.concat(F.lit(" ["), m["number"].cast("string"), F.lit("]")), before(m) + 1, F.lit(0))
+    return F.when(markers.isNull(), text).otherwise(F.aggregate(F.reverse(F.array_sort(markers)), text, put))

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.functions import geometry as G
 from quire.functions import ids as I
 from quire.functions import text as T
+from quire.sources.scratch import materialize
 
 NEAR_POINTS, MAX_TOKENS = 72.0, 480
 DECORATIVE_PAGES, DECORATIVE_SHARE, DESCRIBED_SHARE = 3, 0.2, 0.05
@@ -63,25 +64,23 @@ def heading_path(elements: DataFrame) -> DataFrame:
 
 def outline_levels(outline: DataFrame) -> DataFrame:
     """outline(document_id, position, depth, title, page) -> document_id, position, key, page, level. A title that repeats
-    its parent's adds no level; a single root is a wrapper; levels end at six. Sequential per document: a stack."""
-
-    def run(document: str, rows: list[dict]):
-        above: list[tuple[int, str, int]] = []
-        depths = []
-        for r in rows:
-            above = [x for x in above if x[0] < r["depth"]]
-            real = 0 if not above else above[-1][2] + (above[-1][1] != r["key"])
-            above.append((r["depth"], r["key"], real))
-            depths.append(real)
-        top = min(depths)
-        if len(depths) > 1 and depths.count(top) == 1:
-            top += 1
-        for r, d in zip(rows, depths):
-            if d >= top:
-                yield document, r["position"], r["key"], r["page"], min(d - top + 1, T.MAX_HEADING_LEVEL)
+    its parent's adds no level; a single root is a wrapper; levels end at six.
 
+    A window gives each bookmark the last one before it at every lesser depth; those of them that come after all of yet lesser
+    depth are its ancestors, and its level is the number of changes of title along them."""
+    low, high = outline.agg(F.min("depth"), F.max("depth")).first()
+    before = W.partitionBy("document_id").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
     keyed = outline.withColumn("key", T.title_key(F.col("title"))).select("document_id", "position", "depth", "key", "page")
-    return per_document(keyed, "position", run, "document_id string, position int, key string, page int, level int")
+    here = F.struct("position", "key")
+    above = [F.when(F.col("depth") > d, F.last(F.when(F.col("depth") == d, here), ignorenulls=True).over(before)) for d in range(low or 0, (high or 0) + 1)]
+    none = F.struct(F.lit(-1).alias("position"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("changes"))
+    step = lambda x, e: F.when(e["position"] > x["position"], F.struct(e["position"].cast("int").alias("position"), e["key"].alias("key"), (x["changes"] + F.coalesce(x["key"] != e["key"], F.lit(False)).cast("int")).alias("changes"))).otherwise(x)
+    last = F.aggregate(F.array(*above), none, step)
+    d = keyed.withColumn("last", last).withColumn("real", F.col("last.changes") + F.coalesce(F.col("last.key") != F.col("key"), F.lit(False)).cast("int"))
+    whole = W.partitionBy("document_id")
+    d = d.withColumn("top", F.min("real").over(whole)).withColumn("tops", F.sum((F.col("real") == F.col("top")).cast("int")).over(whole)).withColumn("all", F.count("*").over(whole))
+    level = F.col("real") - F.col("top") - F.when((F.col("all") > 1) & (F.col("tops") == 1), 1).otherwise(0) + 1
+    return d.withColumn("level", F.least(level, F.lit(T.MAX_HEADING_LEVEL))).where("level > 0").select("document_id", "position", "key", "page", "level")
 
 
 def heading_levels(headings: DataFrame, outline: DataFrame) -> DataFrame:
@@ -187,7 +186,7 @@ def continuation_links(elements: DataFrame, links: DataFrame, page_sizes: DataFr
 
 def link_elements(elements: DataFrame, extracted: DataFrame, page_sizes: DataFrame, most: float = NEAR_POINTS) -> DataFrame:
     """All links: the extractor's (once each), then captions, near text, continuations; each step sees those before."""
-    links = extracted.select("document_id", "source_id", "target_id", "kind", "score").dropDuplicates(["source_id", "target_id", "kind"])
+    links = extracted.groupBy("document_id", "source_id", "target_id", "kind").agg(F.max("score").alias("score"))
     links = links.unionByName(caption_links(elements, links, most))
     return links.unionByName(near_links(elements, links, most)).unionByName(continuation_links(elements, links, page_sizes))
 
@@ -240,97 +239,105 @@ def description_context(elements: DataFrame, links: DataFrame) -> DataFrame:
 
 # Units ----------------------------------------------------------------------------------------------------------------
 
-UNIT = (
-    "document_id string, unit_type string, unit_key string, text string, heading_path array<string>, pages array<int>, element_ids array<string>, "
-    "boxes array<struct<page:int,left:double,top:double,right:double,bottom:double>>, figure_ids array<string>, image_key string"
-)
+def packing_plan(texts: list[str], sentences: list[list[str]], path: list[str], max_tokens: int, count: Callable[[str], int]) -> list[tuple[int, int, int]]:
+    """How a run of texts under one heading path becomes units: (first, end, 0) takes whole texts; (text, begin, end) with
+    end > 0 takes these sentences of one text that alone is too long."""
+
+    def room(parts: list[str], join: str) -> bool:
+        return count("\n".join([*path, join.join(parts)])) <= max_tokens
+
+    plan, first = [], 0
+    for i, text in enumerate(texts):
+        if room(texts[first : i + 1], "\n"):
+            continue
+        if first < i:
+            plan.append((first, i, 0))
+        first = i
+        if not room([text], "\n"):
+            begin = 0
+            for n in range(1, len(sentences[i])):
+                if not room(sentences[i][begin : n + 1], " "):
+                    plan.append((i, begin, n))
+                    begin = n
+            plan.append((i, begin, len(sentences[i])))
+            first = i + 1
+    return plan + ([(first, len(texts), 0)] if first < len(texts) else [])
+
+
+def text_members(flowing: DataFrame, max_tokens: int, count: Callable[[str], int]) -> DataFrame:
+    """flowing(document_id, run, id, reading_order, text, heading_path) -> document_id, unit_key, id, part: which text, or piece
+    of one, goes to which unit. The plan of a run is made in one step, as each choice depends on those before."""
+    rows = flowing.withColumn("sentences", T.split_sentences(F.col("text")))
 
+    def run(document: str, members: list[dict]):
+        runs: dict[int, list[dict]] = {}
+        for m in members:
+            runs.setdefault(m["run"], []).append(m)
+        for ms in runs.values():
+            pieces: dict[str, int] = {}
+            for first, end, stop in packing_plan([m["text"] for m in ms], [m["sentences"] for m in ms], ms[0]["heading_path"], max_tokens, count):
+                lead = ms[first]["id"]
+                if not stop:
+                    yield from ((document, f"text:{lead}", m["id"], m["text"]) for m in ms[first:end])
+                    continue
+                pieces[lead] = pieces.get(lead, -1) + 1
+                yield document, f"text:{lead}:{pieces[lead]}", lead, " ".join(ms[first]["sentences"][end:stop])
 
-def _pieces(sentences: list[str], fits) -> list[str]:
-    out: list[list[str]] = []
-    for s in sentences:
-        if out and fits(" ".join([*out[-1], s])):
-            out[-1].append(s)
-        else:
-            out.append([s])
-    return [" ".join(p) for p in out]
+    return per_document(rows.select("document_id", "reading_order", "run", "id", "text", "heading_path", "sentences"), "reading_order", run, "document_id string, unit_key string, id string, part string")
 
 
 def build_units(elements: DataFrame, links: DataFrame, max_tokens: int = MAX_TOKENS, count=None) -> DataFrame:
-    """Retrieval units in reading order: free text merged up to a ceiling that counts the heading path, an oversize paragraph
-    cut at sentence ends, one unit per chain of tables (titles first), one per content figure that has any text.
+    """Retrieval units: free text merged up to a ceiling that counts the heading path, an oversize paragraph cut at sentence
+    ends, one unit per chain of tables (titles first), one per content figure that has any text.
 
-    Heading paths, chains, captions and near figures come from joins and windows; only the packing itself, in which each
-    choice depends on those before, runs once per document. count: tokens of a text, white-space words by default."""
+    Each element is first dealt to its unit as a member with its part of the text: tables and figures by joins on chains and
+    captions, free text by windows that number its runs and a plan per run. Units are then one aggregation of their members.
+    count: tokens of a text, white-space words by default."""
     count = count or (lambda text: len(text.split()))
-    e = heading_path(elements)
-    captions = links.where(F.col("kind").isin("caption_of", "title_of")).select("document_id", F.col("source_id").alias("id"), F.col("target_id").alias("captioned"), F.lit(True).alias("is_caption")).dropDuplicates(["document_id", "id"])
-    content = elements.where(is_("image") & ~F.coalesce("is_decorative", F.lit(False))).select("document_id", F.col("id").alias("target_id"), F.col("reading_order").alias("_at"))
-    near = links.where("kind = 'near'").join(content, ["document_id", "target_id"]).groupBy("document_id", F.col("source_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "target_id"))), lambda x: x["target_id"]).alias("near_figures"))
-    chains = table_chains(elements, links).select("document_id", "id", "head_id", "place")
-    heads = elements.select("document_id", F.col("id").alias("head_id"), F.col("table_rows").alias("head_rows"))
-    chains = chains.join(heads, ["document_id", "head_id"])
-    e = e.join(captions, ["document_id", "id"], "left").join(near, ["document_id", "id"], "left").join(chains, ["document_id", "id"], "left")
-    repeats = (F.col("place") > 0) & T.repeats_header(F.col("head_rows"), F.col("table_rows"))
-    shown = F.when(repeats, T.strip_header(F.col("text"))).otherwise(F.col("text"))
+    e = heading_path(elements).withColumn("text", F.coalesce("text", F.lit("")))
+    captions = links.where(F.col("kind").isin("caption_of", "title_of")).groupBy("document_id", F.col("source_id").alias("id")).agg(F.min("target_id").alias("captioned"))
+    e = e.join(captions, ["document_id", "id"], "left").join(table_chains(elements, links).select("document_id", "id", "head_id", "place"), ["document_id", "id"], "left")
+    content = is_("image") & ~F.coalesce("is_decorative", F.lit(False))
+    # free text: what lies between headings, tables and content figures is a run
+    ends = is_("heading") | is_("table") | content
+    upto = W.partitionBy("document_id").orderBy("reading_order").rowsBetween(W.unboundedPreceding, W.currentRow)
+    e = materialize(e.withColumn("run", F.sum(ends.cast("int")).over(upto)), "elements")
+    flowing = e.where(F.col("kind").isin(*FLOWING_KINDS) & F.col("captioned").isNull() & (F.col("text") != ""))
+    at = F.col("reading_order")
+    free = text_members(flowing, max_tokens, count).select("document_id", "unit_key", F.lit("text").alias("unit_type"), "id", "part", F.lit(0).alias("rank"))
+    free = free.join(e.select("document_id", "id", at.alias("nth")), ["document_id", "id"])
+    # a chain of tables: the titles of its parts in order, then the parts, each without a repeated header
+    tables = e.where(is_("table"))
+    heads = tables.where("place = 0").select("document_id", F.col("id").alias("head_id"), F.col("table_rows").alias("head_rows"))
+    tables = tables.join(heads, ["document_id", "head_id"])
+    shown = F.when((F.col("place") > 0) & T.repeats_header(F.col("head_rows"), F.col("table_rows")), T.strip_header(F.col("text"))).otherwise(F.col("text"))
+    key = F.concat(F.lit("table:"), "head_id").alias("unit_key")
+    parts = tables.select("document_id", key, F.lit("table").alias("unit_type"), "id", shown.alias("part"), F.lit(1).alias("rank"), at.alias("nth"))
+    told = e.where("captioned is not null").select("document_id", "id", "text", "captioned", at.alias("nth"))
+    title = told.join(tables.select("document_id", F.col("id").alias("captioned"), "head_id"), ["document_id", "captioned"])
+    titles = title.select("document_id", key, F.lit("table").alias("unit_type"), "id", F.col("text").alias("part"), F.lit(0).alias("rank"), "nth")
+    # a content figure: its captions, then its labels and description
+    figures = e.where(content)
+    key = F.concat(F.lit("figure:"), F.col("image_id")).alias("unit_key")
+    own = T.figure_text(F.array().cast("array<string>"), F.coalesce("labels", F.array().cast("array<string>")), F.col("description"))
+    figure = figures.withColumn("image_id", F.col("id")).select("document_id", key, F.lit("figure").alias("unit_type"), "id", F.coalesce(own, F.lit("")).alias("part"), F.lit(1).alias("rank"), at.alias("nth"))
+    named = told.join(figures.select("document_id", F.col("id").alias("captioned")), ["document_id", "captioned"]).withColumn("image_id", F.col("captioned"))
+    named = named.select("document_id", key, F.lit("figure").alias("unit_type"), "id", F.col("text").alias("part"), F.lit(0).alias("rank"), "nth")
+    members = free.unionByName(parts).unionByName(titles).unionByName(figure).unionByName(named)
+    # what a unit takes from its members
+    near = links.where("kind = 'near'").join(figures.select("document_id", F.col("id").alias("target_id"), at.alias("_at")), ["document_id", "target_id"])
+    near = near.groupBy("document_id", F.col("source_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "target_id"))), lambda x: x["target_id"]).alias("near_figures"))
     box = F.struct("page", *(F.col(f"bbox_{s}").alias(s) for s in ("left", "top", "right", "bottom")))
-    rows = e.select("document_id", "id", "kind", "page", "reading_order", F.coalesce(shown, F.lit("")).alias("text"), "labels", "description", "image_key", F.coalesce("is_decorative", F.lit(False)).alias("is_decorative"), "heading_path", "captioned", "is_caption", "near_figures", "head_id", "place", box.alias("box"), T.split_sentences(F.coalesce("text", F.lit(""))).alias("sentences"))
-
-    def run(document: str, members: list[dict]):
-        by_target: dict[str, list] = {}
-        parts: dict[str, list] = {}
-        for m in members:
-            if m["is_caption"]:
-                by_target.setdefault(m["captioned"], []).append(m)
-            if m["kind"] == "table":
-                parts.setdefault(m["head_id"], []).append(m)
-        units, pending = [], []
-        in_order = lambda of: sorted(of, key=lambda x: x["reading_order"])
-
-        def emit(kind, key, text, of, path, image_key=None):
-            near = [*dict.fromkeys(f for m in of for f in m["near_figures"] or ())]
-            units.append((document, kind, key, text, path, sorted({m["page"] for m in of}), [m["id"] for m in of], [m["box"] for m in of], near, image_key))
-
-        def flush():
-            if pending:
-                emit("text", f"text:{pending[0]['id']}", "\n".join(m["text"] for m in pending), [*pending], pending[0]["heading_path"])
-                pending.clear()
-
-        def fits(text, path):
-            return count("\n".join([*path, text])) <= max_tokens
-
-        for m in members:
-            path = m["heading_path"]
-            if m["kind"] == "heading":
-                flush()
-            elif m["kind"] == "table":
-                flush()
-                if m["place"] == 0:
-                    chain = parts[m["id"]]
-                    titles = [c for p in chain for c in by_target.get(p["id"], [])]
-                    emit("table", f"table:{m['id']}", "\n".join(x["text"] for x in [*titles, *chain]), in_order([*titles, *chain]), path)
-            elif m["kind"] == "image":
-                if m["is_decorative"]:
-                    continue
-                flush()
-                captions = by_target.get(m["id"], [])
-                texts = [*(c["text"] for c in captions), " ".join(m["labels"] or ()), m["description"] or ""]
-                if text := "\n".join(t for t in texts if t):
-                    emit("figure", f"figure:{m['id']}", text, in_order([m, *captions]), path, m["image_key"])
-            elif m["kind"] in FLOWING_KINDS and not m["is_caption"] and m["text"]:
-                if fits("\n".join([*(p["text"] for p in pending), m["text"]]), path):
-                    pending.append(m)
-                    continue
-                flush()
-                if fits(m["text"], path):
-                    pending.append(m)
-                    continue
-                for n, piece in enumerate(_pieces(m["sentences"], lambda t: fits(t, path))):
-                    emit("text", f"text:{m['id']}:{n}", piece, [m], path)
-        flush()
-        return units
-
-    return per_document(rows, "reading_order", run, UNIT)
+    facts = e.select("document_id", "id", "page", box.alias("box"), "heading_path", "image_key").join(near, ["document_id", "id"], "left")
+    members = members.join(facts, ["document_id", "id"])
+    listed = lambda *columns: F.array_sort(F.collect_list(F.struct(*columns)))
+    # the member that names a unit gives its path: the first text, the head of a chain, the figure
+    leads = F.min_by(F.struct("heading_path", "image_key"), F.struct(F.when(F.col("unit_type") == "text", F.lit(0)).otherwise(1 - F.col("rank")), "nth"))
+    units = members.groupBy("document_id", "unit_type", "unit_key").agg(listed("rank", "nth", "part").alias("texts"), F.array_sort(F.collect_set("page")).alias("pages"), listed("nth", "id", "box", "near_figures").alias("of"), leads.alias("lead"))
+    text = F.array_join(F.filter(F.transform("texts", lambda x: x["part"]), lambda t: (t != "") | (F.col("unit_type") != "figure")), "\n")
+    figure_ids = F.array_distinct(F.flatten(F.transform("of", lambda x: F.coalesce(x["near_figures"], F.array().cast("array<string>")))))
+    units = units.select("document_id", "unit_type", "unit_key", text.alias("text"), F.col("lead.heading_path").alias("heading_path"), "pages", F.transform("of", lambda x: x["id"]).alias("element_ids"), F.transform("of", lambda x: x["box"]).alias("boxes"), figure_ids.alias("figure_ids"), F.when(F.col("unit_type") == "figure", F.col("lead.image_key")).alias("image_key"))
+    return units.where("unit_type <> 'figure' or text <> ''")
 
 
 def identified(units: DataFrame, documents: DataFrame) -> DataFrame:

@@ -63,10 +63,22 @@ def test_citations():
     assert [(c["number"], c["unit_ids"]) for c in cited] == [(1, ["u3"]), (2, ["u1", "u2"])]
 
 
-def test_statements_and_markers():
+@pytest.mark.parametrize("text,want", [("a [9, 2] b", "a[1] b"), ("[1][1] [1]", "[1] [1]"), ("x [1] [9][2]", "x [1][2]"), ("[3-1] [1-2-3]", " [1][2]"), ("[0] [ 1] [a]", " [ 1] [a]"), ("", ""), ("[[2]][2], [1]", "[1], [2]"), ("[1, 1–2]", "[1][2]")])
+def test_marker_forms(text, want):
+    assert T.resolved(text, [("u1", "d1", (1,)), ("u2", "d2", (2,))])[0] == want
+
+
+def test_statements_and_markers(spark):
     text = "First of all here. And one more thing!\n1.\nLast line without stop"
     ends = [(s["end"], i + 1) for i, s in enumerate(T.statements_of(text))]
-    assert T.marked(text, ends) == "First of all here [1]. And one more thing [2]!\n1.\nLast line without stop [3]"
+    rows = spark.createDataFrame([(text, ends), (text, None), ("né à trois: mots!", [(17, 2), (17, 1)])], "t string, m array<struct<end:int,number:int>>")
+    got = [r.x for r in rows.select(T.insert_markers(F.col("t"), F.col("m")).alias("x")).collect()]
+    assert got == ["First of all here [1]. And one more thing [2]!\n1.\nLast line without stop [3]", text, "né à trois: mots [1] [2]!"]
+
+
+def test_statements_end_at_sentences_and_lines():
+    got = T.statements_of("  One two three.  Four five! six seven eight \r\nv1.2 is out now? yes\n\na-b c_d e")
+    assert [s["text"] for s in got] == ["One two three.", "six seven eight", "v1.2 is out now?", "a-b c_d e"]
 
 
 def test_message_falls_back_to_english(spark):
