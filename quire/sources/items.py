@@ -22,22 +22,33 @@ def kinds(items: DataFrame) -> DataFrame:
 
 def owned(items: DataFrame) -> DataFrame:
     """items with kind -> without texts that belong to a table or an image they lie in, and with the labels of images: the
-    non-blank texts inside, in order. Captions and footnotes stay, and so does an image inside a table. Ownership goes up
-    through any depth of nesting: one recursive query."""
-    spark = items.sparkSession
-    items.createOrReplaceTempView("_items")
-    above = spark.sql(
-        """with recursive up(document_id, item, ancestor) as (
-             select document_id, item, parent from _items where parent is not null
-             union all select u.document_id, u.item, i.parent from up u join _items i on i.document_id = u.document_id and i.item = u.ancestor where i.parent is not null)
-           select document_id, item, ancestor from up"""
-    )
-    holders = items.where("kind in ('image', 'table')").select("document_id", F.col("item").alias("ancestor"), F.col("kind").alias("holder"))
-    inside = above.join(holders, ["document_id", "ancestor"])
-    stays = F.col("kind").isin("caption", "image", "table") | (F.col("label") == "footnote")
-    text = items.where(~stays).select("document_id", "item", "text", "position")
-    owners = inside.join(text, ["document_id", "item"])
-    labels = owners.where("holder = 'image' and trim(text) <> ''").groupBy("document_id", F.col("ancestor").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("labels"))
+    non-blank texts inside, in order. Captions and footnotes stay, and so does an image inside a table.
+
+    Ownership goes up through any depth of nesting, and a document's items are few enough for one task: each climbs its parents
+    in one pass over its document, in Arrow batches; no join, no limit of depth."""
+    slim = items.select("document_id", "item", "parent", "kind", (F.col("kind").isin("caption", "image", "table") | F.coalesce(F.col("label") == "footnote", F.lit(False))).alias("stays"))
+    lists = slim.groupBy("document_id").agg(F.collect_list(F.struct("item", "parent", "kind", "stays")).alias("items"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for document, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                of = {r["item"]: r for r in rows}
+                for r in rows:
+                    at, seen = r["parent"], set()
+                    while not r["stays"] and at in of and at not in seen:
+                        if of[at]["kind"] in ("image", "table"):
+                            out.append((document, r["item"], at, of[at]["kind"]))
+                        seen.add(at)
+                        at = of[at]["parent"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in [*zip(*out)] or [()] * 4], ["document_id", "item", "holder", "holder_kind"])
+
+    owners = lists.mapInArrow(run, "document_id string, item string, holder string, holder_kind string")
+    text = items.select("document_id", "item", "text", "position")
+    labels = owners.where("holder_kind = 'image'").join(text, ["document_id", "item"]).where("trim(text) <> ''")
+    labels = labels.groupBy("document_id", F.col("holder").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("labels"))
     kept = items.join(owners.select("document_id", "item").distinct(), ["document_id", "item"], "left_anti")
     return kept.join(labels, ["document_id", "item"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
@@ -73,7 +84,7 @@ BOX = "struct<left:double,top:double,right:double,bottom:double>"
 ITEM = f"item string, parent string, label string, text string, page int, box {BOX}, position int, caption_of string, spans array<struct<page:int,box:{BOX},start:int,end:int>>"
 
 
-def extract(files: DataFrame, extractor: Callable[[bytes], Iterator[tuple]], batch: int = 64) -> DataFrame:
+def extract(files: DataFrame, extractor: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
     """files(document_id, content) -> items of each document and, where the extractor fails in any way, one row with the
     error: a partial conversion counts as a corrupt document. extractor: bytes -> rows of ITEM; it runs once per file in
     Arrow batches, so a file's items stream out and no other file waits for them."""
@@ -86,7 +97,7 @@ def extract(files: DataFrame, extractor: Callable[[bytes], Iterator[tuple]], bat
 
     def run(batches):
         for b in batches:
-            for document, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for document, content in ((d.as_py(), c.as_py()) for d, c in zip(b.column(0), b.column(1))):
                 try:
                     rows = [(document, *r, None) for r in extractor(content)]
                 except Exception as e:  # whatever a parser raises makes the document corrupt
@@ -95,7 +106,6 @@ def extract(files: DataFrame, extractor: Callable[[bytes], Iterator[tuple]], bat
                     part = rows[at : at + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     return files.select("document_id", "content").mapInArrow(run, schema)
 
 

@@ -7,6 +7,7 @@ of a stream), so a change that carries a stale fencing token is dropped by a com
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import ids as I
 from quire.operators import relational as R
+from quire.sources.schemas import JOBS
 
 LEASE_SECONDS, ATTEMPTS, RUNNING, WAITING = 90, 3, 2, 6
 
@@ -40,14 +42,28 @@ def latest(jobs: DataFrame) -> DataFrame:
     return R.latest_per_key(jobs, "id", "updated_at", "attempt")
 
 
-def enqueue(documents: DataFrame, jobs: DataFrame, now: Column, attempts: int = ATTEMPTS) -> DataFrame:
-    """New jobs for documents (id) without an active one, one each."""
+def _fields(schema: str) -> list[str]:
+    """Fields of a flat schema whose types may hold commas in brackets."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [f.strip() for f in out]
+
+
+def enqueue(documents: DataFrame, jobs: DataFrame, now: Column, attempts: int = ATTEMPTS, correlation_id: str | None = None) -> DataFrame:
+    """New jobs for documents (id) without an active one, one each; correlation_id ties them to the request that asked."""
     active = latest(jobs).where("status <> 'failed'").select(F.col("document_id").alias("_d"))
     fresh = documents.select(F.col("id").alias("document_id")).distinct().join(active, F.col("document_id") == F.col("_d"), "left_anti")
     tries = latest(jobs).groupBy(F.col("document_id").alias("_d")).agg(F.count("*").alias("_n"))
     fresh = fresh.join(tries, F.col("document_id") == F.col("_d"), "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     job_id = I.uuid5(F.concat_ws(":", F.lit("job"), "document_id", F.col("_n").cast("string")))
-    return fresh.select(job_id.alias("id"), "document_id", F.lit("pending").alias("status"), F.lit(0).alias("attempt"), F.lit(attempts).alias("max_attempts"), F.lit(None).cast("string").alias("lease_token"), F.lit(None).cast("timestamp").alias("lease_expires_at"), F.lit(None).cast("string").alias("failure_code"), now.alias("created_at"), now.alias("updated_at"))
+    known = {"id": job_id, "document_id": F.col("document_id"), "status": F.lit("pending"), "pages_done": F.lit(0), "attempt": F.lit(0), "max_attempts": F.lit(attempts), "correlation_id": F.lit(correlation_id), "created_at": now, "updated_at": now}
+    fields = [f.split(" ", 1) for f in _fields(JOBS)]
+    return fresh.select(*(known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields))
 
 
 def claim(jobs: DataFrame, now: Column, limit: int = 1, lease: int = LEASE_SECONDS) -> DataFrame:
@@ -56,6 +72,8 @@ def claim(jobs: DataFrame, now: Column, limit: int = 1, lease: int = LEASE_SECON
     dead = open_jobs.where(exhausted()).withColumns({"status": F.lit("failed"), "failure_code": F.lit("interrupted_repeatedly"), "lease_token": F.lit(None).cast("string"), "lease_expires_at": F.lit(None).cast("timestamp"), "updated_at": now})
     taken = open_jobs.where(~exhausted()).orderBy("created_at", "id").limit(limit)
     token = I.uuid5(F.concat_ws(":", F.lit("lease"), "id", F.col("attempt").cast("string"), now.cast("string")))
+    if "started_at" in jobs.columns:
+        taken = taken.withColumn("started_at", F.coalesce("started_at", now))
     taken = taken.withColumns({"lease_token": token, "status": F.lit("processing"), "attempt": F.col("attempt") + 1, "lease_expires_at": now + F.make_dt_interval(secs=F.lit(lease)), "updated_at": now})
     return taken.unionByName(dead)
 
@@ -64,43 +82,47 @@ def claim(jobs: DataFrame, now: Column, limit: int = 1, lease: int = LEASE_SECON
 STEPS = {"heartbeat": (("processing",), "processing"), "advance": (("processing",), "processing"), "complete": (("processing",), "completed"), "fail": (("pending", "processing"), "failed")}
 
 
+#: What an event may bring beside its kind, taken over where both tables have the column.
+PROGRESS = ("stage", "pages_total", "pages_done", "failure_reason", "summary")
+
+
 def fenced(jobs: DataFrame, events: DataFrame, now: Column, lease: int = LEASE_SECONDS) -> DataFrame:
-    """events(id, event, token, failure_code) -> rows to append: changes whose token is that of the job's lease and that its
-    state allows; stale ones change nothing."""
-    e = events.select("id", "event", "token", F.col("failure_code").alias("_code"))
+    """events(id, event, token, failure_code, and any of PROGRESS) -> rows to append: changes whose token is that of the job's
+    lease and that its state allows; stale ones change nothing."""
+    more = [c for c in PROGRESS if c in events.columns and c in jobs.columns]
+    e = events.select("id", "event", "token", F.col("failure_code").alias("_code"), *(F.col(c).alias(f"_{c}") for c in more))
     held = latest(jobs).join(e, "id").where(F.col("lease_token") == F.col("token"))
     allowed, after = F.lit(False), F.col("status")
     for event, (states, to) in STEPS.items():
         allowed = allowed | ((F.col("event") == event) & F.col("status").isin(*states))
         after = F.when(F.col("event") == event, to).otherwise(after)
     done = F.col("event").isin("complete", "fail")
-    rows = held.where(allowed).withColumns({"status": after, "lease_token": F.when(~done, F.col("lease_token")), "lease_expires_at": F.when(~done, now + F.make_dt_interval(secs=F.lit(lease))), "failure_code": F.when(F.col("event") == "fail", F.coalesce("_code", F.lit("internal_error"))), "updated_at": now})
-    return rows.drop("event", "token", "_code")
+    changed = {c: F.coalesce(f"_{c}", c) for c in more} | {"status": after, "lease_token": F.when(~done, F.col("lease_token")), "lease_expires_at": F.when(~done, now + F.make_dt_interval(secs=F.lit(lease))), "failure_code": F.when(F.col("event") == "fail", F.coalesce("_code", F.lit("internal_error"))), "updated_at": now}
+    if "finished_at" in jobs.columns:
+        changed["finished_at"] = F.when(done, now)
+    return held.where(allowed).withColumns(changed).select(*jobs.columns)
 
 
-def ingest_stream(source: DataFrame, register: str, checkpoint: str, process: Callable[[DataFrame, int], None] | None = None):
-    """A stream of documents (id, sha256, ...) into a register keyed by fingerprint. Each micro-batch writes the rows whose
-    fingerprint is new into a folder named after the batch, so a batch that runs again after a failure replaces its own
-    output; `process` gets the new rows."""
+def ingest_stream(source: DataFrame, register: str, checkpoint: str, process: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None):
+    """A stream of documents (id, sha256, ...) into a register keyed by fingerprint. Which fingerprints are known is keyed state
+    of the stream, so a micro-batch looks up only its own and never reads the register. Each micro-batch writes its new rows into
+    a folder named after the batch, so a batch that runs again after a failure replaces its own output; `process` gets these
+    rows. trigger: that of the stream, by default what is there now."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        held = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(register) if _any(spark, register) else None
-        if held is not None:
-            # not what an earlier run of this very batch wrote
-            held = held.where(~F.input_file_name().contains(f"/batch={number}/"))
-        fresh = R.register_by_fingerprint(rows, held)
-        fresh.write.mode("overwrite").parquet(f"{register}/batch={number}")
+        rows.write.mode("overwrite").parquet(f"{register}/batch={number}")
         if process is not None:
-            process(spark.read.schema(rows.schema).parquet(f"{register}/batch={number}"), number)
+            process(rows.sparkSession.read.schema(rows.schema).parquet(f"{register}/batch={number}"), number)
 
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.dropDuplicates(["sha256"]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _any(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and len(fs.listStatus(p)) > 0
+def until_terminal(state: Callable[[], str | None], every: float = 1.0, most: float = 600.0) -> str | None:
+    """Ask for a job's status until it is terminal or the time is over: the last status."""
+    began = time.monotonic()
+    while (status := state()) not in ("completed", "failed", None) and time.monotonic() - began < most:
+        time.sleep(every)
+    return status
 
 
 def lease_states(events: DataFrame, lease: int = LEASE_SECONDS) -> DataFrame:

@@ -39,8 +39,15 @@ def test_nothing_shows_before_publishing(spark, store):
         store.publish(docs(spark, "d1"), 1)
     store.delete_documents(docs(spark, "d2", "unknown"))
     assert [r.id for r in store.read("units").collect()] == ["u3"]
+    store.write("units", spark.createDataFrame([("u9", "d3", "not yet")], "id string, document_id string, text string"), 1, "b2")
     store.compact("units")
-    assert store.raw("units").count() == 1 and store.read("units").count() == 1
+    assert sorted(r.id for r in store.raw("units").collect()) == ["u3", "u9"] and store.read("units").count() == 1
+    store.publish(docs(spark, "d3"), 1, "b2")
+    store.fold_pointers()
+    assert sorted(r.id for r in store.read("units").collect()) == ["u3", "u9"]
+    store.unpublish(docs(spark, "d3"))
+    store.compact("units")
+    assert store.raw("units").count() == 2 and store.read("units").count() == 1
 
 
 def test_writing_again_is_harmless(spark, store):
@@ -103,7 +110,7 @@ def test_rules(spark):
         schemas.require(schemas.job_rules(jobs))
 
 
-JOB = "id string, document_id string, status string, attempt int, max_attempts int, lease_token string, lease_expires_at timestamp, failure_code string, created_at timestamp, updated_at timestamp"
+JOB = schemas.JOBS
 
 
 def test_job_life(spark):
@@ -135,7 +142,7 @@ def test_streams_register_once(spark, tmp_path):
         time.sleep(0.1)
         seen = []
         J.ingest_stream(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "register"), str(tmp_path / "check"), lambda rows, k, seen=seen: seen.append(rows.count())).awaitTermination()
-        assert seen == ([2] if n == 0 else [1])
+        assert sum(seen) == (2 if n == 0 else 1)
     got = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "register"))
     assert sorted(r.sha256 for r in got.collect()) == ["x", "y", "z"]
 
