@@ -78,14 +78,14 @@ def ingest(
     generation: int,
     batch: str = "0",
     page_sizes: DataFrame | None = None,
-    crops: DataFrame | None = None,
+    crops: Callable[[DataFrame], DataFrame] | None = None,
     outline: DataFrame | None = None,
     describe: Callable[[str, str, str], str] | None = None,
     embed=M.embed,
     max_tokens: int = Y.MAX_TOKENS,
 ) -> DataFrame:
     """documents(id, sha256, file_name), items(document_id, ..., error) as extract() gives them -> document_id, status,
-    failure_code, failure_reason, summary.
+    failure_code, failure_reason, summary. crops: elements -> (element_id, sha256) of the figures whose crop was stored.
 
     A document that fails (corrupt, or without text) ends there, the others go on: elements, triage, descriptions, links, units,
     vectors. All is stored hidden and shown by one pointer a document at the very end, so a run that dies leaves nothing to
@@ -95,7 +95,7 @@ def ingest(
     failed = materialize(It.failures(items), "failures")
     extracted = materialize(to_elements(It.succeeded(items), outline), "extracted")
     sizes = page_sizes if page_sizes is not None else extracted.select("document_id", "page").distinct().withColumns({"width": F.lit(PAGE_WIDTH), "height": F.lit(PAGE_HEIGHT)})
-    hashes = crops if crops is not None else extracted.select(F.col("id").alias("element_id"), F.lit("").alias("sha256")).limit(0)
+    hashes = crops(extracted) if crops is not None else extracted.select(F.col("id").alias("element_id"), F.lit("").alias("sha256")).limit(0)
     totals = sizes.groupBy("document_id").agg(F.count("*").alias("total"))
     known = materialize(It.caption_links(extracted), "known-links")
     triaged = materialize(Y.triage(extracted.drop("item", "caption_of"), hashes, sizes, totals, describe is not None), "triaged")

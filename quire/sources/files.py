@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +26,72 @@ def read_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", T.base_name(F.col("path")).alias("file_name"), F.col("length").alias("size_bytes"), I.fingerprint(F.col("content")).alias("sha256"), "content")
 
 
+#: Compressed streams of one file that are opened to look for pages, and bytes that one may grow to.
+MOST_STREAMS, MOST_STREAM = 100_000, 64 << 20
+
+
+def pdf_facts(content: bytes) -> tuple[bool, bool, int | None, int, list[str]]:
+    """(is a PDF, encrypted, pages, pages without any text operator, titles of the outline), read off the objects of a file:
+    those in the open and those in compressed object streams. Without a page object there is no page count."""
+    if b"%PDF-" not in content[:1024]:
+        return False, False, None, 0, []
+    opened = [content]
+    texts: dict[int, bool] = {}
+    for n, m in enumerate(_OBJECT.finditer(content)):
+        if n >= MOST_STREAMS:
+            break
+        head, body = m["head"], content[m.end() : content.find(b"endstream", m.end())]
+        plain = body
+        if b"/FlateDecode" in head:
+            try:
+                plain = zlib.decompressobj().decompress(body, MOST_STREAM)
+            except zlib.error:
+                continue
+        elif b"/Filter" in head:
+            continue
+        if b"/ObjStm" in head:
+            opened.append(plain)
+        texts[int(m["id"])] = _SHOWS_TEXT.search(plain) is not None
+    encrypted = any(re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", x) for x in opened)
+    pages = [m for x in opened for m in _PAGE.finditer(x)]
+    empty = 0
+    for m in pages:
+        around = _dictionary(m.string, m.start())
+        refs = [int(r) for part in re.findall(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", around)[:1] for r in re.findall(rb"(\d+)\s+\d+\s+R", part)]
+        empty += not any(texts.get(r, False) for r in refs)
+    titles = [t.decode("latin-1") for x in opened if b"/Outlines" in content or x is not content for t in re.findall(rb"/Title\s*\(((?:[^()\\]|\\.)*)\)[^>]*/Parent", x)]
+    return True, encrypted, len(pages) or None, empty, titles
+
+
+def _dictionary(data: bytes, at: int, reach: int = 4000) -> bytes:
+    """The dictionary that holds a place, as far as it is within reach."""
+    first, opened = max(0, at - reach), []
+    for m in re.finditer(rb"<<|>>", data[first : at + reach]):
+        if m[0] == b"<<":
+            opened.append(first + m.start())
+        elif opened:
+            begin = opened.pop()
+            if begin <= at < first + m.end():
+                return data[begin : first + m.end()]
+    return b""
+
+
+_OBJECT = re.compile(rb"(?P<id>\d+)\s+\d+\s+obj(?P<head>(?:(?!endobj).){0,2000}?)stream\r?\n", re.S)
+_PAGE = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
+_SHOWS_TEXT = re.compile(rb"[)>\]]\s*(?:Tj|TJ|'|\")")
+
+
 def inspect_pdf(uploads: DataFrame) -> DataFrame:
-    """Adds is_pdf, encrypted and page_count, read from the file's own structure. Page objects inside compressed object
-    streams are not seen: their file has no page count."""
-    raw = F.decode("content", "ISO-8859-1")
-    pages = F.regexp_count(raw, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
-    return uploads.withColumns({"is_pdf": F.coalesce(F.substring(raw, 1, 1024).contains("%PDF-"), F.lit(False)), "encrypted": F.coalesce(raw.rlike(r"/Encrypt\s+\d+\s+\d+\s+R"), F.lit(False)), "page_count": F.when(pages > 0, pages)})
+    """Adds is_pdf, encrypted, page_count, pages_without_text and outline_titles, read from the file's own structure, compressed
+    object streams included."""
+
+    @F.pandas_udf("is_pdf boolean, encrypted boolean, page_count int, pages_without_text int, outline_titles array<string>")
+    def facts(contents: pd.Series) -> pd.DataFrame:
+        rows = [pdf_facts(c or b"") for c in contents]
+        return pd.DataFrame(rows, columns=["is_pdf", "encrypted", "page_count", "pages_without_text", "outline_titles"]).astype({"page_count": "Int32"})
+
+    found = uploads.withColumn("_facts", facts("content"))
+    return found.withColumns({c: F.col(f"_facts.{c}") for c in ("is_pdf", "encrypted", "page_count", "pages_without_text", "outline_titles")}).drop("_facts")
 
 
 def upload_problem(max_bytes: int = MAX_BYTES, max_pages: int = MAX_PAGES):
@@ -58,14 +121,22 @@ class Blobs:
         return path.getFileSystem(self.conf)
 
     def save(self, key: str, content: bytes) -> None:
+        self.save_stream(key, [content])
+
+    def save_stream(self, key: str, chunks) -> None:
+        """Save what an iterable of chunks gives; only one of them is held at a time, and a stream that fails leaves nothing."""
         target = self._path(key)
         staged = self._path(f"{key}.{uuid.uuid4().hex}.part")
         fs = self._fs(target)
         out = fs.create(staged, True)
         try:
-            out.write(bytearray(content))
-        finally:
+            for chunk in chunks:
+                out.write(bytearray(chunk))
+        except BaseException:
             out.close()
+            fs.delete(staged, False)
+            raise
+        out.close()
         if fs.exists(target):
             fs.delete(target, False)
         if not fs.rename(staged, target):
