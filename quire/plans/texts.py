@@ -101,11 +101,11 @@ def web_elements(spark, d):
 
 @query(
     "heading_titles",
-    r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents), t as (select doc_id, n, line, (doc_id % 1200) || '.' || n || '. ' || line || ' :.' as title from l where n <= 3)
+    r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents), t as (select doc_id, n, line, (doc_id % 1200) || '.' || n || '. ' || line || ' :.' as title from l)
     select doc_id, n::int as n, case when doc_id % 1200 < 1000 then 2 end as level, rtrim(trim(regexp_replace(lower(title), '\s+', ' ', 'g')), ' .:') as key, regexp_matches(title, '(?i)\bcont(?:inu|\.)') as continued from t where line <> ''""",
 )
 def heading_titles(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("n", F.col("i") + 1).where("n <= 3 and line <> ''")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("n", F.col("i") + 1).where("line <> ''")
     title = F.concat((F.col("doc_id") % 1200).cast("string"), F.lit("."), F.col("n").cast("string"), F.lit(". "), F.col("line"), F.lit(" :."))
     return lines.select("doc_id", "n", T.section_level(title).alias("level"), T.title_key(title).alias("key"), T.is_continued(title).alias("continued"))
 
@@ -116,6 +116,7 @@ def heading_titles(spark, d):
     select doc_id, array_to_string(list_sort(list_distinct(list_filter(t, lambda x: regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Za-z-]') and not contains(known, lower(x))))), ' ') as ids from b""",
 )
 def unverified_identifiers(spark, d):
+    """Texts as descriptions; the first 400 characters of each stand for its caption."""
     docs = table(spark, d, "documents")
     ids = T.unverified_identifiers(F.col("text"), F.array(F.coalesce("source", F.lit(""))), F.substring("text", 1, 400))
     return docs.select("doc_id", F.array_join(F.array_sort(ids), " ").alias("ids"))
@@ -123,12 +124,12 @@ def unverified_identifiers(spark, d):
 
 @query(
     "citation_markers",
-    r"""select conv_id, turn, text || ' [' || turn || '] [99]' as text, turn < 5 as known, true as marked from conversations""",
+    r"""select conv_id, turn, text || ' [' || turn || '] [99]' as text, turn < 5 as known from conversations""",
 )
 def citation_markers(spark, d):
     c = table(spark, d, "conversations")
     text = F.concat(F.col("text"), F.lit(" ["), F.col("turn").cast("string"), F.lit("] [99]"))
-    return c.select("conv_id", "turn", text.alias("text"), F.array_contains(T.known_markers(text, F.array(*(F.lit(i) for i in range(5)))), F.col("turn").cast("int")).alias("known"), T.has_markers(text).alias("marked"))
+    return c.select("conv_id", "turn", text.alias("text"), F.array_contains(T.known_markers(text, F.array(*(F.lit(i) for i in range(5)))), F.col("turn").cast("int")).alias("known"))
 
 
 @query(
