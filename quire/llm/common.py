@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch carries to a Python worker; texts may be long, so batches stay small.
-BATCH_ROWS = 512
+from quire.sources.scratch import materialize, shared_dir, sized_broadcast
 
-_serial = itertools.count()
+__all__ = ["materialize", "shared_dir", "shuffle_partitions", "sized_broadcast", "small_batches", "table", "utf8", "worker_cache"]
 
+#: Rows that one Arrow batch carries to a Python worker; texts may be long, so batches stay small.
+BATCH_ROWS = 512
 
 _held: dict = {}
 
@@ -37,24 +33,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset (local tests) an own one."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = os.path.join(tempfile.gettempdir(), "quire-shared")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors, gives both
-    sides of a later join exchanges of their own, so that adaptive execution can split a skewed key."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex[:12]}/{next(_serial)}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(text: Column) -> Column:
     """The text's bytes; a null text is an empty one."""
     return F.coalesce(text.cast("binary"), F.lit(b""))
@@ -62,8 +40,3 @@ def utf8(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def sized_broadcast(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """Broadcast a written table only if it has few rows; else Spark plans an ordinary join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -15,7 +15,6 @@ an empty result.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize, shuffle_partitions, sized_broadcast, table
@@ -34,8 +33,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     else:
         given = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.lit(None).cast("map<string,double>")
         weight = F.coalesce(F.when(F.col("source").isNotNull(), F.element_at(given, F.col("source"))), F.lit(0.0))
-    every = W.partitionBy(F.lit(0))  # one row per source
-    sizes = sizes.withColumn("weight", weight).withColumns({"w": F.sum("weight").over(every), "b": F.sum("bytes").over(every)})
+    sizes = materialize(sizes.withColumn("weight", weight), "sizes")
+    whole = lambda c: sizes.agg(F.sum(c)).scalar()
+    sizes = sizes.withColumns({"w": whole("weight"), "b": whole("bytes")})
     return sizes.select("source", "bytes", F.when(F.col("w") > 0, F.col("weight") / F.col("w") * F.col("b") / F.col("bytes") * budget).otherwise(0.0).alias("rate"))
 
 
@@ -47,23 +47,26 @@ def _cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), upto), F.struct(first.alias("p"), F.array(first).alias("c")), step, lambda s: s["c"])
 
 
-def _name() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+def _name(row: str = "row") -> Column:
+    text = F.coalesce(F.col(f"{row}.text"), F.lit(""))
+    return F.coalesce(F.col(f"{row}.doc_id").cast("string"), F.concat(F.lit("t"), F.md5(text.cast("binary"))))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> all columns of docs and rate, copy (from 1), shuffle_key; in shuffled order."""
+    """docs(doc_id, text, source, ...) -> all columns of docs and rate, copy (from 1), shuffle_key; in shuffled order. Columns of
+    docs with one of these three names are replaced."""
     docs = docs.drop("rate", "copy", "shuffle_key")
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int")
     per = rates(docs, **how).withColumn("draws", draws).withColumn("cdf", _cdf(F.col("rate") / F.col("draws")))
-    per = sized_broadcast(materialize(per.select(F.col("source").alias("_source"), "rate", "draws", "cdf"), "rates"))
+    per = sized_broadcast(materialize(per.select("source", "rate", "draws", "cdf"), "rates"))
     u = lambda j: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), _name(), j.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    drawn = docs.join(per, docs["source"].eqNullSafe(per["_source"]))
-    drawn = drawn.withColumn("_u", F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: u(j)))
-    drawn = drawn.withColumn("_n", F.aggregate("_u", F.lit(0), lambda s, x: s + F.size(F.filter("cdf", lambda c: c <= x))))
-    copies = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    # a row stays one struct, so that none of its names can clash with those of the plan
+    drawn = docs.select(F.struct(*docs.columns).alias("row")).join(per, F.col("row.source").eqNullSafe(F.col("source")))
+    drawn = drawn.withColumn("us", F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: u(j)))
+    drawn = drawn.withColumn("copies", F.aggregate("us", F.lit(0), lambda s, x: s + F.size(F.filter("cdf", lambda c: c <= x))))
+    copies = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), _name(), F.col("copy").cast("string")).cast("binary")))
-    out = copies.select(*docs.columns, "rate", "copy", "shuffle_key")
+    out = copies.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), "rate", "copy", "shuffle_key")
     return out.repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 
 

@@ -171,6 +171,15 @@ class Merge:
         self.step: dict[int, int] = {}
         self.states, self.number = [first], {first: 0}
 
+    def _restart(self, state: int) -> int:
+        """Forget all states but this one: its new number."""
+        held = self.states[state]
+        self._clear()
+        if held not in self.number:
+            self.number[held] = len(self.states)
+            self.states.append(held)
+        return self.number[held]
+
     def encode(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first: the definition that the compiled machine must agree with."""
         ids = [self.vocab[bytes([b])] for b in data]
@@ -247,12 +256,13 @@ class Merge:
 
     def run(self, data: bytes) -> int:
         """The tokens of a piece: the sum of the annotations along its path."""
-        if len(self.states) > MAX_STATES or len(self.step) > 4 * MAX_STATES:
-            self._clear()
         get, state, total = self.step.get, 0, -512 * len(data)
         for byte in data:
             to = get(state << 8 | byte)
             if to is None:
+                if len(self.states) > MAX_STATES or len(self.step) > 4 * MAX_STATES:
+                    state = self._restart(state)  # within a piece too, however long it is
+                    get = self.step.get
                 to = self._compile(state, byte)
             state = to >> 10
             total += to & 1023

@@ -51,6 +51,62 @@ def test_score_is_the_softmax_of_the_average(spark):
         assert abs(scorer(text.encode()) - want) < 1e-6
 
 
+def test_fit_is_gradient_descent_on_the_softmax(monkeypatch):
+    """The fit and its margin against a plain version that keeps vectors and outputs apart, number by number."""
+    from math import exp as e, log
+
+    monkeypatch.setattr(C, "BUCKETS", 12)
+    monkeypatch.setattr(C, "DIMENSIONS", 3)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(8):
+        f = rng.choice(12, 4, replace=False)
+        shares = rng.dirichlet(np.ones(4))
+        rows.append((int(rng.integers(2)), f.astype(np.int32), shares.astype(np.float32)))
+    rows[0], rows[1] = (0, *rows[0][1:]), (1, *rows[1][1:])
+    steps, rate = 60, 0.5
+    got = C.fit(rows, steps, rate, 3)
+    draw = np.random.default_rng(3)
+    v = [[float(x) for x in r] for r in draw.uniform(-1 / 3, 1 / 3, (12, 3)).astype(np.float32)]
+    order = np.concatenate([draw.permutation(8) for _ in range(8)])[:steps]
+    out, bias = [[0.0, 0.0] for _ in range(3)], [0.0, 0.0]
+
+    def forward(f, s):
+        mean = [sum(float(w) * v[i][d] for i, w in zip(f, s)) for d in range(3)]
+        z = [sum(mean[d] * out[d][c] for d in range(3)) + bias[c] for c in (0, 1)]
+        total = sum(e(x) for x in z)
+        return mean, [e(x) / total for x in z]
+
+    losses = []
+    for step, i in enumerate(order):
+        y, f, s = rows[i]
+        mean, p = forward(f, s)
+        losses.append(-log(p[y]))
+        lr, p[y] = rate * (1 - step / steps), p[y] - 1
+        down = [out[d][0] * p[0] + out[d][1] * p[1] for d in range(3)]
+        for d in range(3):
+            for c in (0, 1):
+                out[d][c] -= lr * mean[d] * p[c]
+        for c in (0, 1):
+            bias[c] -= lr * 0.1 * p[c]
+        for j, w in zip(f, s):
+            for d in range(3):
+                v[j][d] -= lr * float(w) * down[d]
+    for y, f, s in rows:
+        assert abs(forward(f, s)[1][1] - got.score(float(sum(got.margin[i] * w for i, w in zip(f, s))), 1.0)) < 1e-4
+    assert sum(losses[-8:]) < sum(losses[:8])
+
+
+def test_held_out_documents_are_told_apart(spark):
+    """Area under the curve over labelled documents that the fit never saw."""
+    place = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{place}/{t}.parquet") for t in ("documents", "labels"))
+    scored = C.op3_quality_classifier(spark, place).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in scored if r.quality == q] for q in (1, 0))
+    assert good and bad and sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad) > 0.97
+    assert sum((r.predicted == r.quality) for r in scored) / len(scored) > 0.95
+
+
 def test_held_out_is_the_checksum(spark):
     got = spark.range(200).select("id", C.held_out(F.col("id")).alias("x")).collect()
     assert all(r.x == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
@@ -319,7 +375,10 @@ def test_large_means_are_split(spark):
 
 def test_mixing_odd_rows(odd, none):
     got = M.mix(odd)
-    assert {"rate", "copy", "shuffle_key"} <= set(got.columns) and got.count() > 0
+    assert got.columns == [c for c in odd.columns if c != "rate"] + ["rate", "copy", "shuffle_key"]
+    clash = odd.withColumns({c: F.lit("mine") for c in ("row", "draws", "cdf", "us", "copies", "_source", "copy", "bytes", "weight")})
+    plain, other = (sorted((str(r.doc_id), str(r.text), r.copy, r.shuffle_key) for r in M.mix(x).collect()) for x in (odd, clash))
+    assert plain == other and {r.cdf for r in M.mix(clash).collect()} == {"mine"} and plain
     assert M.mix(none).count() == 0
     assert M.mix(odd, weights={}).count() == 0
 
@@ -429,6 +488,29 @@ def test_shards(spark, n):
         assert sorted(range(n), key=lambda i: 0) != [r.doc_id // 7 for r in sorted(got, key=lambda r: (r.slot, r.shard))]
 
 
+def plain_place(number, rows, key=H.KEY, rounds=H.ROUNDS):
+    """Feistel with cycle walking, by its definition."""
+    from hashlib import md5
+    from math import isqrt
+
+    side = isqrt(rows - 1) + 1
+    while True:
+        left, right = divmod(number, side)
+        for i in range(1, rounds + 1):
+            left, right = right, (left + int(md5(f"{key}:{i}:{right}".encode()).hexdigest()[:15], 16)) % side
+        number = left * side + right
+        if number < rows:
+            return number
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 25, 300])
+def test_shards_are_those_of_the_plain_permutation(spark, n):
+    docs = spark.range(n).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    got = {r.doc_id // 3: (r.row_number, r.shard, r.slot) for r in H.shard_rows(docs.repartition(3)).collect()}
+    assert sorted(plain_place(i, n) for i in range(n)) == list(range(n))
+    assert got == {i: (i, plain_place(i, n) % H.SHARDS, plain_place(i, n) // H.SHARDS) for i in range(n)}
+
+
 def test_shards_of_odd_rows(odd):
     got = H.shard_rows(odd).collect()
     assert len(got) == odd.count() and sorted(r.row_number for r in got) == list(range(len(got)))

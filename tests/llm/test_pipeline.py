@@ -46,3 +46,20 @@ def test_run_gives_the_last_stage(spark, data):
 @pytest.mark.parametrize("stage", [f for n, f in C.STAGES if n != "quality_classifier"])
 def test_empty_input(spark, data, none, stage):
     assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), data).count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark, data, odd):
+    """Nulls, empty and long texts, repeated rows and clashing column names."""
+    docs, n = odd, odd.count()
+    for name, stage in C.STAGES:
+        before = docs.count()
+        docs = materialize(stage(spark, docs, data), name)
+        if name != "packing":
+            assert docs.columns == odd.columns
+        if name in ("quality_classifier", "simhash_near_dedup", "pii"):
+            assert docs.count() <= before <= n
+    assert docs.count() > 0
+
+
+def test_empty_input_of_the_first_stage(spark, data, none):
+    assert C.quality_classifier(spark, none, data).count() == 0

@@ -92,3 +92,14 @@ def test_packing_is_a_round_trip(odd, none, vocabulary, window, open_windows, fa
 def test_repeated_rows_are_packed_each(odd, vocabulary):
     rows = P.pack(odd, vocabulary("word_bpe_49k.json")).collect()
     assert sum(r.start == 0 for r in rows if r.doc_id == 3) == 3
+
+
+def test_states_are_bounded_within_a_piece(vocabulary, monkeypatch):
+    """One piece of many letters would make a state for each: the machine forgets them and goes on from where it is."""
+    path = vocabulary("byte_bpe_50k.json")
+    rng = random.Random(9)
+    data = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    monkeypatch.setattr(K, "MAX_STATES", 300)
+    m = K.Merge(path)
+    assert m.run(data.encode()) == len(Tokenizer.from_file(path).encode(data, add_special_tokens=False).ids)
+    assert len(m.states) <= 302 and len(m.step) <= 1202
