@@ -34,7 +34,7 @@ MAX_WORDS, BLOCK = 700_000, 1 << 22
 MERGED = 1 << 62
 _MARKS = re.compile(rb"[\xCC-\xF4]")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
 
 
 def lowered(data: bytes) -> bytes:
@@ -207,42 +207,50 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, open_windows: int = OPEN_WINDOWS, fan_in: int = FAN_IN) -> DataFrame:
-    """docs(doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """docs(doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id. The
+    pieces of one row of docs share a row_id, which tells apart rows that share a doc_id."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = PIECES.format(id=kind)
 
+    numbers = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id")
+
+    def flat(rows):
+        """A packer's rows name a document by its id and its row."""
+        return [(r[0][0], *r[1:], r[0][1]) for r in rows]
+
     def run(batches):
         part = TaskContext.get().partitionId()
-        packer, encode = Packer(part << 32, window, open_windows), word_ids(tokenizer)
+        packer, encode, n = Packer(part << 32, window, open_windows), word_ids(tokenizer), part << 33
         schema = None
         for b in batches:
-            schema = schema or pa.schema([pa.field("doc_id", b.schema.field(0).type), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("part", pa.int64()), ("ids", pa.binary())])
+            schema = schema or pa.schema([pa.field("doc_id", b.schema.field(0).type), *((c, pa.int64()) for c in numbers), ("part", pa.int64()), ("ids", pa.binary())])
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                packer.add(doc, 0, np.append(ids, np.uint32(end_id)), len(ids) + 1)
-            yield _batch([(*r, None, None) for r in packer.take()], schema)
+                packer.add((doc, n), 0, np.append(ids, np.uint32(end_id)), len(ids) + 1)
+                n += 1
+            yield _batch([(*r, None, None) for r in flat(packer.take())], schema)
         if schema:
             left = packer.close()
-            yield _batch([(*r, None, None) for r in packer.take()] + [(doc, start, len(ids), None, total, None, i, part, ids.tobytes()) for i, (doc, start, ids, total) in enumerate(left)], schema)
+            yield _batch([(*r, None, None) for r in flat(packer.take())] + [(doc, start, len(ids), None, total, None, i, row, part, ids.tobytes()) for i, ((doc, row), start, ids, total) in enumerate(left)], schema)
 
     def merge(batches):
         group, packer, schema = None, None, None
         for b in batches:
-            schema = schema or pa.schema([b.schema.field("doc_id"), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
-            for doc, start, total, ids, g in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids", "g"))):
+            schema = schema or pa.schema([b.schema.field("doc_id"), *((c, pa.int64()) for c in numbers)])
+            for doc, row, start, total, ids, g in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_id", "start", "doc_tokens", "ids", "g"))):
                 if g != group:
                     if packer:
                         yield from last(packer, schema)
                     group, packer = g, Packer(MERGED + (g << 32), window, open_windows)
-                packer.add(doc, start, np.frombuffer(ids, np.uint32), total)
-            yield _batch(packer.take(), schema)
+                packer.add((doc, row), start, np.frombuffer(ids, np.uint32), total)
+            yield _batch(flat(packer.take()), schema)
         if packer:
             yield from last(packer, schema)
 
     def last(packer, schema):
         if rest := packer.close():
             packer._emit(rest)
-        yield _batch(packer.take(), schema)
+        yield _batch(flat(packer.take()), schema)
 
     first = docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, f"{fields}, part long, ids binary")
     first = materialize(first, "pieces")
