@@ -171,6 +171,13 @@ def test_validation():
         A.validated("x", ["a", "a"])
 
 
+def test_latency_by_exact_and_bounded_ranks(spark):
+    rows = spark.range(1001).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("s"))
+    assert tuple(E.latency(rows, "s", "k").first()) == ("a", 500.0, 950.0, 1000.0)
+    near = E.latency(rows, "s", "k", accuracy=100).first()
+    assert abs(near.p50 - 500) <= 11 and abs(near.p95 - 950) <= 11 and near["max"] == 1000.0
+
+
 def test_shares_of_nothing_are_one(spark):
     rows = spark.createDataFrame([], "label string, reason string, status string, supplied boolean, identifier string")
     assert E.shares(rows).first().answerable_reaching_model == 1.0
