@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.schemas import QUESTIONS, require
+
+
+LABELS = ("answerable", "same_topic", "unrelated")
+
+
+def load_questions(spark: SparkSession, path: str) -> DataFrame:
+    """The labelled question set of a JSON file (one list, or one object a line), checked: ids are unique, labels known, and an
+    answerable question names the document and pages that answer it."""
+    rows = spark.read.schema(QUESTIONS).option("multiLine", not path.endswith("l")).option("mode", "FAILFAST").json(path)
+    known = F.col("label").isin(*LABELS) & (F.trim("question") != "") & F.col("id").isNotNull()
+    told = (F.col("label") != "answerable") | (F.col("expected_document").isNotNull() & (F.size("expected_pages") > 0))
+    require({"question_form": rows.where(~F.coalesce(known & told, F.lit(False))), "question_id": rows.groupBy("id").count().where("count > 1")})
+    return rows
+
 
 def hits_expected(outcomes: DataFrame, questions: DataFrame) -> DataFrame:
     """Outcomes with `supplied`: whether a source is of the expected document and touches an expected page."""

@@ -171,6 +171,20 @@ def test_validation():
         A.validated("x", ["a", "a"])
 
 
+def test_labelled_questions_are_read_and_checked(spark, tmp_path):
+    import json
+
+    from quire.sources.schemas import BrokenRule
+
+    good = {"id": "1", "question": "what?", "language": "en", "label": "answerable", "expected_document": "a.pdf", "expected_pages": [3], "identifier": None}
+    other = {"id": "2", "question": "why?", "language": "en", "label": "unrelated"}
+    (tmp_path / "set.json").write_text(json.dumps([good, other]))
+    assert {r.id: r.expected_pages for r in E.load_questions(spark, str(tmp_path / "set.json")).collect()} == {"1": [3], "2": None}
+    (tmp_path / "bad.jsonl").write_text("\n".join(json.dumps(x) for x in (good, {**good, "expected_pages": []}, {**other, "label": "x"})))
+    with pytest.raises(BrokenRule, match="question_form, question_id"):
+        E.load_questions(spark, str(tmp_path / "bad.jsonl"))
+
+
 def test_latency_by_exact_and_bounded_ranks(spark):
     rows = spark.range(1001).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("s"))
     assert tuple(E.latency(rows, "s", "k").first()) == ("a", 500.0, 950.0, 1000.0)
