@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,12 +9,12 @@ from pyspark.sql import functions as F
 from quire.functions import ids as I
 from quire.plans.library import table
 from quire.plans.registry import query
+from quire.sources.scratch import scratch
 from quire.streaming import jobs as J
 
 
 def _place(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-shared")
-    return f"{root.rstrip('/')}/quire-stream-{uuid.uuid4().hex[:12]}"
+    return f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 @query("ingestion_stream", "select sha256, count(*) as n from (select distinct sha256(text) as sha256 from documents) group by 1")
