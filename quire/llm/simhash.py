@@ -387,7 +387,7 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], similarity: tuple[int,
 
 def confirmed(grouped: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """grouped(root, node, text) -> (a, b): the exact links within each group. A group of more than group_rows is cut into
-    chunks and each pair of chunks is one group of its own, as in bucket_links()."""
+    chunks and each pair of chunks is one group of its own."""
     spark = grouped.sparkSession
     sizes = grouped.groupBy("root").count().where(F.col("count") > group_rows)
     hot = materialize(sizes.select(F.col("root").alias("_root"), F.ceil(F.col("count") / group_rows).cast("int").alias("m")), "hot-groups")
