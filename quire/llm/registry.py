@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage, by name."""
 
 from quire.llm.classifier import op3_quality_classifier
+from quire.llm.conversations import op13_conversation_repair
 from quire.llm.line_dedup import OP5_SQL, op5_line_dedup
 from quire.llm.media import op10_media
 from quire.llm.mixing import OP4_SQL, op4_mixing
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_media": op10_media,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL}
