@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage, by name."""
 
 from quire.llm.classifier import op3_quality_classifier
+from quire.llm.collocations import OP12_SQL, op12_collocations
 from quire.llm.conversations import op13_conversation_repair
 from quire.llm.line_dedup import OP5_SQL, op5_line_dedup
 from quire.llm.media import op10_media
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_media": op10_media,
+    "op12_collocations": op12_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL, "op12_collocations": OP12_SQL}
