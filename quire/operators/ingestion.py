@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import threading
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,8 @@ from quire.operators import layout as Y
 from quire.sources import items as It
 from quire.sources import models as M
 from quire.sources import schemas
-from quire.sources.scratch import materialize
+from quire.sources.names import Names
+from quire.sources.scratch import materialize, scope
 from quire.sources.store import Store
 from quire.streaming import jobs as J
 
@@ -83,9 +86,11 @@ def ingest(
     describe: Callable[[str, str, str], str] | None = None,
     embed=M.embed,
     max_tokens: int = Y.MAX_TOKENS,
+    held: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """documents(id, sha256, file_name), items(document_id, ..., error) as extract() gives them -> document_id, status,
-    failure_code, failure_reason, summary. crops: elements -> (element_id, sha256) of the figures whose crop was stored.
+    failure_code, failure_reason, summary. crops: elements -> (element_id, sha256) of the figures whose crop was stored. held: the
+    documents (document_id) that this run may still show, asked just before it shows them.
 
     A document that fails (corrupt, or without text) ends there, the others go on: elements, triage, descriptions, links, units,
     vectors. All is stored hidden and shown by one pointer a document at the very end, so a run that dies leaves nothing to
@@ -107,7 +112,7 @@ def ingest(
     for name, rows in (("elements", elements), ("edges", links), ("units", units)):
         store.write(name, rows, generation, batch)
     done = extracted.select("document_id").distinct().join(failed.select("document_id"), "document_id", "left_anti")
-    store.publish(done, generation, batch)
+    store.publish(held(done) if held is not None else done, generation, batch)
     made = Y.job_summary(elements, links, units)
     fields = [f.split(":")[0] for f in schemas.SUMMARY[len("struct<") : -1].split(",")]
     summary = made.select("document_id", F.struct(*(F.col(f).cast("bigint").alias(f) for f in fields)).alias("summary"))
@@ -120,39 +125,71 @@ def ingest(
 # Worker ---------------------------------------------------------------------------------------------------------------
 
 
-class JobLog:
-    """The event log of jobs in a folder: every change appends rows; the state of a job is its newest row."""
+class AppendLog:
+    """Rows in a folder that several writers append to at once: each append is a folder of its own, complete or not there."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.spark.createDataFrame([], schemas.JOBS).write.mode("append").parquet(self.path)
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.append(spark.createDataFrame([], schema))
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(schemas.JOBS).parquet(self.path)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Append rows; returns them as they were written, so that what follows sees the same tokens and times."""
-        names = self.rows().columns
-        kept = materialize(rows.select(*names), "job-events")
-        kept.coalesce(1).write.mode("append").parquet(self.path)
-        return kept
+        at = f"{self.path}/{time.time_ns():020d}-{uuid.uuid4().hex}"
+        rows.select(*self.spark.createDataFrame([], self.schema).columns).coalesce(1).write.parquet(at)
+        return self.spark.read.schema(self.schema).parquet(at)
+
+
+class JobLog(AppendLog):
+    """The event log of jobs: every change appends rows; the state of a job is its newest row. A claim and a new job are theirs
+    who take their name first."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, f"{path.rstrip('/')}/events", schemas.JOBS)
+        self.names = Names(spark, f"{path.rstrip('/')}/names")
+
+    def win(self, rows: DataFrame) -> DataFrame:
+        """Append those of the rows (claims, new jobs) that no other writer was faster to take."""
+        return self.append(J.won(materialize(rows, "wanted"), self.names.take))
 
 
 class Worker:
     """Takes claimable jobs, a batch at a time, to the run that processes them. While a batch runs, a heartbeat keeps its
-    leases; whatever the run raises fails the batch's jobs with a code, and the worker goes on."""
+    leases. If the run raises, the batch is halved until the document that does it stands alone; only that one's job fails, with
+    a code. Several workers may share a log. Scratch tables of a batch go with it."""
 
     def __init__(self, log: JobLog, run: Callable[[DataFrame, int, str], DataFrame], batch: int = 64, lease: int = J.LEASE_SECONDS, budget: int = 20):
         self.log, self.run, self.batch, self.lease, self.budget = log, run, batch, lease, budget
+        #: What went wrong in heartbeats.
+        self.missed: list[str] = []
 
     def _events(self, jobs: DataFrame, event: str) -> DataFrame:
         return jobs.select("id", F.lit(event).alias("event"), F.col("lease_token").alias("token"), F.lit(None).cast("string").alias("failure_code"))
 
     def step(self) -> int:
         """One batch: the number of jobs taken."""
+        with scope(self.log.spark):
+            return self._step()
+
+    def _processed(self, jobs: DataFrame) -> DataFrame:
+        """The outcome of each document. What is raised by one document ends that one alone."""
+        try:
+            first = jobs.agg(F.max("attempt").alias("attempt"), F.min("lease_token").alias("name")).first()
+            return materialize(self.run(jobs, first["attempt"], first["name"]), "outcome")
+        except Exception as e:
+            ids = sorted(r.id for r in jobs.select("id").collect())
+            if len(ids) > 1:
+                halves = (ids[: len(ids) // 2], ids[len(ids) // 2 :])
+                one, two = (self._processed(materialize(jobs.where(F.col("id").isin(half)), "half")) for half in halves)
+                return one.unionByName(two)
+            code = "provider_unavailable" if isinstance(e, M.Unavailable) or f"{M.__name__}.{M.Unavailable.__name__}" in str(e) else "internal_error"
+            return jobs.select("document_id", F.lit("failed").alias("status"), F.lit(code).alias("failure_code"), F.lit(str(e)[:500]).alias("failure_reason"), F.lit(None).cast(schemas.SUMMARY).alias("summary"))
+
+    def _step(self) -> int:
         now = F.current_timestamp()
-        claimed = self.log.append(J.claim(self.log.rows(), now, self.batch, self.lease)).where("status = 'processing'")
-        jobs = materialize(claimed, "claimed")
+        jobs = self.log.win(J.claim(self.log.rows(), now, self.batch, self.lease)).where("status = 'processing'")
         taken = jobs.count()
         if not taken:
             return 0
@@ -160,17 +197,16 @@ class Worker:
 
         def beat():
             while not done.wait(self.lease / 3):
-                self.log.append(J.fenced(self.log.rows(), self._events(jobs, "heartbeat"), F.current_timestamp(), self.lease))
+                try:
+                    with scope(self.log.spark):
+                        self.log.append(J.fenced(self.log.rows(), self._events(jobs, "heartbeat"), F.current_timestamp(), self.lease))
+                except Exception as e:  # the next beat tries again; a lease that runs out is seen by the fence
+                    self.missed.append(str(e)[:500])
 
         pulse = threading.Thread(target=beat, daemon=True)
         pulse.start()
         try:
-            attempt = jobs.agg(F.max("attempt")).first()[0]
-            name = jobs.agg(F.min("id")).first()[0]
-            outcome = materialize(self.run(jobs, attempt, name), "outcome")
-        except Exception as e:  # the jobs end with a code and the worker takes the next ones
-            code = "provider_unavailable" if isinstance(e, M.Unavailable) or "Unavailable" in str(e) else "internal_error"
-            outcome = jobs.select("document_id", F.lit("failed").alias("status"), F.lit(code).alias("failure_code"), F.lit(str(e)[:500]).alias("failure_reason"), F.lit(None).cast(schemas.SUMMARY).alias("summary"))
+            outcome = self._processed(jobs)
         finally:
             done.set()
             pulse.join()

@@ -5,6 +5,7 @@ map errors by their `code`."""
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from datetime import datetime
@@ -18,11 +19,15 @@ from quire.operators import ingestion as N
 from quire.operators import relational as R
 from quire.sources import files as Fi
 from quire.sources import schemas
-from quire.sources.scratch import materialize
+from quire.sources.scratch import materialize, scope
 from quire.sources.store import Store
 from quire.streaming import jobs as J
 
 
+#: Seconds that a question may take.
+DEADLINE = 90.0
+
+
 class Refused(ValueError):
     """An operation that the state of the library does not allow; code is stable for callers."""
 
@@ -63,21 +68,22 @@ def stage_upload(blobs: Fi.Blobs, chunks: Iterable[bytes], most: int = Fi.MAX_BY
 class Library:
     """Documents, jobs, stored datasets and blobs below one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, extract: Callable[[DataFrame], DataFrame], **ingest):
-        """extract: files(document_id, content) -> items, as sources.items.extract() with a parser; ingest: how to ingest."""
+    def __init__(self, spark: SparkSession, root: str, extract: Callable[[DataFrame], DataFrame], slots: J.Slots | None = None, deadline: float = DEADLINE, **ingest):
+        """extract: files(document_id, content) -> items, as sources.items.extract() with a parser; slots: how many questions
+        run and wait; deadline: seconds that a question may take; ingest: how to ingest."""
         self.spark, self.root, self.extract, self.how = spark, root.rstrip("/"), extract, ingest
         self.store, self.blobs = Store(spark, f"{self.root}/store"), Fi.Blobs(spark, f"{self.root}/blobs")
         N.create(self.store)
         self.log = N.JobLog(spark, f"{self.root}/jobs")
-        spark.createDataFrame([], f"{schemas.DOCUMENTS}, deleted boolean").write.mode("append").parquet(f"{self.root}/documents")
+        self.register = N.AppendLog(spark, f"{self.root}/documents", f"{schemas.DOCUMENTS}, deleted boolean")
+        self.slots, self.deadline = slots or J.Slots(), deadline
 
     def documents(self) -> DataFrame:
         """Documents that are not deleted, by the newest row of each."""
-        rows = self.spark.read.schema(f"{schemas.DOCUMENTS}, deleted boolean").parquet(f"{self.root}/documents")
-        return R.latest_per_key(rows, "id", "created_at").where("not deleted").drop("deleted")
+        return R.latest_per_key(self.register.rows(), "id", "created_at").where("not deleted").drop("deleted")
 
     def _register(self, rows: DataFrame, deleted: bool) -> None:
-        rows.withColumns({"deleted": F.lit(deleted), "created_at": F.current_timestamp()}).coalesce(1).write.mode("append").parquet(f"{self.root}/documents")
+        self.register.append(rows.withColumns({"deleted": F.lit(deleted), "created_at": F.current_timestamp()}))
 
     def submit(self, file_name: str, chunks: Iterable[bytes], correlation_id: str | None = None) -> Row:
         """One upload: (document_id, decision, job_id). A file that is known gives its document, and a new job only where the
@@ -95,7 +101,7 @@ class Library:
             self._register(fresh, False)
         decision = R.submission(materialize(document, "submitted"), J.latest(self.log.rows())).first()
         if decision.decision == "new_job":
-            self.log.append(J.enqueue(document.select("id"), self.log.rows(), F.current_timestamp(), correlation_id=correlation_id))
+            self.log.win(J.enqueue(document.select("id"), self.log.rows(), F.current_timestamp(), correlation_id=correlation_id))
         job = self.job_of(decision.id)
         return Row(document_id=decision.id, decision=decision.decision, job_id=job.id)
 
@@ -138,10 +144,19 @@ class Library:
         self.store.delete_documents(self.spark.createDataFrame([(document_id,)], "document_id string"))
         for tree in (f"figures/{document_id}", f"pages/{document_id}", document.blob_key):
             self.blobs.delete_tree(tree)
+        self.log.append(J.removed(self.log.rows(), document_id, F.current_timestamp()))
         self._register(self.spark.createDataFrame([document], self.documents().schema), True)
 
+    def _completed(self, document_id: str) -> None:
+        """Not found if the document is unknown, refused if it is not ingested."""
+        if self.documents().where(F.col("id") == document_id).isEmpty():
+            raise R.NotFound(document_id)
+        if (status := self.job_of(document_id).status) != "completed":
+            raise Refused("document_not_ready", f"{document_id} is {status}")
+
     def elements(self, document_id: str, limit: int | None = None, cursor: str | None = None, kind: str | None = None, page: int | None = None) -> tuple[list[Row], str | None]:
         """Elements of a completed document in reading order, each with its edges."""
+        self._completed(document_id)
         rows = R.filtered(self.store.read("elements", [document_id]), kind=kind, page=page)
         got, more = R.page_of(rows, ["reading_order"], limit, cursor, (int,))
         if not got:
@@ -151,31 +166,60 @@ class Library:
         return R.nest_edges(page_rows, edges).orderBy("reading_order").collect(), more
 
     def figure(self, document_id: str, element_id: str) -> bytes:
+        self._completed(document_id)
         found = self.store.read("elements", [document_id]).where((F.col("id") == element_id) & F.col("image_key").isNotNull()).first()
         if found is None or not self.blobs.exists(found.image_key):
             raise R.NotFound(element_id)
         return self.blobs.read(found.image_key)
 
     def page_image(self, document_id: str, page: int) -> bytes:
+        self._completed(document_id)
         key = f"pages/{document_id}/{page}.png"
         if not self.blobs.exists(key):
             raise R.NotFound(key)
         return self.blobs.read(key)
 
-    def question(self, text: str, documents: list[str] | None = None, **how) -> Row:
+    def question(self, text: str, documents: list[str] | None = None, alive: Callable[[], bool] | None = None, **how) -> Row:
+        """One answer. Refused as busy if too many wait, after the deadline, or when alive() says that the asker is gone: the
+        Spark jobs of the question are then cancelled."""
+
+        def action():
+            with scope(self.spark):
+                return self._answer(text, documents, **how)
+
+        end = time.monotonic() + self.deadline
+        try:
+            with self.slots.admit(self.deadline):
+                return J.within(self.spark, end - time.monotonic(), action, alive)
+        except J.Busy as e:
+            raise Refused("too_many_questions", str(e)) from None
+        except TimeoutError as e:
+            raise Refused("deadline_exceeded", str(e)) from None
+        except J.Gone as e:
+            raise Refused("client_gone", str(e)) from None
+
+    def _answer(self, text: str, documents: list[str] | None, **how) -> Row:
         names = self.documents().select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"))
         units = self.store.read("units").withColumnRenamed("id", "unit_id").join(names, "document_id")
         completed = R.completed_only(self.documents(), J.latest(self.log.rows()))
         return A.ask(self.spark, text, units, self.documents(), completed, documents, elements=self.store.read("elements"), links=self.store.read("edges"), names=names, **how).first()
 
-    def process(self, jobs: DataFrame, generation: int, batch: str) -> DataFrame:
+    def process(self, jobs: DataFrame, attempt: int, batch: str) -> DataFrame:
         """The run of a worker: the files of these jobs, extracted and ingested."""
         documents = materialize(self.documents().join(jobs.select(F.col("document_id").alias("id")), "id", "left_semi"), "documents")
         keys = documents.select(F.concat(F.lit(f"{self.root}/blobs/"), "blob_key").alias("path"), "id")
         paths = [r.path for r in keys.toLocalIterator()]
         contents = self.spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", r"documents/([0-9a-f]{64})\.pdf$", 1).alias("sha256"), "content")
         files = contents.join(documents.select("sha256", F.col("id").alias("document_id")), "sha256").select("document_id", "content")
-        return N.ingest(self.store, documents, self.extract(files), generation, batch, **self.how)
+        leases = materialize(jobs.select(F.col("lease_token").alias("_token")), "leases")
+
+        def held(done: DataFrame) -> DataFrame:
+            """Of the documents to show, those whose lease is still this run's."""
+            mine = J.latest(self.log.rows()).join(leases, F.col("lease_token") == F.col("_token"), "left_semi")
+            return R.semi_lookup(done, mine.select("document_id"), "document_id")
+
+        generation = self.store.next_generation(documents.select(F.col("id").alias("document_id")), attempt)
+        return N.ingest(self.store, documents, self.extract(files), generation, batch, held=held, **self.how)
 
     def worker(self, **how) -> N.Worker:
         return N.Worker(self.log, self.process, **how)

@@ -3,14 +3,16 @@
 Parquet has no transactions. Rows are written by generation and batch into a folder of their own, in hash buckets of the
 document's id; writing the same generation and batch again replaces that folder, so a repeated write is harmless and readers
 need not drop repeats. A small pointer table names the generation and batch that count for each document, and whether they
-show. Readers join the pointers, so they see all of the old rows or all of the new ones. One writer at a time is assumed; a
-fence (the attempt of the job that writes) keeps a stale writer from publishing.
+show. Readers join the pointers, so they see all of the old rows or all of the new ones. Several writers may write at once,
+each under a batch name of its own; a fence (the generation) keeps a stale writer from publishing.
 
 A dataset lives in a version folder that the file CURRENT names; compaction writes the next version and then moves that one
 file, so a reader finds a whole dataset at any time. Pointers fold in the same way."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,14 +94,20 @@ class Store:
 
     def _pointer_rows(self) -> DataFrame:
         at = self._at("pointers")
-        return self.spark.read.schema(POINTERS).parquet(at) if self._exists(at) else self.spark.createDataFrame([], POINTERS)
+        return self.spark.read.schema(POINTERS).option("recursiveFileLookup", True).parquet(at) if self._exists(at) else self.spark.createDataFrame([], POINTERS)
 
     def pointers(self) -> DataFrame:
         """The latest pointer of each document."""
         return R.latest_per_key(self._pointer_rows(), "document_id", "version")
 
     def _point(self, documents: DataFrame) -> None:
-        documents.select(*(f.split()[0] for f in POINTERS.split(", "))).coalesce(1).write.mode("append").parquet(self._at("pointers"))
+        documents.select(*(f.split()[0] for f in POINTERS.split(", "))).coalesce(1).write.parquet(f"{self._at('pointers')}/{uuid.uuid4().hex}")  # a folder each, as several may write
+
+    def next_generation(self, documents: DataFrame, attempt: int) -> int:
+        """A generation above those that the documents (document_id) have, deleted ones too; of two runs the one of the greater
+        attempt has the greater."""
+        held = self.pointers().join(documents.select("document_id").distinct(), "document_id", "left_semi").agg(F.max("generation")).first()[0]
+        return (held or 0) + attempt
 
     def publish(self, documents: DataFrame, generation: int, batch: str = "0") -> None:
         """Make a generation of documents (document_id) the visible one. Fails if any of them has a newer one."""

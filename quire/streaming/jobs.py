@@ -1,8 +1,9 @@
 """Ingestion jobs: a queue as an event log, folded to the latest state, and file-triggered ingestion.
 
 States: pending -> processing -> completed or failed; a processing job whose lease has run out may be claimed again while it
-has attempts left. Every change appends one row; the state of a job is its newest row. One driver writes (the batch function
-of a stream), so a change that carries a stale fencing token is dropped by a comparison, not by a lock."""
+has attempts left. Every change appends one row; the state of a job is its newest row. A change that carries a stale fencing token
+is dropped by a comparison. Several workers may claim and enqueue at once: a claim, or a new job, is theirs who first takes its
+name (job, attempt, state) in the shared folder, see won() and sources.names."""
 
 from __future__ import annotations
 
@@ -38,10 +39,33 @@ def exhausted() -> Column:
     return F.col("attempt") >= F.col("max_attempts")
 
 
-def latest(jobs: DataFrame) -> DataFrame:
+#: State of the jobs of a document that was deleted: they are none any more.
+DELETED = "deleted"
+
+
+def newest_rows(jobs: DataFrame) -> DataFrame:
     return R.latest_per_key(jobs, "id", "updated_at", "attempt")
 
 
+def latest(jobs: DataFrame) -> DataFrame:
+    """The state of each job; those of deleted documents are left out."""
+    return newest_rows(jobs).where(F.col("status") != DELETED)
+
+
+def removed(jobs: DataFrame, document_id: str, now: Column) -> DataFrame:
+    """Rows to append: the jobs of a document go with it."""
+    gone = {"status": F.lit(DELETED), "lease_token": F.lit(None).cast("string"), "lease_expires_at": F.lit(None).cast("timestamp"), "updated_at": now}
+    return latest(jobs).where(F.col("document_id") == document_id).withColumns(gone)
+
+
+def won(rows: DataFrame, take: Callable[[str], bool]) -> DataFrame:
+    """Of the rows that several writers may be about to append, those whose name (job, attempt, state) this one takes first. As
+    many names as jobs of a batch."""
+    names = [(r.id, r.attempt, r.status) for r in rows.select("id", "attempt", "status").collect()]
+    mine = [r[0] for r in names if take("-".join(map(str, r)))]
+    return R.semi_lookup(rows, rows.sparkSession.createDataFrame([(i,) for i in mine], "id string"), "id")
+
+
 def _fields(schema: str) -> list[str]:
     """Fields of a flat schema whose types may hold commas in brackets."""
     out, depth = [""], 0
@@ -58,7 +82,7 @@ def enqueue(documents: DataFrame, jobs: DataFrame, now: Column, attempts: int =
     """New jobs for documents (id) without an active one, one each; correlation_id ties them to the request that asked."""
     active = latest(jobs).where("status <> 'failed'").select(F.col("document_id").alias("_d"))
     fresh = documents.select(F.col("id").alias("document_id")).distinct().join(active, F.col("document_id") == F.col("_d"), "left_anti")
-    tries = latest(jobs).groupBy(F.col("document_id").alias("_d")).agg(F.count("*").alias("_n"))
+    tries = newest_rows(jobs).groupBy(F.col("document_id").alias("_d")).agg(F.count("*").alias("_n"))
     fresh = fresh.join(tries, F.col("document_id") == F.col("_d"), "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     job_id = I.uuid5(F.concat_ws(":", F.lit("job"), "document_id", F.col("_n").cast("string")))
     known = {"id": job_id, "document_id": F.col("document_id"), "status": F.lit("pending"), "pages_done": F.lit(0), "attempt": F.lit(0), "max_attempts": F.lit(attempts), "correlation_id": F.lit(correlation_id), "created_at": now, "updated_at": now}
@@ -173,14 +197,33 @@ class Slots:
             self._all.release()
 
 
-def within(spark: SparkSession, seconds: float, action: Callable):
-    """Run an action under a tag; its Spark jobs are cancelled when the time is over."""
-    tag = f"quire-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, spark.interruptTag, args=(tag,))
-    spark.addTag(tag)
-    timer.start()
-    try:
-        return action()
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
+class Gone(RuntimeError):
+    """Whoever asked is not there any more."""
+
+
+def within(spark: SparkSession, seconds: float, action: Callable, alive: Callable[[], bool] | None = None, every: float = 0.25):
+    """The result of an action that runs in a thread of its own, its Spark jobs under a tag. When the time is over (TimeoutError)
+    or alive(), asked all the while, is false (Gone), the caller is free at once and Spark is told to cancel the tag's jobs."""
+    tag, done, result = f"quire-{uuid.uuid4().hex}", threading.Event(), []
+
+    def run():
+        spark.addTag(tag)
+        try:
+            result.append((action(), None))
+        except BaseException as e:
+            result.append((None, e))
+        finally:
+            spark.removeTag(tag)
+            done.set()
+
+    threading.Thread(target=run, daemon=True).start()
+    end = time.monotonic() + seconds
+    while not done.wait(min(every, max(end - time.monotonic(), 0))):
+        over = time.monotonic() >= end
+        if over or (alive is not None and not alive()):
+            threading.Thread(target=spark.interruptTag, args=(tag,), daemon=True).start()
+            raise TimeoutError(f"not done within {seconds} s") if over else Gone("nobody waits for it")
+    value, error = result[0]
+    if error is not None:
+        raise error
+    return value
