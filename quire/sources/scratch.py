@@ -52,12 +52,12 @@ def scope(spark: SparkSession):
         _scopes.at = before
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors, gives both
-    sides of a later join exchanges of their own, so that adaptive execution can split a skewed key."""
+    sides of a later join exchanges of their own, so that adaptive execution can split a skewed key. options: of the writer."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{next(_serial)}-{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
