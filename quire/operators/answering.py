@@ -191,18 +191,20 @@ def answer_questions(
     links: DataFrame | None = None,
     names: DataFrame | None = None,
     crops: DataFrame | None = None,
+    text_index=None,
 ) -> DataFrame:
     """The whole answer path for a batch of questions (question_id, text, language): search, distinct, judge, pinned top-k,
     gate, prompt, generate, attribute, cite. One row per question: reason, message, text, citations, top_relevance; with
     elements, links and names(document_id, document_name) also its sources and images.
 
-    units: the stored units (unit_id, document_id, document_name, text, heading_path, pages, dense, visible), with their
+    text_index: a stored index of all visible units; a question about named documents ranks among these alone and reads their
+    texts. units: the stored units (unit_id, document_id, document_name, text, heading_path, pages, dense, visible), with their
     vectors: these are made when units are stored, and here only questions and statements are embedded. What a model made is
     written once, so no call is repeated for a later step. The gate is a filter below the generator, so no model is asked for
     questions that it stops; those join again at the end."""
     q = materialize(questions.withColumn("dense", embed_query(F.col("text"))), "questions")
     open_units = S.searchable(units, documents=documents)
-    found = materialize(S.hybrid(q, open_units, candidates * S.OVER_FETCH), "found")
+    found = materialize(S.hybrid(q, open_units, candidates * S.OVER_FETCH, text_index if documents is None else None), "found")
     body = S.of_hits(found, open_units.drop("dense")).withColumn("embedding_text", T.embedding_text(F.col("heading_path"), F.col("text")))
     hits = S.distinct_hits(found.join(body, "unit_id"), candidates)
     asked = hits.join(questions.select("question_id", F.col("text").alias("question")), "question_id")

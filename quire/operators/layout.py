@@ -66,17 +66,24 @@ def outline_levels(outline: DataFrame) -> DataFrame:
     """outline(document_id, position, depth, title, page) -> document_id, position, key, page, level. A title that repeats
     its parent's adds no level; a single root is a wrapper; levels end at six.
 
-    A window gives each bookmark the last one before it at every lesser depth; those of them that come after all of yet lesser
-    depth are its ancestors, and its level is the number of changes of title along them."""
-    low, high = outline.agg(F.min("depth"), F.max("depth")).first()
-    before = W.partitionBy("document_id").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    One fold over a document's bookmarks in order: its state is the stack of ancestors, from which each bookmark drops those of
+    its own depth or more; its level is its parent's, one more if the titles differ. The plan is the same for every depth. An
+    outline belongs to one document and is held in one row, without its other columns."""
     keyed = outline.withColumn("key", T.title_key(F.col("title"))).select("document_id", "position", "depth", "key", "page")
-    here = F.struct("position", "key")
-    above = [F.when(F.col("depth") > d, F.last(F.when(F.col("depth") == d, here), ignorenulls=True).over(before)) for d in range(low or 0, (high or 0) + 1)]
-    none = F.struct(F.lit(-1).alias("position"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("changes"))
-    step = lambda x, e: F.when(e["position"] > x["position"], F.struct(e["position"].cast("int").alias("position"), e["key"].alias("key"), (x["changes"] + F.coalesce(x["key"] != e["key"], F.lit(False)).cast("int")).alias("changes"))).otherwise(x)
-    last = F.aggregate(F.array(*above), none, step)
-    d = keyed.withColumn("last", last).withColumn("real", F.col("last.changes") + F.coalesce(F.col("last.key") != F.col("key"), F.lit(False)).cast("int"))
+    kinds = keyed.schema
+    key, depth, position = (kinds[c].dataType.simpleString() for c in ("key", "depth", "position"))
+    rows = F.array_sort(F.collect_list(F.struct("position", "depth", "key")))
+    none = F.expr(f"named_struct('stack', cast(array() as array<struct<depth:{depth},key:{key},real:int>>), 'out', cast(array() as array<struct<position:{position},real:int>>))")
+
+    def step(state, row):
+        above = F.filter(state["stack"], lambda e: e["depth"] < row["depth"])
+        parent = F.try_element_at(above, F.lit(-1))
+        real = F.coalesce(parent["real"] + F.coalesce(parent["key"] != row["key"], F.lit(False)).cast("int"), F.lit(0))
+        own = F.struct(row["depth"].alias("depth"), row["key"].alias("key"), real.alias("real"))
+        return F.struct(F.concat(above, F.array(own)).alias("stack"), F.concat(state["out"], F.array(F.struct(row["position"].alias("position"), real.alias("real")))).alias("out"))
+
+    folded = keyed.groupBy("document_id").agg(F.aggregate(rows, none, step, lambda s: s["out"]).alias("out"))
+    d = keyed.join(folded.select("document_id", F.inline("out")), ["document_id", "position"])
     whole = W.partitionBy("document_id")
     d = d.withColumn("top", F.min("real").over(whole)).withColumn("tops", F.sum((F.col("real") == F.col("top")).cast("int")).over(whole)).withColumn("all", F.count("*").over(whole))
     level = F.col("real") - F.col("top") - F.when((F.col("all") > 1) & (F.col("tops") == 1), 1).otherwise(0) + 1
@@ -187,7 +194,8 @@ def continuation_links(elements: DataFrame, links: DataFrame, page_sizes: DataFr
 def link_elements(elements: DataFrame, extracted: DataFrame, page_sizes: DataFrame, most: float = NEAR_POINTS) -> DataFrame:
     """All links: the extractor's (once each), then captions, near text, continuations; each step sees those before."""
     links = extracted.groupBy("document_id", "source_id", "target_id", "kind").agg(F.max("score").alias("score"))
-    links = links.unionByName(caption_links(elements, links, most))
+    # the captions are matched one after the other: done once, as both later steps look at them
+    links = materialize(links.unionByName(caption_links(elements, links, most)), "captions")
     return links.unionByName(near_links(elements, links, most)).unionByName(continuation_links(elements, links, page_sizes))
 
 

@@ -221,9 +221,11 @@ def with_similarity(hits: DataFrame, questions: DataFrame, units: DataFrame) ->
     return joined.withColumn("similarity", V.cosine(F.col("_q"), known)).drop("_q", "_u")
 
 
-def hybrid(questions: DataFrame, units: DataFrame, limit: int = CANDIDATES * OVER_FETCH) -> DataFrame:
-    """questions(question_id, text, dense), units(unit_id, text, dense): both sides to twice the limit, fused, rescored."""
-    sides = [dense_top(questions, units, PREFETCH * limit), bm25_top(questions, units, PREFETCH * limit)]
+def hybrid(questions: DataFrame, units: DataFrame, limit: int = CANDIDATES * OVER_FETCH, text_index=None) -> DataFrame:
+    """questions(question_id, text, dense), units(unit_id, text, dense): both sides to twice the limit, fused, rescored.
+    text_index: the stored index of just these units (text_index.TextIndex); without it their texts are read."""
+    words = text_index.top(questions, PREFETCH * limit) if text_index is not None else bm25_top(questions, units, PREFETCH * limit)
+    sides = [dense_top(questions, units, PREFETCH * limit), words]
     return with_similarity(materialize(fused(sides, limit), "hits"), questions, units)
 
 

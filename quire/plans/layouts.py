@@ -8,6 +8,7 @@ from quire.operators import layout as Y
 from quire.plans.library import table
 from quire.plans.registry import query
 from quire.sources import lines as L
+from quire.sources.scratch import materialize
 
 #: The same elements in SQL.
 ELEMENTS = """
@@ -102,8 +103,8 @@ def caption_matching(spark, d):
 def retrieval_units(spark, d):
     """Packing under a token ceiling depends on every choice before: SQL can't state it plainly; tests hold a plain version."""
     e = _elements(spark, d)
-    links = Y.link_elements(e, L.no_links(e), L.page_sizes(e))
-    return Y.build_units(e, links)
+    e = materialize(e, "elements")
+    return Y.build_units(e, materialize(Y.link_elements(e, L.no_links(e), L.page_sizes(e)), "links"))
 
 
 @query(

@@ -9,10 +9,11 @@ from quire.functions import vectors as V
 from quire.operators import answering as A
 from quire.operators import evaluation as E
 from quire.operators import search as S
+from quire.operators.text_index import TextIndex
 from quire.plans.library import table
 from quire.plans.registry import query
 from quire.plans.texts import FOLD
-from quire.sources.scratch import materialize
+from quire.sources.scratch import SESSION, materialize, shared_dir
 
 _TERMS = rf"regexp_extract_all({FOLD}, '[\p{{{{L}}}}\p{{{{N}}}}]+')"
 _BM25 = f"""
@@ -34,14 +35,38 @@ def _units(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.coalesce("text", F.lit(" ")).alias("text"))
 
 
+_indexes: dict[tuple[str, str, str], TextIndex] = {}
+
+
+def _index(spark, d, name, units):
+    """The stored index of a table's units: written once a session and table, beside the scratch tables, and read from then on."""
+    place = f"{shared_dir(spark)}/quire-index-{SESSION}"
+    key = (place, d.rstrip("/"), name)
+    if key not in _indexes or _indexes[key].spark is not spark:
+        _indexes[key] = TextIndex.build(units(), f"{place}/{len(_indexes)}-{name}")
+    return _indexes[key]
+
+
+def _documents_index(spark, d):
+    return _index(spark, d, "documents", lambda: _units(spark, d))
+
+
+@query("text_index", f"with {_BM25} select st.n as units, round(average, 6) as average, (select count(*) from df) as terms, (select count(*) from tf) as postings from st")
+def text_index(spark, d):
+    """The stored full-text index of all documents: what the queries below read. Built here unless it is there."""
+    index = _documents_index(spark, d)
+    counted = index.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return counted.select(F.lit(index.units).alias("units"), F.round(F.lit(index.average), 6).alias("average"), "terms", "postings")
+
+
 @query("bm25_topk", f"with {_BM25} select question_id, unit_id, round(score, 6) as score, row_number() over (partition by question_id order by round(score, 9) desc, unit_id)::int as pos from sc qualify pos <= 8")
 def bm25_topk(spark, d):
-    return S.bm25_top(_questions(spark, d), _units(spark, d), S.TOP_K).withColumn("score", F.round("score", 6))
+    return _documents_index(spark, d).top(_questions(spark, d), S.TOP_K).withColumn("score", F.round("score", 6))
 
 
 @query("document_frequency", f"with {_BM25} select term, df from df")
 def document_frequency(spark, d):
-    return S.postings(_units(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+    return _documents_index(spark, d).terms.select("term", "df")
 
 
 _DENSE = """
@@ -62,18 +87,19 @@ def dense_topk(spark, d):
     "hybrid_rrf",
     f"""with {_BM25}, m as (select count(*) as m from embeddings), vu as (select unit_id, unit_id % m as vec_id from u, m), vq as (select item_id as question_id, item_id % m as vec_id from benchmark, m),
     s as materialized (select a.vec_id as q, b.vec_id as v, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a, embeddings b where a.vec_id in (select vec_id from vq)),
-    a as (select question_id, unit_id, row_number() over (partition by question_id order by round(similarity, 9) desc, unit_id) as pos from vq join s on s.q = vq.vec_id join vu on vu.vec_id = s.v qualify pos <= 32),
-    b as (select question_id, unit_id, row_number() over (partition by question_id order by round(score, 9) desc, unit_id) as pos from sc qualify pos <= 32),
+    pv as materialized (select question_id, v, similarity from vq join s on s.q = vq.vec_id),
+    a as materialized (select question_id, unit_id, row_number() over (partition by question_id order by round(similarity, 9) desc, unit_id) as pos from pv join vu on vu.vec_id = pv.v qualify pos <= 32),
+    b as materialized (select question_id, unit_id, row_number() over (partition by question_id order by round(score, 9) desc, unit_id) as pos from sc qualify pos <= 32),
     f as (select question_id, unit_id, sum(1 / (60.0 + pos)) as score from (select * from a union all select * from b) group by all),
-    t as (select *, row_number() over (partition by question_id order by round(score, 12) desc, unit_id)::int as search_pos from f qualify search_pos <= 16)
-    select question_id, unit_id, round(score, 9) as score, search_pos, round(similarity, 6) as similarity from t join vq using (question_id) join vu using (unit_id) join s on s.q = vq.vec_id and s.v = vu.vec_id""",
+    t as materialized (select *, row_number() over (partition by question_id order by round(score, 12) desc, unit_id)::int as search_pos from f qualify search_pos <= 16)
+    select t.question_id, t.unit_id, round(score, 9) as score, search_pos, round(similarity, 6) as similarity from t join vu using (unit_id) join pv on pv.question_id || ':' || pv.v = t.question_id || ':' || vu.vec_id""",
 )
 def hybrid_rrf(spark, d):
     """All documents against all benchmark passages. The tables have fewer vectors than documents, so those are given in turn."""
     vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense"))
     m = vectors.count()
     given = lambda rows, key: rows.withColumn("vec_id", F.col(key) % m).join(vectors, "vec_id").drop("vec_id")
-    got = S.hybrid(given(_questions(spark, d), "question_id"), given(_units(spark, d), "unit_id"), 16)
+    got = S.hybrid(given(_questions(spark, d), "question_id"), given(_units(spark, d), "unit_id"), 16, _documents_index(spark, d))
     return got.select("question_id", "unit_id", F.round("score", 9).alias("score"), "search_pos", F.round("similarity", 6).alias("similarity"))
 
 
@@ -86,7 +112,8 @@ def hybrid_rrf(spark, d):
 )
 def distinct_hits(spark, d):
     units = _units(spark, d)
-    hits = S.bm25_top(_questions(spark, d), units, 32).withColumnRenamed("pos", "search_pos").join(units, "unit_id")
+    hits = materialize(_documents_index(spark, d).top(_questions(spark, d), 32).withColumnRenamed("pos", "search_pos"), "hits")
+    hits = hits.join(S.of_hits(hits, units), "unit_id")
     return S.distinct_hits(hits, key=T.collapse(T.fold_latin(F.col("text")))).select("question_id", "unit_id", "search_pos")
 
 
@@ -185,5 +212,6 @@ def answer_path(spark, d):
     lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("n", "text")).where("text <> ''")
     units = lines.select(F.concat_ws(":", "document_id", F.col("n").cast("string")).alias("unit_id"), "document_id", F.concat(F.lit("doc"), F.col("document_id")).alias("document_name"), "text", F.array().cast("array<string>").alias("heading_path"), F.array((F.col("n") + 1).cast("int")).alias("pages"), F.lit(True).alias("visible"))
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", F.lit("en").alias("language"))
-    # units get their vectors once, when they are stored
-    return A.answer_questions(questions, materialize(units.withColumn("dense", M.embed(F.col("text"))), "units"))
+    # units get their vectors, and their index, once: when they are stored
+    index = _index(spark, d, "lines", lambda: units)
+    return A.answer_questions(questions, materialize(units.withColumn("dense", M.embed(F.col("text"))), "units"), text_index=index)

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_serial, _session = itertools.count(), uuid.uuid4().hex[:12]
+_serial, SESSION = itertools.count(), uuid.uuid4().hex[:12]
 _scopes = threading.local()
 
 #: A table is broadcast only if it has no more rows and no more bytes than these.
@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession) -> str:
     """The folder of this process's scratch tables, within a scope that of the scope."""
-    return getattr(_scopes, "at", None) or f"{shared_dir(spark)}/quire-{_session}"
+    return getattr(_scopes, "at", None) or f"{shared_dir(spark)}/quire-{SESSION}"
 
 
 @contextmanager
@@ -44,7 +44,7 @@ def scope(spark: SparkSession):
     """Scratch tables that this thread writes within go when it ends: for workers that run for long. What is read of them must
     be read or written elsewhere before."""
     before = getattr(_scopes, "at", None)
-    _scopes.at = f"{shared_dir(spark)}/quire-{_session}-scope-{next(_serial)}"
+    _scopes.at = f"{shared_dir(spark)}/quire-{SESSION}-scope-{next(_serial)}"
     try:
         yield
     finally:

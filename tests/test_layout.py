@@ -164,3 +164,13 @@ def test_description_context(spark):
 def test_continued_caption(spark):
     got = spark.createDataFrame([("Tabla 2 (continuación)",), ("Table 2 cont. here",), ("Contents",), (None,)], "t string").select(T.is_continued(F.col("t")).alias("x"))
     assert [r.x for r in got.collect()] == [True, True, False, False]
+
+
+def test_a_very_deep_outline_is_one_fold(spark):
+    rows = [("d", i, i, f"t{i}", 1) for i in range(3000)] + [("e", i, d, t, 1) for i, (d, t) in enumerate([(0, "Root"), (2, "A"), (7, "A"), (7, "B"), (1, "C"), (0, "Last")])]
+    df = spark.createDataFrame(rows, "document_id string, position int, depth int, title string, page int")
+    got = {(r.document_id, r.position): r.level for r in Y.outline_levels(df).collect()}
+    assert [got.get(("d", i)) for i in (0, 1, 6, 2999)] == [None, 1, 6, 6]
+    assert [got["e", i] for i in range(6)] == [1, 2, 2, 3, 2, 1]
+    plan = Y.outline_levels(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
