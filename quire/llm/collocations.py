@@ -1,10 +1,9 @@
 """Phrase collocations: all n-grams as rows, counted per language, scored exactly, extended phrases removed, ranked.
 
-Equal pieces are counted first, so copies of a text cost one piece. Then every 1..max_n-gram is a row of a DataFrame, made where
-the piece lies; a row goes on to the exchange only if both of its parts of one word less were counted often enough, as an n-gram
-is never more frequent than its parts (left-semi joins with the phrases of the level before: broadcast if counted small, else
-ordinary joins; no frequent phrase is lost). So all counts of candidates are over all documents. Counts are summed in tasks
-before the exchange, thus a word that is a third of all rows is one row per task.
+Every 1..max_n-gram is a row of a DataFrame, made where its piece of text lies; a row goes on to the exchange only if both of its
+parts of one word less were counted often enough, as an n-gram is never more frequent than its parts (joins with the phrases of
+the level before: broadcast if counted small, else ordinary joins; no frequent phrase is lost). So all counts of candidates are
+over all documents. Counts are summed in tasks before the exchange, thus a word that is a third of all rows is one row per task.
 
 Defined cases: a null text is empty, a null language is `und`, texts without words give no rows, repeated rows count each time,
 extra columns are ignored. The arithmetic is decimal of 38 digits."""
@@ -20,40 +19,62 @@ from quire.llm.common import materialize, sized_broadcast, table
 MAX_N, MIN_COUNT, PERCENT, TOP = 5, 100, 100, 2000
 #: Phrases of a level that a semi-join may broadcast.
 SMALL = 400_000
+#: Phrases of which a pair of ids is one number of 64 bits.
+ONE_NUMBER = 3_000_000_000
 PIECE_END, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def pieces(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, words (array), times: the distinct pieces of all texts that have a word. Written."""
-    d = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), PIECE_END)).alias("piece"))
-    # the words of a piece tell it, not its spacing
+    """lang, words (array): the pieces of all texts that have a word, where their texts lie. Written."""
+    parts = documents.sparkSession.sparkContext.defaultParallelism
+    d = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if d.rdd.getNumPartitions() < parts:  # a table of one file is dealt out; a large one stays where it is
+        d = d.repartition(parts)
+    d = d.select("lang", F.explode(F.split(F.translate("text", UPPER, LOWER), PIECE_END)).alias("piece"))
     d = d.select("lang", F.trim(F.regexp_replace("piece", r"[\x20\x09]+", " ")).alias("piece")).where("piece <> ''")
-    d = d.groupBy("lang", "piece").agg(F.count("*").alias("times"))
-    return materialize(d.select("lang", F.split("piece", " ").alias("words"), "times"), "pieces")
+    return materialize(d.select("lang", F.split("piece", " ").alias("words")), "pieces", compression="zstd")
 
 
 def level(held: DataFrame, n: int, shorter: DataFrame | None, least: int) -> DataFrame:
-    """lang, w1 .. wn, f of the n-grams with f >= least. shorter: the same of n - 1. Written."""
+    """lang, words, w1 .. wn, f, id of the n-grams with f >= least. shorter: the same of n - 1. Written. An n-gram is told by the
+    ids of its first and its last n - 1 words, so the exchange carries one number (two, if there are very many phrases) and a
+    count."""
     words = [f"w{i}" for i in range(1, n + 1)]
     at = F.explode(F.sequence(F.lit(0), F.size("words") - n))
-    rows = held.where(F.size("words") >= n).select("lang", "words", "times", at.alias("i"))
-    rows = rows.select("lang", *[F.get("words", F.col("i") + j).alias(w) for j, w in enumerate(words)], "times")
-    if shorter is not None:
-        names = [f"w{i}" for i in range(1, n)]
-        for part in (words[:-1], words[1:]):
-            side = shorter.select("lang", *[F.col(a).alias(b) for a, b in zip(names, part)])
-            rows = rows.join(side, ["lang", *part], "left_semi")
-    return materialize(rows.groupBy("lang", *words).agg(F.sum("times").alias("f")).where(F.col("f") >= least), f"level-{n}")
+    rows = held.where(F.size("words") >= n).select("lang", "words", at.alias("i"))
+    rows = rows.select("lang", *[F.get("words", F.col("i") + j).alias(w) for j, w in enumerate(words)])
+    if shorter is None:
+        found = rows.groupBy("lang", "w1").agg(F.count("*").alias("f")).withColumn("words", F.array("w1"))
+    else:
+        small, names, total = sized_broadcast(shorter, SMALL), words[:-1], shorter.count()
+        for part, name in ((words[:-1], "first"), (words[1:], "last")):
+            rows = rows.join(small.select("lang", F.col("id").alias(name), *[F.col(a).alias(b) for a, b in zip(names, part)]), ["lang", *part])
+        if total < ONE_NUMBER:
+            counts = rows.groupBy((F.col("first") * total + F.col("last")).alias("pair")).agg(F.count("*").alias("f")).where(F.col("f") >= least)
+            counts = counts.select(F.expr(f"pair div {max(total, 1)}").alias("first"), (F.col("pair") % max(total, 1)).alias("last"), "f")
+        else:
+            counts = rows.groupBy("first", "last").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+        of = lambda name, *more: shorter.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"), *more)
+        found = counts.join(of("first", "lang"), "first").join(of("last"), "last").withColumn("words", F.concat("first_words", F.slice("last_words", -1, 1)))
+    found = found.where(F.col("f") >= least).select("lang", "words", *[F.get("words", F.lit(j)).alias(w) for j, w in enumerate(words)], "f")
+    return consecutive(materialize(found.withColumn("_id", F.monotonically_increasing_id()), f"level-{n}"))
+
+
+def consecutive(rows: DataFrame) -> DataFrame:
+    """A written table whose _id was given task by task, with id from 0 without gaps: one row a task is summed up and joined."""
+    sizes = rows.groupBy(F.shiftrightunsigned("_id", 33).alias("_task")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_task", (F.sum("_n").over(W.orderBy("_task")) - F.col("_n")).alias("_start"))
+    at = F.col("_id").bitwiseAND((1 << 33) - 1)
+    return materialize(rows.join(F.broadcast(starts), F.shiftrightunsigned("_id", 33) == F.col("_task")).withColumn("id", F.col("_start") + at).drop("_id", "_task", "_n", "_start"), "numbered")
 
 
 def phrases(held: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT) -> DataFrame:
-    """lang, phrase (array of words), f: all phrases of 1 to max_n words with f >= least. Written."""
-    out = shorter = None
+    """lang, phrase, words (array), f: all phrases of 1 to max_n words with f >= least. Written."""
+    out = found = None
     for n in range(1, max_n + 1):
-        found = level(held, n, shorter, least)
-        shorter = sized_broadcast(found, SMALL)
-        rows = found.select("lang", F.array(*[f"w{i}" for i in range(1, n + 1)]).alias("words"), "f")
+        found = level(held, n, found, least)
+        rows = found.select("lang", "words", "f")
         out = rows if out is None else out.unionByName(rows)
     return materialize(out.select("lang", F.array_join("words", " ").alias("phrase"), "words", "f"), "phrases")
 
@@ -74,7 +95,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", m
     """lang, rank, phrase, a, l, r, n, score. A candidate goes if a one-word extension of it has percent of its count: counts
     only fall as a phrase grows, so a longer one that has it passes it on to the extensions between."""
     held = pieces(documents, text, lang)
-    totals = held.groupBy("lang").agg(F.sum(F.size("words") * F.col("times")).alias("n"))
+    totals = held.groupBy("lang").agg(F.sum(F.size("words")).alias("n"))
     found = phrases(held, max_n, least)
     longer = found.where(F.size("words") > 2)
     inner = F.explode(F.array(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1)))
