@@ -143,15 +143,17 @@ def relevance_gate(spark, d):
 
 @query(
     "identifier_holders",
-    rf"""with i as (select item_id, unnest(list_distinct(list_filter(regexp_extract_all({FOLD.format('text')} || ' mail8 42', '[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_./-]*[\p{{L}}\p{{N}}])?'), lambda t: length(t) >= 3 and regexp_matches(t, '[0-9]')))) as t from benchmark),
-    d as (select doc_id, unnest(list_distinct(regexp_extract_all({FOLD.format('text')}, '[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_./-]*[\p{{L}}\p{{N}}])?'))) as t from documents)
-    select distinct item_id, doc_id from i join d using (t)""",
+    rf"""with d as (select doc_id, unnest(list_distinct(regexp_extract_all({FOLD.format('text')}, '[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_./-]*[\p{{L}}\p{{N}}])?'))) as t from documents)
+    select t as identifier, doc_id from d where length(t) >= 3 and regexp_matches(t, '[0-9]')""",
 )
 def identifier_holders(spark, d):
-    """Units that hold an identifier of a question as a whole token: an equi-join on tokens."""
-    asked = table(spark, d, "benchmark").select("item_id", F.explode(T.question_identifiers(F.concat(T.fold_latin(F.col("text")), F.lit(" mail8 42")))).alias("t"))
-    held = table(spark, d, "documents").select("doc_id", F.explode(T.identifier_tokens(T.fold_latin(F.col("text")))).alias("t"))
-    return asked.join(held, "t").select("item_id", "doc_id").distinct()
+    """Every identifier of the documents is asked for: the documents that hold it as a whole token. An equi-join on tokens
+    finds the pairs, the rule of pinning decides on them."""
+    folded = table(spark, d, "documents").select("doc_id", T.fold_latin(F.col("text")).alias("text"))
+    asked = folded.select(F.explode(T.question_identifiers(F.col("text"))).alias("identifier")).distinct().withColumn("question", F.concat(F.lit("where is "), "identifier", F.lit("?")))
+    held = folded.select("doc_id", F.explode(T.identifier_tokens(F.col("text"))).alias("identifier"))
+    found = asked.join(held, "identifier")
+    return found.where(S.holds_identifier(F.col("identifier"), F.col("question"))).select("identifier", "doc_id")
 
 
 @query("logprob_relevance", "select event_id, round(case when event_id % 5 = 0 then 1 else exp(-value / 100) / (exp(-value / 100) + exp(-0.7)) end, 9) as relevance from events")
