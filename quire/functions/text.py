@@ -4,7 +4,9 @@ answer rewriting that needs offsets."""
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,13 +30,57 @@ def folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
 
 
-def _fold(text: pd.Series) -> pd.Series:
-    return text.map(folded, na_action="ignore")
+#: Hangul syllables decompose by rule: first of them, leads, vowels, tails (the first tail is none).
+SYLLABLE, LEADS, VOWELS, TAILS = 0xAC00, range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A7, 0x11C3)
+#: Characters below this that fold to several are replaced one kind after the other, as they are common in Latin texts.
+LATIN_END, SEPARATED = 0x250, "\x01"
+
+
+@cache
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """What folded() does to single characters, from Unicode's own tables: those that fold to one character, and then those
+    that vanish; what they fold to; those that fold to several. A text folds character by character, as folded() keeps no
+    mark whose order decomposition could change."""
+    one, gone, several = {}, [], {}
+    for code in range(sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000 or SYLLABLE <= code < SYLLABLE + len(LEADS) * len(VOWELS) * len(TAILS):
+            continue
+        c = chr(code)
+        f = folded(c)
+        if f != c:
+            if len(f) == 1:
+                one[c] = f
+            elif f:
+                several[c] = f
+            else:
+                gone.append(c)
+    return "".join(one) + "".join(gone), "".join(one.values()), several
 
 
 def fold(text: Column) -> Column:
-    """Exact folding."""
-    return F.pandas_udf(_fold, "string")(text)
+    """Exact folding, as folded() does it, with built-in functions only: characters that fold to one or none by one translation,
+    common ones that fold to several by replacement; only a text with others of these is taken apart."""
+    source, target, several = _fold_tables()
+    latin = {c: f for c, f in several.items() if ord(c) < LATIN_END and all(x not in several and x not in source for x in f)}
+    rest = {c: f for c, f in several.items() if c not in latin}
+    translated = lambda t: F.translate(t, source, target)
+    literal = lambda parts: F.split(F.lit(SEPARATED.join(parts)), SEPARATED)
+    jamo = lambda codes, at: F.get(literal([chr(c) for c in codes]), at.cast("int"))
+
+    def folded_char(c: Column) -> Column:
+        n = F.ascii(c) - SYLLABLE
+        tail = F.when(n % len(TAILS) > 0, jamo(TAILS, n % len(TAILS))).otherwise("")
+        per_lead = len(VOWELS) * len(TAILS)
+        syllable = F.concat(jamo(LEADS, F.floor(n / per_lead)), jamo(VOWELS, F.floor((n % per_lead) / len(TAILS))), tail)
+        many = F.get(literal(list(rest.values())), (F.array_position(literal(list(rest)), c) - 1).cast("int"))
+        return F.when(n.between(0, len(LEADS) * per_lead - 1), syllable).when(F.translate(c, "".join(rest), "") == "", many).otherwise(translated(c))
+
+    t = text
+    for c, f in latin.items():
+        t = F.replace(t, F.lit(c), F.lit(f))
+    parts = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), folded_char), "")
+    plain_only = (F.translate(text, "".join(rest), "") == text) & ~text.rlike(f"[{chr(SYLLABLE)}-{chr(SYLLABLE + 11171)}]")
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text)).when(plain_only, translated(t)).otherwise(parts)
 
 
 #: Letters that fold_latin() knows, each above its base letter.

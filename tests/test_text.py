@@ -109,3 +109,22 @@ def test_vectors(spark):
     assert one(spark, V.relevance_of_logprobs(F.lit(-1.0), F.lit(None).cast("double")), z=1) == 1.0
     with pytest.raises(Exception, match="neither answer"):
         one(spark, V.relevance_of_logprobs(F.lit(None).cast("double"), F.lit(None).cast("double")), z=1)
+
+
+def test_folding_of_every_character_without_python(spark):
+    """All code points, alone and within a text, and texts of many kinds; no Python in the plan."""
+    import random
+    import sys
+
+    r = random.Random(11)
+    codes = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, codes[i : i + 500])) for i in range(0, 0x3000, 500)] + ["".join(chr(r.choice(codes[:0xC000])) for _ in range(40)) for _ in range(300)]
+    special = [c for c in codes if T.folded(chr(c)) != chr(c)]
+    texts += [chr(c) for c in special] + ["".join(map(chr, special[i : i + 97])) for i in range(0, len(special), 97)] + ["", "Straße ǅ ﬁ", "한국어 ABC", "İstanbul", "a\x01b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = df.select("i", T.fold(F.col("t")).alias("f"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {x.i: x.f for x in got.collect()}
+    assert found.pop(-1) is None
+    wrong = [(t, found[i], T.folded(t)) for i, t in enumerate(texts) if found[i] != T.folded(t)]
+    assert not wrong, wrong[:5]
