@@ -10,6 +10,7 @@ from quire.operators import answering as A
 from quire.operators import evaluation as E
 from quire.operators import search as S
 from quire.operators.text_index import TextIndex
+from quire.operators.vector_index import VectorIndex
 from quire.plans.library import table
 from quire.plans.registry import query
 from quire.plans.texts import FOLD
@@ -35,20 +36,20 @@ def _units(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.coalesce("text", F.lit(" ")).alias("text"))
 
 
-_indexes: dict[tuple[str, str, str], TextIndex] = {}
+_indexes: dict[tuple[str, str, str], TextIndex | VectorIndex] = {}
 
 
-def _index(spark, d, name, units):
+def _stored(spark, d, name, build):
     """The stored index of a table's units: written once a session and table, beside the scratch tables, and read from then on."""
     place = f"{shared_dir(spark)}/quire-index-{SESSION}"
     key = (place, d.rstrip("/"), name)
     if key not in _indexes or _indexes[key].spark is not spark:
-        _indexes[key] = TextIndex.build(units(), f"{place}/{len(_indexes)}-{name}")
+        _indexes[key] = build(f"{place}/{len(_indexes)}-{name}")
     return _indexes[key]
 
 
 def _documents_index(spark, d):
-    return _index(spark, d, "documents", lambda: _units(spark, d))
+    return _stored(spark, d, "documents", lambda path: TextIndex.build(_units(spark, d), path))
 
 
 @query("text_index", f"with {_BM25} select st.n as units, round(average, 6) as average, (select count(*) from df) as terms, (select count(*) from tf) as postings from st")
@@ -83,6 +84,15 @@ def dense_topk(spark, d):
     return S.dense_top(asked, v.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("dense")), S.TOP_K).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("indexed_dense_topk", f"with {_DENSE} select question_id, unit_id, round(similarity, 6) as similarity, row_number() over (partition by question_id order by round(similarity, 9) desc, unit_id)::int as pos from n qualify pos <= 8")
+def indexed_dense_topk(spark, d):
+    """The same through the stored vector index, which leaves out clusters that can't hold a hit."""
+    v = table(spark, d, "embeddings")
+    index = _stored(spark, d, "vectors", lambda path: VectorIndex.build(v.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("dense")), path))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("dense"))
+    return index.top(asked, S.TOP_K).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "hybrid_rrf",
     f"""with {_BM25}, m as (select count(*) as m from embeddings), vu as (select unit_id, unit_id % m as vec_id from u, m), vq as (select item_id as question_id, item_id % m as vec_id from benchmark, m),
@@ -215,5 +225,5 @@ def answer_path(spark, d):
     units = lines.select(F.concat_ws(":", "document_id", F.col("n").cast("string")).alias("unit_id"), "document_id", F.concat(F.lit("doc"), F.col("document_id")).alias("document_name"), "text", F.array().cast("array<string>").alias("heading_path"), F.array((F.col("n") + 1).cast("int")).alias("pages"), F.lit(True).alias("visible"))
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", F.lit("en").alias("language"))
     # units get their vectors, and their index, once: when they are stored
-    index = _index(spark, d, "lines", lambda: units)
+    index = _stored(spark, d, "lines", lambda path: TextIndex.build(units, path))
     return A.answer_questions(questions, materialize(units.withColumn("dense", M.embed(F.col("text"))), "units"), text_index=index)
