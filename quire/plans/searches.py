@@ -14,7 +14,7 @@ from quire.operators.vector_index import VectorIndex
 from quire.plans.library import table
 from quire.plans.registry import query
 from quire.plans.texts import FOLD
-from quire.sources.scratch import SESSION, materialize, shared_dir
+from quire.sources.scratch import exists, index_dir, materialize
 
 _TERMS = rf"regexp_extract_all({FOLD}, '[\p{{{{L}}}}\p{{{{N}}}}]+')"
 _BM25 = f"""
@@ -41,9 +41,9 @@ _indexes: dict[tuple[str, str, str], TextIndex | VectorIndex] = {}
 
 def _stored(spark, d, name, build):
     """The stored index of a table's units: written once a session and table, beside the scratch tables, and read from then on."""
-    place = f"{shared_dir(spark)}/quire-index-{SESSION}"
+    place = index_dir(spark)
     key = (place, d.rstrip("/"), name)
-    if key not in _indexes or _indexes[key].spark is not spark:
+    if key not in _indexes or _indexes[key].spark is not spark or not exists(spark, f"{_indexes[key].path}/schema"):
         _indexes[key] = build(f"{place}/{len(_indexes)}-{name}")
     return _indexes[key]
 

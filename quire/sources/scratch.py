@@ -61,10 +61,22 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete this process's scratch tables. Results that were not written elsewhere can no longer be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def index_dir(spark: SparkSession) -> str:
+    """The folder of this process's stored indexes."""
+    return f"{shared_dir(spark)}/quire-index-{SESSION}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def clean(spark: SparkSession, indexes: bool = False) -> None:
+    """Delete this process's scratch tables, and its stored indexes if asked. Results that were not written elsewhere can no
+    longer be read."""
+    for place in (scratch(spark), index_dir(spark))[: 2 if indexes else 1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
