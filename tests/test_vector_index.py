@@ -56,3 +56,15 @@ def test_nothing_to_find(spark, tmp_path):
     one = VectorIndex.build(spark.createDataFrame([("u", [0.0, 0.0])], empty.schema), str(tmp_path / "one"))
     assert [tuple(r) for r in one.top(spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, dense array<float>"), 3).collect()] == [(1, "u", 0.0, 1)]
     assert one.top(asked.limit(0), 3).count() == 0
+
+
+def test_batches_are_bounded_where_a_row_holds_a_block(spark, tmp_path, monkeypatch):
+    from quire.operators import vector_index as X
+
+    bound, write = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, name: bound.append((name, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))) or write(df, name))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = VectorIndex.build(frame(spark, clustered(60), "unit_id"), str(tmp_path / "index"), 4, 5)
+    assert index.top(frame(spark, clustered(2), "question_id"), 3).count() == 6
+    assert {n for name, n in bound if name in ("bounded", "scored")} == {X.ROWS} and len([n for n, _ in bound if n in ("bounded", "scored")]) == 4
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
