@@ -128,3 +128,15 @@ def test_folding_of_every_character_without_python(spark):
     assert found.pop(-1) is None
     wrong = [(t, found[i], T.folded(t)) for i, t in enumerate(texts) if found[i] != T.folded(t)]
     assert not wrong, wrong[:5]
+
+
+def test_statements_are_found_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    held, of = [], T.statements_of
+    monkeypatch.setattr(T, "STATEMENT_ROWS", 3)
+    monkeypatch.setattr(T, "statements_of", lambda x: held.append(x) or of(x))
+    texts = ["One two three. Four five six!", None, "", "a", "x y z\nu v w"] * 2
+    got = T._find_statements(pa.array(texts))
+    assert got.to_pylist() == [None if x is None else of(x) for x in texts] and len(held) == 8
+    assert len(T._find_statements(pa.array([], pa.string()))) == 0
