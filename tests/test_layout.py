@@ -174,3 +174,15 @@ def test_a_very_deep_outline_is_one_fold(spark):
     assert [got["e", i] for i in range(6)] == [1, 2, 2, 3, 2, 1]
     plan = Y.outline_levels(df)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000
+
+
+def test_sequential_steps_take_bounded_parts_and_exchange_no_cells(spark, monkeypatch):
+    monkeypatch.setattr(Y, "DOCUMENTS", 2)
+    rows = spark.createDataFrame([(f"d{i % 7}", i) for i in range(28)], "document_id string, n int")
+    got = Y.per_document(rows, "n", lambda doc, members: [(doc, [m["n"] for m in members])], "document_id string, ns array<int>").collect()
+    assert {r.document_id: r.ns for r in got} == {f"d{i}": [i, i + 7, i + 14, i + 21] for i in range(7)}
+    from quire.sources import lines as L
+
+    e = L.line_elements(spark.createDataFrame([(1, "a\nb")], "doc_id int, text string"))
+    plan = Y.continuation_links(e, L.no_links(e), L.page_sizes(e))._jdf.queryExecution().optimizedPlan().toString()
+    assert "table_rows" not in plan.split("Window")[0]
