@@ -20,37 +20,88 @@ def kinds(items: DataFrame) -> DataFrame:
     return items.where("box is not null and page is not null").withColumn("kind", kind)
 
 
+#: Steps up that all items of a batch take at once; those that are not at the top by then climb alone.
+STEPS = 32
+
+
+def _inside(item, parent, role):
+    """Lists of a batch's documents, as Arrow arrays -> for each of their items the places of what it holds (an image's; others
+    hold nothing), null for items that are held themselves. role: 0 goes to what holds it, 1 stays, 2 holds, 3 holds and keeps
+    the list. All items climb a step at a time; a way up that leads back on itself ends where it would repeat."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = item.value_lengths().fill_null(0).to_numpy()
+    names = pa.concat_arrays([item.flatten(), parent.flatten()]).dictionary_encode()
+    codes = names.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    n, width = len(document), len(names.dictionary) + 1
+    role = role.flatten().to_numpy(zero_copy_only=False)
+    own, above = document * width + codes[:n], document * width + codes[n:]
+    order = np.argsort(own, kind="stable")
+    last = np.searchsorted(own[order], above, "right") - 1
+    up = np.where((last >= 0) & (codes[n:] > 0) & (codes[:n] > 0), order[last], -1) if n else np.zeros(0, np.int64)
+    up = np.where((up >= 0) & (own[up] == above), up, -1)
+    who = np.flatnonzero((role == 0) & (up >= 0))
+    at, held, holders = up[who], [], []
+    for _ in range(STEPS):
+        if not len(who):
+            break
+        held.append(who[role[at] > 1])
+        holders.append(at[role[at] > 1])
+        at = up[at]
+        who, at = who[at >= 0], at[at >= 0]
+    if len(who):
+        alone = np.isin(held := np.concatenate(held), who)
+        held, holders = [held[~alone]], [np.concatenate(holders)[~alone]]
+        for i in who:
+            x, seen = up[i], set()
+            while x >= 0 and x not in seen:
+                seen.add(x)
+                x = up[x]
+            ways = np.array([x for x in seen if role[x] > 1], np.int64)
+            held.append(np.full(len(ways), i))
+            holders.append(ways)
+    held, holders = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (held, holders))
+    gone = np.zeros(n, bool)
+    gone[held] = True
+    # a name given twice in a document: all its rows go, or hold the same
+    same = order[np.searchsorted(own[order], own, "right") - 1] if n else order
+    gone_names = np.zeros(n, bool)
+    np.logical_or.at(gone_names, same, gone)
+    listed = role[holders] == 3
+    held, holders = held[listed], holders[listed]
+    by = np.lexsort((held, holders))
+    first = np.cumsum(sizes) - sizes
+    counts = np.bincount(holders, minlength=n)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(held[by] - first[document[held[by]]], pa.int32()))
+    lists = lists.take(pa.array(np.where(gone_names[same], -1, same), mask=gone_names[same]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), lists)
+
+
 def owned(items: DataFrame) -> DataFrame:
     """items with kind -> without texts that belong to a table or an image they lie in, and with the labels of images: the
     non-blank texts inside, in order. Captions and footnotes stay, and so does an image inside a table.
 
-    Ownership goes up through any depth of nesting, and a document's items are few enough for one task: each climbs its parents
-    in one pass over its document, in Arrow batches; no join, no limit of depth."""
-    slim = items.select("document_id", "item", "parent", "kind", (F.col("kind").isin("caption", "image", "table") | F.coalesce(F.col("label") == "footnote", F.lit(False))).alias("stays"))
-    lists = slim.groupBy("document_id").agg(F.collect_list(F.struct("item", "parent", "kind", "stays")).alias("items"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for document, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                of = {r["item"]: r for r in rows}
-                for r in rows:
-                    at, seen = r["parent"], set()
-                    while not r["stays"] and at in of and at not in seen:
-                        if of[at]["kind"] in ("image", "table"):
-                            out.append((document, r["item"], at, of[at]["kind"]))
-                        seen.add(at)
-                        at = of[at]["parent"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in [*zip(*out)] or [()] * 4], ["document_id", "item", "holder", "holder_kind"])
-
-    owners = lists.mapInArrow(run, "document_id string, item string, holder string, holder_kind string")
-    text = items.select("document_id", "item", "text", "position")
-    labels = owners.where("holder_kind = 'image'").join(text, ["document_id", "item"]).where("trim(text) <> ''")
-    labels = labels.groupBy("document_id", F.col("holder").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("labels"))
-    kept = items.join(owners.select("document_id", "item").distinct(), ["document_id", "item"], "left_anti")
-    return kept.join(labels, ["document_id", "item"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+    Ownership goes up through any depth of nesting, and a document's items are few enough for one task: they are gathered once, by
+    one exchange; names and parents alone go to Python, in Arrow batches, and the places of what each item holds come back."""
+    stays = F.col("kind") == "caption"
+    stays = stays | F.coalesce(F.col("label") == "footnote", F.lit(False))
+    role = F.when(F.col("kind") == "image", 3).when(F.col("kind") == "table", 2).when(stays, 1).otherwise(0).cast("tinyint")
+    own = [c for c in items.columns if c != "document_id"]
+    parent = F.when(F.col("document_id").isNotNull(), F.col("parent"))
+    rows = items.select("document_id", *own, parent.alias("_parent"), role.alias("_role"))
+    lists = rows.groupBy("document_id").agg(F.collect_list(F.struct(*own, "_parent", "_role")).alias("_rows"))
+    inside = F.arrow_udf(_inside, "array<array<int>>")
+    lists = lists.withColumn("_inside", inside("_rows.item", "_rows._parent", "_rows._role"))
+
+    def labels(places):
+        texts = F.filter(F.transform(places, lambda j: F.get("_rows", j)), lambda r: F.trim(r["text"]) != "")
+        return F.transform(F.array_sort(F.transform(texts, lambda r: F.struct(r["position"].alias("position"), r["text"].alias("text")))), lambda x: x["text"])
+
+    places = F.filter(F.sequence(F.lit(0), F.size("_rows") - 1), lambda i: F.get("_inside", i).isNotNull())
+    kept = F.transform(places, lambda i: F.struct(F.get("_rows", i).alias("row"), labels(F.get("_inside", i)).alias("labels")))
+    return lists.select("document_id", F.explode(kept).alias("_k")).select("document_id", *(F.col(f"_k.row.{c}").alias(c) for c in ["item", *(c for c in own if c != "item")]), F.col("_k.labels").alias("labels"))
 
 
 def fragments(items: DataFrame) -> DataFrame:

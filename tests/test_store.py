@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -82,6 +83,43 @@ def test_uploads(spark, tmp_path):
     assert got["locked.pdf"].problem == "encrypted_document" and got["not.pdf"].problem == "unsupported_media_type"
 
 
+def plain_owned(rows):
+    """rows(document, item, parent, kind, text, position): what stays, with the labels of images, by climbing one item at a time."""
+    of = {(d, i): (p, k) for d, i, p, k, _, _ in rows}
+    labels, gone = {}, set()
+    for d, i, p, k, text, n in rows:
+        seen = set()
+        while k not in ("image", "table", "caption") and (d, p) in of and p not in seen:
+            seen.add(p)
+            if of[d, p][1] in ("image", "table"):
+                gone.add((d, i))
+                if of[d, p][1] == "image" and (text or "").strip():
+                    labels.setdefault((d, p), []).append((n, text))
+            p = of[d, p][0]
+    return {(d, i): [t for _, t in sorted(labels.get((d, i), []))] for d, i, *_ in rows if (d, i) not in gone}
+
+
+def test_ownership_of_any_depth_and_of_ways_that_lead_back(spark):
+    rng = random.Random(3)
+    kinds = ["paragraph"] * 6 + ["image", "table", "caption"]
+    rows = []
+    for d in range(40):
+        n = rng.choice([1, 5, 20])
+        rows += [(f"d{d}", f"i{i}", rng.choice([None, "lost", *(f"i{j}" for j in range(n))]), rng.choice(kinds), rng.choice([None, " ", "a", "b"]), i) for i in range(n)]
+    rows += [("deep", f"i{i}", f"i{i - 1}" if i else None, "image" if i == 3 else "paragraph", f"t{i}", i) for i in range(100)]
+    items = spark.createDataFrame(rows, "document_id string, item string, parent string, kind string, text string, position int").withColumn("label", F.lit(None).cast("string"))
+    got = {(r.document_id, r.item): r.labels for r in It.owned(items).collect()}
+    assert got == plain_owned(rows) and len(got["deep", "i3"]) == 96
+    assert It.owned(items.limit(0)).count() == 0
+
+
+def test_ownership_gathers_documents_once(spark, data):
+    from quire.plans import catalogue
+
+    plan = catalogue.QUERIES["nested_ownership"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
 def test_items_to_elements(spark):
     box = (0.0, 0.0, 9.0, 9.0)
     rows = [
