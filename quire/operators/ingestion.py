@@ -105,8 +105,8 @@ def ingest(
     known = materialize(It.caption_links(extracted), "known-links")
     triaged = materialize(Y.triage(extracted.drop("item", "caption_of"), hashes, sizes, totals, describe is not None), "triaged")
     links = materialize(Y.link_elements(triaged, known, sizes), "links")
-    elements = with_descriptions(triaged, links, describe) if describe is not None else triaged
-    elements = materialize(elements.drop("to_describe"), "elements")
+    # without a model the elements are what is written already
+    elements = materialize(with_descriptions(triaged, links, describe).drop("to_describe"), "elements") if describe is not None else triaged.drop("to_describe")
     units = Y.identified(Y.build_units(elements, links, max_tokens), documents)
     units = materialize(units.withColumns({"visible": F.lit(True), "dense": embed(T.embedding_text(F.col("heading_path"), F.col("text")))}), "units")
     for name, rows in (("elements", elements), ("edges", links), ("units", units)):

@@ -11,7 +11,6 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -92,22 +91,81 @@ def post_json(url: str, body: dict, timeout: float = 60.0, most_bytes: int = 32
     return found
 
 
-@lru_cache(maxsize=50_000)
-def _word_vector(word: str, dimensions: int) -> np.ndarray:
-    return np.random.default_rng(int.from_bytes(sha256(word.encode()).digest()[:8], "big")).normal(size=dimensions)
+#: Vectors of words that a worker keeps, in two halves: when the newer one is full, the older one goes.
+WORDS = 25_000
+_newer: dict[tuple[str, int], np.ndarray] = {}
+_older: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _seeds(words: list[str]) -> list[tuple[int, int]]:
+    """State and increment that np.random.default_rng() gives a generator for each word's seed, by the published hash of its seed
+    sequences, of all words at once: making a generator for each word takes longer than all the rest of a text's vector."""
+    u32, u64, half = np.uint32, np.uint64, np.uint64(32)
+    seeds = np.array([int.from_bytes(sha256(w.encode()).digest()[:8], "big") for w in words], u64)
+    key = 0x43B0D7E5
+
+    def hashed(x):
+        nonlocal key
+        x = x ^ u32(key)
+        key = key * 0x931E8875 & 0xFFFFFFFF
+        x = x * u32(key)
+        return x ^ (x >> u32(16))
+
+    pool = [hashed(x) for x in ((seeds & u64(0xFFFFFFFF)).astype(u32), (seeds >> half).astype(u32), np.zeros(len(seeds), u32), np.zeros(len(seeds), u32))]
+    for i, j in ((i, j) for i in range(4) for j in range(4) if i != j):
+        x = pool[j] * u32(0xCA01F9DD) - hashed(pool[i]) * u32(0x4973F715)
+        pool[j] = x ^ (x >> u32(16))
+    key, parts = 0x8B51F9DD, []
+    for i in range(8):
+        x = pool[i % 4] ^ u32(key)
+        key = key * 0x58F38DED & 0xFFFFFFFF
+        x = x * u32(key)
+        parts.append((x ^ (x >> u32(16))).astype(u64))
+    whole, multiplier = (1 << 128) - 1, 0x2360ED051FC65DA44385DF649FCCF645
+    out = []
+    for a, b, c, d in zip(*((parts[2 * i] | parts[2 * i + 1] << half).tolist() for i in range(4))):
+        step = (c << 65 | d << 1 | 1) & whole
+        out.append((((step + (a << 64 | b)) * multiplier + step) & whole, step))
+    return out
 
 
-def hash_vector(text: str, dimensions: int = DIMENSIONS) -> list[float]:
-    """A unit vector seeded by the words of a text: texts that share words are near each other."""
-    out = np.zeros(dimensions)
-    for word in T.folded(text).split():
-        out += _word_vector(word, dimensions)
-    n = np.linalg.norm(out)
-    return (out / n if n else out).astype(np.float32).tolist()
+def _word_vectors(words: set[str], dimensions: int) -> dict[str, np.ndarray]:
+    """The vector of each word: normal deviates of a generator that the word seeds."""
+    global _newer, _older
+    found, new = {}, []
+    for w in words:
+        v = _newer.get((w, dimensions))
+        if v is None:
+            v = _older.get((w, dimensions))
+        if v is None:
+            new.append(w)
+        else:
+            found[w] = v
+    bits = np.random.PCG64(0)
+    normal = np.random.Generator(bits).standard_normal
+    for w, (state, step) in zip(new, _seeds(new)):
+        bits.state = {"bit_generator": "PCG64", "state": {"state": state, "inc": step}, "has_uint32": 0, "uinteger": 0}
+        found[w] = normal(dimensions)
+    for w, v in found.items():
+        if len(_newer) >= WORDS:
+            _newer, _older = {}, _newer
+        _newer[w, dimensions] = v
+    return found
 
 
-def hash_vectors(texts: list[str]) -> list[list[float]]:
-    return [hash_vector(t) for t in texts]
+def hash_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> list[list[float]]:
+    """Unit vectors seeded by the words of texts: texts that share words are near each other."""
+    words = [T.folded(t).split() for t in texts]
+    of, out = _word_vectors(set().union(*words), dimensions), []
+    for ws in words:
+        total = np.array([of[w] for w in ws]).sum(axis=0) if ws else np.zeros(dimensions)
+        n = np.linalg.norm(total)
+        out.append((total / n if n else total).astype(np.float32).tolist())
+    return out
+
+
+def hash_vector(text: str, dimensions: int = DIMENSIONS) -> list[float]:
+    return hash_vectors([text], dimensions)[0]
 
 
 #: Texts of one call of a model that takes a batch.

@@ -227,3 +227,24 @@ def test_figures_after_an_outage_are_not_described(spark):
     figures = spark.createDataFrame([("1", "k1", None, None), ("2", "k2", None, None), ("3", "k3", None, None)], "id string, image_key string, caption string, context string").coalesce(1)
     got = {r.id: r.description_status for r in M.describe_figures(figures, model, retry=M.Retry(attempts=2, first=0.0)).collect()}
     assert got == {"1": "described", "2": "not_described", "3": "not_described"}
+
+
+def test_vectors_of_words_are_made_at_once(monkeypatch):
+    """Equal to the sum of what default_rng() gives each word, without a generator for each."""
+    from hashlib import sha256
+
+    from quire.functions import text as T
+    from quire.sources import models as M
+
+    monkeypatch.setattr(M, "WORDS", 40)
+    texts = [" ".join(f"Wörd{i * j % 97}" for j in range(i)) for i in range(60)]
+    want = []
+    for t in texts:
+        total = np.zeros(M.DIMENSIONS)
+        for w in T.folded(t).split():
+            total += np.random.default_rng(int.from_bytes(sha256(w.encode()).digest()[:8], "big")).normal(size=M.DIMENSIONS)
+        n = np.linalg.norm(total)
+        want.append((total / n if n else total).astype(np.float32).tolist())
+    monkeypatch.setattr(np.random, "default_rng", None)
+    assert M.hash_vectors(texts) == want and [M.hash_vector(t) for t in texts] == want
+    assert len(M._newer) <= 40 and len(M._older) <= 40
